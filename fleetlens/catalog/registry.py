@@ -35,6 +35,8 @@ def with_frames(sql: str) -> str:
         return sql
     ctes = ",\n".join(f"{n} AS ({FRAMES[n]})" for n in needed)
     body = sql.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"
