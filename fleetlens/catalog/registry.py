@@ -76,7 +76,7 @@ def query(name: str, check: str | None = None):
 
 
 def rounded(num: str, den: str, digits: int = 2, scale: int = 1) -> str:
-    """SQL text for `scale * num / den` of whole numbers, rounded half up."""
+    """SQL text for `scale * num / den` of whole numbers, rounded half away from zero."""
     n, d = f"CAST({num} AS HUGEINT)", f"CAST({den} AS HUGEINT)"
-    whole = f"((2 * {scale * 10**digits} * {n} + NULLIF({d}, 0)) // (2 * NULLIF({d}, 0)))"
+    whole = f"(SIGN({n}) * ((2 * {scale * 10**digits} * ABS({n}) + NULLIF({d}, 0)) // (2 * NULLIF({d}, 0))))"
     return f"(CAST({whole} AS DOUBLE) / {float(10**digits)})"

@@ -33,14 +33,16 @@ def int_div0(a: Column | str, b: Column | str) -> Column:
 
 
 def ratio(num: Column | str, den: Column | str, digits: int = 2, scale: int = 1) -> Column:
-    """`scale * num / den` for whole non-negative numbers, rounded half up to `digits`.
+    """`scale * num / den` for whole numbers and a positive divisor, rounded half
+    away from zero to `digits`.
 
     Works on 38-digit decimals, so the result does not depend on the order in
     which floating-point sums were formed, and is NULL for a zero divisor.
     """
-    n, d = c(num).cast("decimal(38,0)"), F.nullif(c(den).cast("decimal(38,0)"), F.lit(0))
-    twice = n * F.lit(2 * scale * 10**digits).cast("decimal(20,0)") + d
-    return int_div(twice, d * F.lit(2).cast("decimal(1,0)")).cast("double") / F.lit(float(10**digits))
+    n, d = c(num).cast(_WIDE), F.nullif(c(den).cast(_WIDE), F.lit(0))
+    twice = F.abs(n) * F.lit(2 * scale * 10**digits).cast("decimal(20,0)") + d
+    whole = int_div(twice, d * F.lit(2).cast("decimal(1,0)"))
+    return F.when(n < 0, -whole).otherwise(whole).cast("double") / F.lit(float(10**digits))
 
 
 def wide(col: Column | str) -> Column:
