@@ -48,3 +48,21 @@ def counter_delta(df: DataFrame, keys: Sequence[str], order: Sequence[str], valu
         grown = F.col(v) - F.col(f"prev_{v}")
         out = out.withColumn(f"{v}_delta", F.when(grown >= 0, grown))
     return out
+
+
+def with_next_value(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, bucket: Column, name: str) -> DataFrame:
+    """Add the first non-null `value` of the rows after each row, per key.
+
+    Like `with_next`, but it looks past any number of rows: what a bucket cannot
+    answer itself comes from the first later bucket that has a value.
+    """
+    keys, order = list(keys), list(order)
+    cut = df.withColumn("_bucket", bucket).withColumn("_value", value)
+    local = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
+    rows = cut.withColumn("_near", F.first("_value", ignorenulls=True).over(local))
+    found = F.when(F.col("_value").isNotNull(), F.struct(*order))
+    heads = cut.groupBy(*keys, "_bucket").agg(F.min_by("_value", found).alias("_head"))
+    later = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_bucket").rowsBetween(1, Window.unboundedFollowing)
+    carried = heads.withColumn("_far", F.first("_head", ignorenulls=True).over(later)).drop("_head")
+    out = rows.join(carried, [*keys, "_bucket"], "left")
+    return out.select(*df.columns, F.coalesce("_near", "_far").alias(name))
