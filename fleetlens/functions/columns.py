@@ -170,3 +170,21 @@ def starts_with(longer: Column | str, shorter: Column | str) -> Column:
 def bracket(name: Column | str) -> Column:
     """A name in brackets, closing brackets doubled."""
     return F.concat(F.lit("["), F.replace(c(name), F.lit("]"), F.lit("]]")), F.lit("]"))
+
+
+_EPOCH = "1970-01-01 00:00:00"
+
+
+def micros(time: Column | str) -> Column:
+    """Microseconds of a zone-free timestamp since 1970, whatever the session's time zone."""
+    return F.timestamp_diff("MICROSECOND", F.lit(_EPOCH).cast("timestamp_ntz"), c(time))
+
+
+def to_instant(time: Column | str) -> Column:
+    """A zone-free timestamp, taken as UTC, as an instant (watermarks need one)."""
+    return F.timestamp_micros(micros(time))
+
+
+def from_instant(time: Column | str) -> Column:
+    """An instant as a zone-free timestamp in UTC."""
+    return F.timestamp_add("MICROSECOND", F.unix_micros(c(time)), F.lit(_EPOCH).cast("timestamp_ntz"))

@@ -7,7 +7,7 @@ A rank or running total over a large group is computed in three steps:
    is a cut point. The sort key ends in a unique column, so equal values are
    split too.
 2. each range between two cut points is counted and summed (map-side combine);
-   a prefix sum over the at most 64 ranges of a group gives the offsets.
+   the totals of the at most 64 ranges of a group give every range its offset.
 3. a window inside each (group, range) adds the local rank and running sum.
 
 Every step is a function of the rows alone, so a task that is run again after a
@@ -22,7 +22,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.functions.columns import c
+from fleetlens.functions.columns import micros
 
 SAMPLE = 1000
 STEP = 16
@@ -52,7 +52,11 @@ def _ascending(df: DataFrame, keys: SortKey) -> Column:
             parts.append(F.col(k).alias(f"k{i}"))
             continue
         name = k[1:]
-        value = F.unix_micros(F.col(name).cast("timestamp")) if kinds[name].startswith("timestamp") else F.col(name)
+        value = F.col(name)
+        if kinds[name] == "timestamp":
+            value = F.unix_micros(value)
+        elif kinds[name] == "timestamp_ntz":
+            value = micros(value)
         parts.append(F.isnull(name).alias(f"n{i}"))
         parts.append((-value).alias(f"k{i}"))
     return F.struct(*parts)
@@ -87,17 +91,23 @@ def add_rank(df: DataFrame, scope: Sequence[str], keys: SortKey, rank: str = "ra
     parts = reuse(with_ranges(reuse(df), scope, keys))
     per = parts.groupBy(*scope, "_range").agg(
         F.count(F.lit(1)).alias("_rows"), *[F.sum(src).alias(f"_s_{new}") for new, src in running.items()])
-    before = (Window.partitionBy(*(scope or [F.lit(0)])).orderBy("_range")
-              .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = per.select(
-        *scope, "_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_rows"),
-        *[F.coalesce(F.sum(f"_s_{new}").over(before), F.lit(0)).alias(f"_s_{new}") for new in running])
+    # at most 64 range totals per scope: their prefix sums are array expressions
+    parts_list = F.collect_list(F.struct("_range", "_rows", *[f"_s_{new}" for new in running])).alias("_parts")
+    if scope:
+        out = parts.join(per.groupBy(*scope).agg(parts_list), scope)
+    else:
+        out = parts.withColumn("_parts", per.agg(parts_list).scalar())
+
+    def before(name: str) -> Column:
+        earlier = F.filter("_parts", lambda p: p["_range"] < F.col("_range"))
+        kind = dict(per.dtypes)[name]
+        return F.aggregate(earlier, F.lit(0).cast(kind), lambda acc, p: (acc + F.coalesce(p[name], F.lit(0).cast(kind))).cast(kind))
+
     local = Window.partitionBy(*scope, "_range").orderBy(*order_columns(keys))
     prior = local.rowsBetween(Window.unboundedPreceding, -1)
-    out = parts.join(offsets, [*scope, "_range"])
-    out = out.withColumn(rank, (F.row_number().over(local) + F.col("_rows")).cast("bigint"))
+    out = out.withColumn(rank, (F.row_number().over(local) + before("_rows")).cast("bigint"))
     for new, src in running.items():
-        out = out.withColumn(new, F.coalesce(F.sum(src).over(prior), F.lit(0)) + F.col(f"_s_{new}"))
+        out = out.withColumn(new, F.coalesce(F.sum(src).over(prior), F.lit(0)) + before(f"_s_{new}"))
     return out.select(*df.columns, rank, *running)
 
 

@@ -56,13 +56,41 @@ def with_next_value(df: DataFrame, keys: Sequence[str], order: Sequence[str], va
     Like `with_next`, but it looks past any number of rows: what a bucket cannot
     answer itself comes from the first later bucket that has a value.
     """
-    keys, order = list(keys), list(order)
+    return _value(df, list(keys), list(order), value, bucket, name, forward=True)
+
+
+def with_previous_value(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, bucket: Column, name: str) -> DataFrame:
+    """Add the last non-null `value` of the rows before each row, per key; see `with_next_value`."""
+    return _value(df, list(keys), list(order), value, bucket, name, forward=False)
+
+
+def _value(df, keys, order, value, bucket, name, forward):
+    pick, edge = (F.first, F.min_by) if forward else (F.last, F.max_by)
+
+    def frame(window):
+        return window.rowsBetween(1, Window.unboundedFollowing) if forward else window.rowsBetween(Window.unboundedPreceding, -1)
+
     cut = df.withColumn("_bucket", bucket).withColumn("_value", value)
-    local = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
-    rows = cut.withColumn("_near", F.first("_value", ignorenulls=True).over(local))
+    local = frame(Window.partitionBy(*keys, "_bucket").orderBy(*order))
+    rows = cut.withColumn("_near", pick("_value", ignorenulls=True).over(local))
     found = F.when(F.col("_value").isNotNull(), F.struct(*order))
-    heads = cut.groupBy(*keys, "_bucket").agg(F.min_by("_value", found).alias("_head"))
-    later = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_bucket").rowsBetween(1, Window.unboundedFollowing)
-    carried = heads.withColumn("_far", F.first("_head", ignorenulls=True).over(later)).drop("_head")
+    edges = cut.groupBy(*keys, "_bucket").agg(edge("_value", found).alias("_edge"))
+    others = frame(Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_bucket"))
+    carried = edges.withColumn("_far", pick("_edge", ignorenulls=True).over(others)).drop("_edge")
     out = rows.join(carried, [*keys, "_bucket"], "left")
     return out.select(*df.columns, F.coalesce("_near", "_far").alias(name))
+
+
+def state_as_of(samples: DataFrame, changes: DataFrame, keys: Sequence[str], time: str, state: Sequence[str], bucket: Column) -> DataFrame:
+    """Each sample with the state that the last change at or before it set.
+
+    Changes and samples are put in one sequence per key, so no sample is ever
+    paired with more than one change. `samples` has one row per key, time and
+    its other columns.
+    """
+    keys, state = list(keys), list(state)
+    rest = [x for x in samples.columns if x not in keys and x != time]
+    a = changes.select(*keys, time, F.struct(*state).alias("_set"), F.lit(0).alias("_kind"), F.lit(None).cast(samples.select(F.struct(*rest)).schema[0].dataType).alias("_row"))
+    b = samples.select(*keys, time, F.lit(None).cast(a.schema["_set"].dataType).alias("_set"), F.lit(1).alias("_kind"), F.struct(*rest).alias("_row"))
+    out = with_previous_value(a.unionByName(b), keys, [time, "_kind"], F.col("_set"), bucket, "_state").where(F.col("_kind") == 1)
+    return out.select(*keys, time, *[F.col(f"_row.`{x}`").alias(x) for x in rest], *[F.col(f"_state.`{x}`").alias(x) for x in state])
