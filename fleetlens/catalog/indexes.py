@@ -2,6 +2,7 @@
 
 from fleetlens.catalog.registry import FRAMES, query, rounded
 from fleetlens.operators import index_catalog as ic, index_health as ih
+from fleetlens.plans.ordering import reuse
 
 R = rounded
 AS_OF = "2001-12-01 00:00:00"
@@ -72,7 +73,8 @@ _PAIR = """p AS (SELECT a.object_id, a.index_id AS pi, b.index_id AS ci, a.type
 
 
 def _physical(t):
-    return ic.physical_index_columns(t.typed_indexes, t.index_columns, t.table_columns)
+    # in production these are landed tables; here they are derived, so once is enough
+    return ic.physical_index_columns(reuse(t.typed_indexes), reuse(t.index_columns), t.table_columns)
 
 
 def _lists(t):

@@ -10,7 +10,11 @@ from fleetlens.streaming.runs import drain, fresh_folder, landed, result, timed
 
 R = rounded
 SCHEMA = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
-GAUGE = F.round(F.col("value") * 100).cast("bigint")
+
+
+def _gauge():
+    return F.round(F.col("value") * 100).cast("bigint")
+
 
 FRAMES.update(
     bf_state_changes="""SELECT user_id AS instance_id, ts AS collected_at, event_id AS change_id, event_type AS state FROM events WHERE event_type IN ('error', 'signup')""",
@@ -44,7 +48,7 @@ def _(t):
     SELECT * EXCLUDE (prev), CASE WHEN counter_value >= prev THEN counter_value - prev END AS counter_value_delta FROM p""")
 def _(t):
     ts = F.col("ts")
-    counter = (F.dayofmonth(ts) * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60).cast("bigint") + GAUGE * 20
+    counter = (F.dayofmonth(ts) * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60).cast("bigint") + _gauge() * 20
     rows = _events(t).select(F.col("user_id").alias("instance_id"), F.col("event_type").alias("metric"), ts.alias("collected_at"), "event_id", counter.alias("counter_value"))
     folder = fresh_folder(t.spark, "delta")
     st.stream_counter_delta(rows, folder, ["instance_id", "metric"], ["collected_at", "event_id"], ["counter_value"])
@@ -56,7 +60,7 @@ def _(t):
     a AS (SELECT event_type, window_start, window_start + INTERVAL 1 HOUR AS window_end, COUNT(*) AS samples, {R('SUM(g)', 'COUNT(*)', 2)} AS avg_value, MAX(g) AS max_value FROM w GROUP BY ALL)
     SELECT * FROM a WHERE {_CLOSED.format(delay='10 MINUTE')}""")
 def _(t):
-    samples = timed(_events(t), "ts", "10 minutes").withColumn("gauge", GAUGE)
+    samples = timed(_events(t), "ts", "10 minutes").withColumn("gauge", _gauge())
     return _finish(t, st.utilisation_tumbling(samples, "ts", "gauge", ["event_type"], "1 hour"), "tumbling")
 
 
@@ -66,7 +70,7 @@ def _(t):
     a AS (SELECT window_start, window_start + INTERVAL 24 HOUR AS window_end, COUNT(*) AS samples, {R('SUM(g)', 'COUNT(*)', 2)} AS avg_value FROM w GROUP BY 1)
     SELECT * FROM a WHERE {_CLOSED.format(delay='10 MINUTE')}""")
 def _(t):
-    samples = timed(_events(t), "ts", "10 minutes").withColumn("gauge", GAUGE)
+    samples = timed(_events(t), "ts", "10 minutes").withColumn("gauge", _gauge())
     return _finish(t, st.utilisation_sliding(samples, "ts", "gauge", [], "24 hours", "6 hours"), "sliding")
 
 
@@ -76,7 +80,7 @@ def _(t):
     a AS (SELECT waiter_session_id, MIN(ts) AS window_start, MAX(ts) + INTERVAL 12 HOUR AS window_end, COUNT(*) AS samples, MAX(wait_ms) AS max_wait_ms FROM g GROUP BY waiter_session_id, episode)
     SELECT * FROM a WHERE {_CLOSED.format(delay='10 MINUTE')}""")
 def _(t):
-    pairs = timed(_events(t), "ts", "10 minutes").select("ts", F.col("user_id").alias("waiter_session_id"), GAUGE.alias("wait_ms"))
+    pairs = timed(_events(t), "ts", "10 minutes").select("ts", F.col("user_id").alias("waiter_session_id"), _gauge().alias("wait_ms"))
     return _finish(t, st.blocking_episodes(pairs, "ts", ["waiter_session_id"], gap="12 hours"), "episodes")
 
 
@@ -116,7 +120,7 @@ def _(t):
 @query("t9_stream_state_as_of", _AS_OF)
 def _(t):
     change = F.col("event_type").isin("error", "signup")
-    rows = _events(t).select(F.col("user_id").alias("instance_id"), F.col("ts").alias("collected_at"), F.col("event_id").alias("sample_id"), GAUGE.alias("gauge"), F.when(change, F.col("event_type")).alias("state"))
+    rows = _events(t).select(F.col("user_id").alias("instance_id"), F.col("ts").alias("collected_at"), F.col("event_id").alias("sample_id"), _gauge().alias("gauge"), F.when(change, F.col("event_type")).alias("state"))
     folder = fresh_folder(t.spark, "state")
     st.stream_state_as_of(rows, folder, ["instance_id"], "collected_at", ["state"], F.col("state").isNotNull())
     return result(t.spark, folder)

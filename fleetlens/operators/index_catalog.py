@@ -14,9 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.columns import bracket, fleet_keys, starts_with
-from fleetlens.plans.ordering import first_per
+from fleetlens.plans.ordering import first_per, reuse
 
 CLUSTERED, NONCLUSTERED = 1, 2
+_INCLUDED = 1 << 40
 
 
 def physical_index_columns(indexes: DataFrame, index_columns: DataFrame, columns: DataFrame) -> DataFrame:
@@ -40,8 +41,15 @@ def physical_index_columns(indexes: DataFrame, index_columns: DataFrame, columns
     rest = kind.where(F.col("type") == CLUSTERED).join(columns.select(*table, "column_id"), table).join(
         defined.select(*index, "column_id"), [*index, "column_id"], "left_anti").select(
         *index, "column_id", F.lit(0).alias("key_ordinal"), F.lit(0).alias("is_descending_key"), F.lit(1).alias("is_included_column"), F.lit(0).alias("is_secret_column"), "type")
-    every = defined.unionByName(hidden).unionByName(rest).drop("type")
-    return first_per(every, [*index, "column_id"], ["is_included_column", "key_ordinal", "is_secret_column", "is_descending_key"])
+    every = defined.unionByName(hidden).unionByName(rest)
+    # the rank of an entry as one number: its minimum is a hash aggregate with
+    # map-side combine, and all other columns can be read back from it
+    rank = (F.col("is_included_column").cast("bigint") * _INCLUDED + F.col("key_ordinal") * 4 + F.col("is_secret_column") * 2 + F.col("is_descending_key"))
+    best = every.groupBy(*index, "column_id").agg(F.min(rank).alias("_r"))
+    below = F.col("_r") % _INCLUDED
+    return best.select(
+        *index, "column_id", F.shiftright(below, 2).cast("int").alias("key_ordinal"), (F.col("_r") % 2).cast("int").alias("is_descending_key"),
+        (F.col("_r") >= _INCLUDED).cast("int").alias("is_included_column"), (F.shiftright("_r", 1) % 2).cast("int").alias("is_secret_column"))
 
 
 def index_column_lists(index_columns: DataFrame, indexes: DataFrame, include_order: str = "column_id") -> DataFrame:
@@ -53,13 +61,13 @@ def index_column_lists(index_columns: DataFrame, indexes: DataFrame, include_ord
     signed = F.when(F.col("is_descending_key").cast("int") == 1, -F.col("column_id")).otherwise(F.col("column_id"))
     is_key = F.col("is_included_column").cast("int") == 0
 
-    def listed(where: Column, order: str, value: Column) -> Column:
-        entries = F.array_sort(F.collect_list(F.when(where, F.struct(F.col(order).cast("bigint").alias("o"), F.col("column_id").alias("c"), value.alias("v")))))
-        return F.transform(entries, lambda x: x.v)
-
-    per = index_columns.groupBy(*index).agg(
-        listed(is_key, "key_ordinal", signed).alias("key_columns"), listed(~is_key, include_order, F.col("column_id")).alias("include_columns"),
-        F.array_sort(F.collect_set("column_id")).alias("all_columns"))
+    # one list per index, in order of key and column; the others are cut out of it
+    entry = F.struct(F.col("key_ordinal").cast("bigint").alias("o"), F.col("column_id").alias("c"), signed.alias("s"), is_key.alias("k"))
+    per = index_columns.groupBy(*index).agg(F.array_sort(F.collect_list(entry)).alias("_all"))
+    keys_of = F.transform(F.filter("_all", lambda x: x.k), lambda x: x.s)
+    includes = F.transform(F.filter("_all", lambda x: ~x.k), lambda x: x.c)
+    per = per.select(*index, keys_of.alias("key_columns"), (F.array_sort(includes) if include_order == "column_id" else includes).alias("include_columns"),
+                     F.array_sort(F.array_distinct(F.transform("_all", lambda x: x.c))).alias("all_columns"))
     return per.join(indexes, index)
 
 
@@ -81,7 +89,7 @@ def _filter() -> Column:
 def duplicate_indexes(lists: DataFrame) -> DataFrame:
     """Non-clustered indexes of a table with equal filter, keys and includes."""
     table = [*fleet_keys(lists), "object_id"]
-    rows = lists.where(F.col("type") == NONCLUSTERED).withColumn("_filter", _filter())
+    rows = reuse(lists.where(F.col("type") == NONCLUSTERED).withColumn("_filter", _filter()))
     same = [*table, "_filter", "key_columns", "include_columns"]
     groups = rows.groupBy(*same).agg(F.min("index_id").alias("group_id"), F.count(F.lit(1)).alias("group_count")).where(F.col("group_count") > 1)
     return rows.join(groups, same).select(*table, "index_id", "group_id", "group_count", as_text("key_columns").alias("key_columns"), as_text("include_columns").alias("include_columns"))
@@ -91,8 +99,9 @@ def _candidates(lists: DataFrame, parents: Column, children: Column, use_filter:
     """Pairs (p, c) of a table where the keys of c are a prefix of the keys of p."""
     table = [*fleet_keys(lists), "object_id"]
     match = [*table, *(["_filter"] if use_filter else []), "_prefix"]
-    rows = lists.withColumn("_filter", _filter()).select(*table, "index_id", "type", "is_unique", "_filter", "key_columns", "include_columns", "all_columns",
-                                                         *[x for x in ("is_primary_key", "is_unique_constraint") if x in lists.columns])
+    # both sides of the pair read the lists: they are derived once
+    rows = reuse(lists.withColumn("_filter", _filter()).select(*table, "index_id", "type", "is_unique", "_filter", "key_columns", "include_columns", "all_columns",
+                                                               *[x for x in ("is_primary_key", "is_unique_constraint") if x in lists.columns]))
     every_prefix = F.transform(F.sequence(F.lit(1), F.size("key_columns")), lambda n: F.slice("key_columns", F.lit(1), n))
     # a unique index only takes in indexes with equal keys
     prefixes = F.when(F.col("is_unique"), F.array("key_columns")).otherwise(every_prefix) if unique_rule else every_prefix
@@ -123,7 +132,7 @@ def covered_indexes(lists: DataFrame, max_diff: int = 5) -> DataFrame:
     pairs = _candidates(lists, F.lit(True), _not_constraint(lists))
     inside = F.size(F.array_except("c.all_columns", "p.all_columns")) == 0
     differs = (F.col("p.key_columns") != F.col("c.key_columns")) | (F.col("p.all_columns") != F.col("c.all_columns"))
-    pairs = pairs.where((F.col("p.type") == CLUSTERED) | (inside & differs))
+    pairs = reuse(pairs.where((F.col("p.type") == CLUSTERED) | (inside & differs)))
     # a parent that is covered itself is left out
     tops = pairs.select(*table, F.col("c.index_id").alias("_parent")).distinct()
     stored = F.concat(F.transform("p.key_columns", lambda x: F.abs(x)), F.col("p.include_columns"))
