@@ -67,5 +67,5 @@ def read_errorlog(spark: SparkSession, path: str) -> DataFrame:
 def read_event_files(spark: SparkSession, path: str) -> DataFrame:
     """Files of `<event>...</event>` documents as one row per event; the files stay splittable."""
     raw = spark.read.option("lineSep", "</event>").text(path)
-    start = F.instr("value", "<event")
+    start = F.regexp_instr("value", F.lit(r"<event[\s>/]"))
     return raw.where(start > 0).select(F.concat(F.col("value").substr(start, F.length("value")), F.lit("</event>")).alias("event_xml"))
