@@ -42,6 +42,11 @@ def with_frames(sql: str) -> str:
     return f"WITH {ctes}\n{body}"
 
 
+def _zone_free(sql: str) -> str:
+    """The frames mean zone-free timestamps, which is what DuckDB calls TIMESTAMP."""
+    return re.sub(r"\bTIMESTAMP(?= '|\))", "TIMESTAMP_NTZ", sql)
+
+
 class Tables:
     """The given tables and the frames derived from them, opened on first use."""
 
@@ -49,7 +54,7 @@ class Tables:
         self.spark, self.sf_dir = spark, sf_dir
 
     def sql(self, text: str) -> DataFrame:
-        text = with_frames(text)
+        text = _zone_free(with_frames(text))
         for name in _words(text) & set(TABLES):
             self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet").createOrReplaceTempView(name)
         return self.spark.sql(text)

@@ -129,7 +129,7 @@ def top_percent(df: DataFrame, scope: Sequence[str], keys: SortKey, percent: int
     from fleetlens.plans.totals import with_totals
 
     ranked = add_rank(df, scope, keys, "_rank")
-    counted = with_totals(ranked, scope, {"_all": F.count(F.lit(1))})
+    counted = with_totals(ranked, scope, {"_all": F.count(F.lit(1))}, df)
     return counted.where(F.col("_rank") * 100 < F.col("_all") * percent + 100).drop("_rank", "_all")
 
 

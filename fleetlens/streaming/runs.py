@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,19 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def bounded_state_partitions(spark: SparkSession):
+    """Start a stream with at most two state partitions per core: every one of them
+    is a store that each micro-batch opens. The number is fixed at the first start."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), 2 * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def drain(stream: DataFrame, folder: str, mode: str = "append", partition_by: Sequence[str] = ()):
     """Run a stream over everything that has landed and stop; the sink is `folder`/out.
 
@@ -43,7 +57,8 @@ def drain(stream: DataFrame, folder: str, mode: str = "append", partition_by: Se
     writer = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    query = writer.start()
+    with bounded_state_partitions(stream.sparkSession):
+        query = writer.start()
     query.awaitTermination()
     return query
 

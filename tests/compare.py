@@ -22,8 +22,11 @@ SPARK_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "doubl
 def spark_session(cores: int = 8):
     from pyspark.sql import SparkSession
 
+    # results must not depend on the time zone or the number of partitions
+    zone = os.environ.get("FLEETLENS_TEST_ZONE", "UTC")
+    partitions = os.environ.get("FLEETLENS_TEST_PARTITIONS", str(cores))
     return (SparkSession.builder.master(f"local[{cores}]").appName("fleetlens")
-            .config("spark.sql.shuffle.partitions", str(cores)).config("spark.sql.session.timeZone", "UTC")
+            .config("spark.sql.shuffle.partitions", partitions).config("spark.sql.session.timeZone", zone)
             .config("spark.driver.memory", "12g").config("spark.ui.enabled", "false")
             .config("spark.sql.adaptive.enabled", "true").getOrCreate())
 
