@@ -17,7 +17,7 @@ from fleetlens.functions.columns import bracket, fleet_keys, starts_with
 from fleetlens.plans.ordering import first_per, reuse
 
 CLUSTERED, NONCLUSTERED = 1, 2
-_INCLUDED = 1 << 40
+_INCLUDED, _LAST = 1 << 40, 1 << 30
 
 
 def physical_index_columns(indexes: DataFrame, index_columns: DataFrame, columns: DataFrame) -> DataFrame:
@@ -38,17 +38,20 @@ def physical_index_columns(indexes: DataFrame, index_columns: DataFrame, columns
     hidden = kind.where(F.col("type") == NONCLUSTERED).join(clustering, table).select(
         *index, "column_id", F.when(F.col("_unique") == 0, F.col("key_ordinal") + 1000000).otherwise(0).alias("key_ordinal"), "is_descending_key",
         F.col("_unique").alias("is_included_column"), F.lit(1).alias("is_secret_column"), "type")
-    rest = kind.where(F.col("type") == CLUSTERED).join(columns.select(*table, "column_id"), table).join(
-        defined.select(*index, "column_id"), [*index, "column_id"], "left_anti").select(
-        *index, "column_id", F.lit(0).alias("key_ordinal"), F.lit(0).alias("is_descending_key"), F.lit(1).alias("is_included_column"), F.lit(0).alias("is_secret_column"), "type")
-    every = defined.unionByName(hidden).unionByName(rest)
+    # every column of the table, behind all other entries: a column that the
+    # clustered index defines is found under its own entry first
+    rest = kind.where(F.col("type") == CLUSTERED).join(columns.select(*table, "column_id"), table).select(
+        *index, "column_id", F.lit(_LAST).alias("key_ordinal"), F.lit(0).alias("is_descending_key"), F.lit(1).alias("is_included_column"), F.lit(0).alias("is_secret_column"), "type")
+    # one exchange by index serves this aggregate, the lists and the joins by index
+    every = defined.unionByName(hidden).unionByName(rest).repartition(*index)
     # the rank of an entry as one number: its minimum is a hash aggregate with
     # map-side combine, and all other columns can be read back from it
-    rank = (F.col("is_included_column").cast("bigint") * _INCLUDED + F.col("key_ordinal") * 4 + F.col("is_secret_column") * 2 + F.col("is_descending_key"))
+    rank = (F.col("is_included_column").cast("bigint") * _INCLUDED + F.col("key_ordinal").cast("bigint") * 4 + F.col("is_secret_column") * 2 + F.col("is_descending_key"))
     best = every.groupBy(*index, "column_id").agg(F.min(rank).alias("_r"))
     below = F.col("_r") % _INCLUDED
+    ordinal = F.shiftright(below, 2)
     return best.select(
-        *index, "column_id", F.shiftright(below, 2).cast("int").alias("key_ordinal"), (F.col("_r") % 2).cast("int").alias("is_descending_key"),
+        *index, "column_id", F.when(ordinal == _LAST, 0).otherwise(ordinal).cast("int").alias("key_ordinal"), (F.col("_r") % 2).cast("int").alias("is_descending_key"),
         (F.col("_r") >= _INCLUDED).cast("int").alias("is_included_column"), (F.shiftright("_r", 1) % 2).cast("int").alias("is_secret_column"))
 
 

@@ -36,16 +36,23 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
 
 
 @contextmanager
-def bounded_state_partitions(spark: SparkSession):
-    """Start a stream with at most two state partitions per core: every one of them
-    is a store that each micro-batch opens. The number is fixed at the first start."""
-    name = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(int(before), 2 * spark.sparkContext.defaultParallelism)))
+def stream_settings(spark: SparkSession):
+    """Settings a stateful stream starts with, and keeps.
+
+    At most two state partitions per core: every one of them is a store that each
+    micro-batch opens. Sessions are merged inside each task before they are
+    shuffled, so one busy key sends few rows.
+    """
+    wanted = {"spark.sql.shuffle.partitions": str(min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)),
+              "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true"}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def drain(stream: DataFrame, folder: str, mode: str = "append", partition_by: Sequence[str] = ()):
@@ -57,7 +64,7 @@ def drain(stream: DataFrame, folder: str, mode: str = "append", partition_by: Se
     writer = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    with bounded_state_partitions(stream.sparkSession):
+    with stream_settings(stream.sparkSession):
         query = writer.start()
     query.awaitTermination()
     return query
