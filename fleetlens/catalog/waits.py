@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from fleetlens.catalog.registry import FRAMES, query, rounded
+from fleetlens.functions.wait_lists import EDITIONS
 from fleetlens.operators import waits
 
 FRAMES.update(
@@ -36,11 +37,15 @@ def _(t):
     return waits.wait_pareto(t.waits, 95, t.benign)
 
 
-@query("w2_benign_waits")
+_LISTS = "(VALUES " + ", ".join(f"('{w}', '{e}')" for e, ws in EDITIONS.items() for w in ws) + ") AS v(wait_type, edition)"
+
+
+@query("w2_benign_waits", f"""
+    SELECT v.wait_type, edition, landed_count FROM {_LISTS} LEFT JOIN (SELECT wait_type, CAST(SUM(waiting_tasks_count) AS BIGINT) AS landed_count FROM bf_waits GROUP BY 1) w ON w.wait_type = v.wait_type""")
 def _(t):
     # the lists as data, next to how often the landed waits contain each type
     lists = None
-    for edition in ("server", "managed", "cloud", "classic", "daily"):
+    for edition in EDITIONS:
         one = waits.benign_waits(t.spark, edition).withColumn("edition", F.lit(edition))
         lists = one if lists is None else lists.unionByName(one)
     landed = t.waits.groupBy("wait_type").agg(F.sum("waiting_tasks_count").alias("landed_count"))

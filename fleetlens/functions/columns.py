@@ -13,8 +13,19 @@ _WIDE = "decimal(38,0)"
 
 
 def fleet_keys(*frames: DataFrame) -> list[str]:
-    """The fleet keys that all the frames carry; they join every grouping and join key."""
-    return [k for k in FLEET_KEYS if all(k in f.columns for f in frames)]
+    """The fleet keys that the frames carry; they join every grouping and join key.
+
+    Frames of one operator must agree: a join of one frame per member with one
+    without members would mix the members up.
+    """
+    out = []
+    for k in FLEET_KEYS:
+        carried = [k in f.columns for f in frames]
+        if any(carried) and not all(carried):
+            raise ValueError(f"some of the frames carry {k!r} and some do not")
+        if all(carried):
+            out.append(k)
+    return out
 
 
 def c(col: Column | str) -> Column:

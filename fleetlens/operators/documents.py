@@ -133,5 +133,6 @@ def ha_errors(events: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
     out = rows.select(*keys, "event_id", F.col("event_timestamp").try_cast("timestamp_ntz").alias("event_time"), F.col("data")["error_number"].cast("int").alias("error_number"), F.col("data")["message"].alias("message"))
     if catalog is None:
         return out
-    on = [*fleet_keys(out, catalog), "error_number"]
-    return out.join(catalog.withColumnRenamed("message_id", "error_number").select(*on, "severity"), on, "left")
+    # message numbers mean the same on every member
+    texts = catalog.select(F.col("message_id").alias("error_number"), "severity").distinct()
+    return out.join(texts, "error_number", "left")

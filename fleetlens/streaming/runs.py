@@ -70,6 +70,11 @@ def drain(stream: DataFrame, folder: str, mode: str = "append", partition_by: Se
     return query
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def drain_with_state(stream: DataFrame, folder: str, step: Callable[[DataFrame, DataFrame | None], tuple[DataFrame, DataFrame]]) -> None:
     """Run a stream whose rows need what earlier batches left behind.
 
@@ -87,6 +92,9 @@ def drain_with_state(stream: DataFrame, folder: str, step: Callable[[DataFrame,
         out.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
         after.write.mode("overwrite").parquet(f"{folder}/state/{number}")
         rows.unpersist()
+        if number > 1:
+            # this batch may run again and needs the state before it, but none older
+            _delete(spark, f"{folder}/state/{number - 2}")
 
     query = stream.writeStream.foreachBatch(run).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
