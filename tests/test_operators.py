@@ -171,6 +171,18 @@ def test_unique_parent_needs_equal_keys(spark):
     assert values(ic.covered_indexes(lists(spark, defs)), "index_id", "covered_index_id") == [(1, 3)]
 
 
+def test_copies_are_all_reported(spark):
+    defs = {1: (2, False, "AB", "C", None), 2: (2, False, "AB", "C", None), 3: (2, False, "A", "", None), 4: (2, False, "A", "", None)}
+    assert values(ic.covered_indexes(lists(spark, defs)), "index_id", "covered_index_id") == [(1, 3), (1, 4), (2, 3), (2, 4)]
+    defs = {1: (2, False, "AB", "C", None), 2: (2, False, "AB", "C", None), 3: (2, False, "AB", "D", None)}
+    assert values(ic.mergeable_indexes(lists(spark, defs)), "index_id", "merged_index_id") == [(1, 3), (2, 3)]
+
+
+def test_a_third_of_all_indexes_may_be_copies(spark):
+    defs = {i: (2, False, "AB", "C", None) for i in range(1, 400)} | {1000: (2, False, "ABD", "C", None)}
+    assert ic.covered_indexes(lists(spark, defs)).count() == 399
+
+
 def test_filter_terms_are_sorted(spark):
     df = frame(spark, [("([ColB] > 2 AND [ColA] = 1)",), ("([ColA] = 1)",), (None,)], "filter_definition string")
     assert [r[0] for r in ic.normalise_filter(df).collect()] == ["([ColA] = 1 AND [ColB] > 2)", "([ColA] = 1)", None]
