@@ -129,24 +129,23 @@ def _not_constraint(lists: DataFrame) -> Column:
     return test
 
 
-def _shapes(lists: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
-    """The different indexes of each table, each under the smallest id of its copies;
-    all indexes with what makes their shape; and the columns of a shape.
+def _shapes(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The different indexes of each table, each once under a digest of its shape,
+    and the shape of every index.
 
     Copies of one index then meet other indexes once, not once per copy.
     """
     flags = [x for x in ("is_primary_key", "is_unique_constraint") if x in lists.columns]
     shape = [*fleet_keys(lists), "object_id", "filter_definition", "type", "is_unique", *flags, "key_columns", "include_columns", "all_columns"]
-    rows = reuse(lists.withColumn("filter_definition", _filter()).select("index_id", *shape))
-    return rows.groupBy(*shape).agg(F.min("index_id").alias("index_id")), rows, shape
+    parts = [F.col(x).cast("string") for x in ("type", "is_unique", *flags)] + [as_text(x) for x in ("key_columns", "include_columns", "all_columns")] + [_filter()]
+    rows = reuse(lists.select("index_id", *shape, F.sha2(F.concat_ws("|", *parts), 256).alias("_shape")))
+    shapes = rows.select(*shape, F.col("_shape").alias("index_id")).distinct()
+    return shapes, rows.select(*fleet_keys(lists), "object_id", "_shape", "index_id")
 
 
-def _with_copies(pairs: DataFrame, shapes: DataFrame, rows: DataFrame, shape: list[str], first: str, second: str) -> DataFrame:
+def _with_copies(pairs: DataFrame, members: DataFrame, first: str, second: str) -> DataFrame:
     """Replace the shapes of matched pairs by the indexes that have them."""
     table = [*fleet_keys(pairs), "object_id"]
-    used = pairs.select(*table, F.col(first).alias("_shape")).unionByName(pairs.select(*table, F.col(second).alias("_shape"))).distinct()
-    wanted = shapes.withColumnRenamed("index_id", "_shape").join(used, [*table, "_shape"], "left_semi")
-    members = rows.join(wanted, shape).select(*table, "_shape", "index_id")
     out = pairs
     for name in (first, second):
         ids = members.select(*table, F.col("_shape").alias(name), F.col("index_id").alias(f"_{name}"))
@@ -157,7 +156,7 @@ def _with_copies(pairs: DataFrame, shapes: DataFrame, rows: DataFrame, shape: li
 def covered_indexes(lists: DataFrame, max_diff: int = 5) -> DataFrame:
     """Indexes that another index of the table makes superfluous, with the columns it has beyond them."""
     table = [*fleet_keys(lists), "object_id"]
-    shapes, rows, shape = _shapes(lists)
+    shapes, members = _shapes(lists)
     pairs = _candidates(shapes, F.lit(True), _not_constraint(lists))
     inside = F.size(F.array_except("c.all_columns", "p.all_columns")) == 0
     differs = (F.col("p.key_columns") != F.col("c.key_columns")) | (F.col("p.all_columns") != F.col("c.all_columns"))
@@ -170,20 +169,20 @@ def covered_indexes(lists: DataFrame, max_diff: int = 5) -> DataFrame:
     found = pairs.withColumn("_parent", F.col("p.index_id")).join(tops, [*table, "_parent"], "left_anti").where(diff <= max_diff).select(
         *table, F.col("p.index_id").alias("index_id"), F.col("c.index_id").alias("covered_index_id"), as_text("p.key_columns").alias("key_columns"),
         as_text("c.key_columns").alias("covered_key_columns"), diff.alias("column_difference"), as_text(extra).alias("extra_columns"))
-    return _with_copies(reuse(found), shapes, rows, shape, "index_id", "covered_index_id")
+    return _with_copies(found, members, "index_id", "covered_index_id")
 
 
 def mergeable_indexes(lists: DataFrame, max_extra: int = 3) -> DataFrame:
     """Pairs that one index could serve if it took in one to three more columns; one direction per pair."""
     table = [*fleet_keys(lists), "object_id"]
     eligible = _not_constraint(lists) & (F.col("type") == NONCLUSTERED)
-    shapes, rows, shape = _shapes(lists)
+    shapes, members = _shapes(lists)
     pairs = _candidates(shapes, eligible, eligible)
     extra = F.size(F.array_except("c.all_columns", "p.all_columns"))
     same_keys = F.col("p.key_columns") == F.col("c.key_columns")
     pairs = pairs.where(extra.between(1, max_extra) & (~same_keys | (F.size("p.include_columns") > 0))).select(
         *table, F.col("p.index_id").alias("index_id"), F.col("c.index_id").alias("merged_index_id"), extra.alias("extra_column_count"))
-    pairs = _with_copies(reuse(pairs), shapes, rows, shape, "index_id", "merged_index_id")
+    pairs = _with_copies(pairs, members, "index_id", "merged_index_id")
     pairs = pairs.withColumns({"_a": F.least("index_id", "merged_index_id"), "_b": F.greatest("index_id", "merged_index_id")})
     return first_per(pairs, [*table, "_a", "_b"], ["extra_column_count", "index_id"]).drop("_a", "_b")
 
