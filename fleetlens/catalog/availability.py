@@ -48,7 +48,7 @@ FRAMES.update(
             CAST(ROUND(value * 20) AS BIGINT) AS send_queue_size, CAST(ROUND(value * 5) AS BIGINT) AS redo_queue_size FROM events""",
     bf_page_repairs="""
         SELECT event_id AS page_id, user_id % 100 AS database_id, event_id % 7 + 1 AS file_id, event_id % 5 - 1 AS error_type, event_id % 7 AS page_status, ts AS modification_time FROM events""",
-    bf_repair_files="""SELECT s_suppkey AS database_id, r_regionkey + 1 AS file_id, CONCAT(s_name, '_', r_name) AS name FROM supplier JOIN region ON r_regionkey <= s_suppkey""",
+    bf_repair_files="""SELECT DISTINCT l_suppkey AS database_id, l_linenumber AS file_id, CONCAT('file_', CAST(l_linenumber AS VARCHAR(10))) AS name FROM lineitem""",
     bf_primary_principals="""SELECT c_name AS name, c_mktsegment AS type FROM customer UNION ALL SELECT 'sa', 'SQL' FROM region""",
     bf_replica_principals="""SELECT c_name AS name, c_mktsegment AS type FROM customer WHERE c_acctbal > 1000""",
 )

@@ -50,7 +50,7 @@ FRAMES.update(
     bf_internal_tables="""SELECT p_partkey AS object_id, p_partkey % 500 AS parent_object_id FROM part WHERE p_size % 10 = 0""",
     bf_row_groups="""SELECT l_suppkey AS object_id, l_linenumber AS index_id, l_orderkey AS row_group_id, l_partkey % 900 AS total_rows, l_partkey % 100 AS deleted_rows FROM lineitem""",
     bf_partition_layouts="""SELECT s_suppkey AS object_id, s_suppkey % 10 AS function_id, s_suppkey % 4 + 4 AS fanout, s_suppkey % 2 = 0 AS boundary_on_right FROM supplier""",
-    bf_range_values="""SELECT DISTINCT s_suppkey % 10 AS function_id, n_nationkey AS boundary_id, n_nationkey * 1000 AS value FROM supplier JOIN nation ON n_nationkey BETWEEN 1 AND 6 AND s_suppkey >= 0""",
+    bf_range_values="""SELECT DISTINCT l_suppkey % 10 AS function_id, l_linenumber AS boundary_id, l_linenumber * 1000 AS value FROM lineitem""",
 )
 
 _LISTS = """
