@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.text import plus_columns
+from fleetlens.llm.text import plus_columns, unused
 
 UNKNOWN = "und"
 RESULT = "lang_pred string, score double, bits_per_letter double"
@@ -226,8 +226,9 @@ def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...], text: str =
         return pd.DataFrame({"lang_pred": [x for p in parts for x in p[0]], "score": np.concatenate([p[1] for p in parts]),
                              "bits_per_letter": pd.array(np.concatenate([p[2] for p in parts]), dtype="Float64")})
 
-    out = docs.withColumn("_judged", judged(F.col(text)))
-    return out.select(*[F.col(f"`{c}`") for c in columns], *[F.col(f"_judged.{n}").alias(n) for n in names])
+    (found,) = unused(docs.columns, "_judged")
+    out = docs.withColumn(found, judged(F.col(text)))
+    return out.select(*[F.col(f"`{c}`") for c in columns], *[F.col(found)[n].alias(n) for n in names])
 
 
 def held_out(key: Column) -> Column:

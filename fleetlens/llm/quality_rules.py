@@ -18,7 +18,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.text import let, plus_columns, words_of
+from fleetlens.llm.text import let, plus_columns, unused, words_of
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -107,8 +107,9 @@ def quality_rules(docs: DataFrame, text: str = "text", least_words: int = 10, mo
             F.concat_ws("\n", F.transform(p, lambda x: x["line"])).alias("text"))))
 
     with_word = F.filter(F.transform(F.split(t, "\n"), lambda x: F.struct(x.alias("line"), words_of(x).alias("words"), symbols_in(x).alias("symbols"))), lambda x: F.size(x["words"]) > 0)
-    out = docs.withColumn("_judged", let(with_word, judged))
-    x = {k: F.col(f"_judged.{k}") for k in ("n", "repeat", "chars", "symbols", "dup", "lines", "failed", "left", "text")}
+    (found,) = unused(docs.columns, "_judged")
+    out = docs.withColumn(found, let(with_word, judged))
+    x = {k: F.col(found)[k] for k in ("n", "repeat", "chars", "symbols", "dup", "lines", "failed", "left", "text")}
     base_failed = (x["n"] < least_words) | (100 * x["repeat"] > most_repeat_percent * x["n"])
     kept = ~base_failed & (100 * (x["n"] - x["left"]) <= most_lost_percent * x["n"])
     result = dict(zip(RESULT, (x["n"], x["chars"], x["symbols"], x["dup"], x["repeat"], base_failed, x["lines"], x["failed"], x["left"], kept, x["text"])))

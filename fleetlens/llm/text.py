@@ -25,3 +25,15 @@ def plus_columns(columns: list[str], added: list[str]) -> list[str]:
     """The columns of an input that stay beside added ones; an added column replaces one of its name (case aside)."""
     taken = {x.lower() for x in added}
     return [x for x in columns if x.lower() not in taken]
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """Working names that no column has, case aside."""
+    taken = {x.lower() for x in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
