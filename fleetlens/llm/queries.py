@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
 
-OPERATORS = ("language", "near", "mixing", "tokens", "quality")
+OPERATORS = ("language", "sentencepiece", "near", "mixing", "tokens", "quality")
 
 
 def query(name: str, check: str | None = None):
