@@ -56,7 +56,7 @@ def _in_parts(ids: pa.Array, texts: pa.Array) -> Iterator[tuple[list, list[np.nd
         yield some, sets
 
 
-def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+def lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values.view(np.int64)))
 
 
@@ -79,7 +79,7 @@ def sketches(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                     keys = minmax.keys(flat, starts)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(ids, pa.int64()), pa.array(sizes), pa.array(low.view(np.int64)), pa.array(high.view(np.int64)),
-                    _lists(keys.ravel(), np.where(full, bands, 0))], names=["id", "n_shingles", "low", "high", "keys"])
+                    lists(keys.ravel(), np.where(full, bands, 0))], names=["id", "n_shingles", "low", "high", "keys"])
 
     return docs.mapInArrow(sketch, SKETCH)
 
@@ -91,7 +91,7 @@ def sets_of(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for ids, sets in _in_parts(batch.column(0), batch.column(1)):
                 sizes = np.array([len(s) for s in sets], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes), _lists(np.concatenate(sets), sizes)], names=["id", "n", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes), lists(np.concatenate(sets), sizes)], names=["id", "n", "shingles"])
 
     return docs.mapInArrow(full, SETS)
 
@@ -131,6 +131,13 @@ def prefix_pairs(members: DataFrame, percent: int) -> DataFrame:
     return met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
 
 
+def in_open_buckets(met: DataFrame, place: DataFrame) -> DataFrame:
+    """The members (id, component) of buckets that hold two components, of rows (id, bucket)."""
+    at = met.join(place, met["id"] == place["node"], "left").select("id", "bucket", F.coalesce("component", "id").alias("component"))
+    open_ = at.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
+    return at.join(open_, "bucket", "left_semi").select("id", "component").distinct()
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Of every row: the key, `n_shingles`, `component_id` (the smallest key that links reach) and `kept` (it is that key)."""
     texts = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
@@ -155,10 +162,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     links = settled(links.unionAll(confirmed(rest, sets, percent)), "near-links")
 
     place = components(links)
-    at = met.join(place, met["id"] == place["node"], "left").select("id", "bucket", F.coalesce("component", "id").alias("component"))
-    open_ = at.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
-    members = at.join(open_, "bucket", "left_semi").select("id", "component").distinct()
-    rest = prefix_pairs(sets.join(members, "id"), percent)
+    rest = prefix_pairs(sets.join(in_open_buckets(met, place), "id"), percent)
     links = settled(links.unionAll(confirmed(rest, sets, percent)), "near-links")
 
     place = components(links)
