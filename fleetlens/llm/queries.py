@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
 
-OPERATORS = ("language", "sentencepiece", "near", "mixing", "lines", "tokens", "quality", "passages")
+OPERATORS = ("urls", "language", "sentencepiece", "near", "mixing", "lines", "tokens", "quality", "passages")
 
 
 def query(name: str, check: str | None = None):
