@@ -7,8 +7,8 @@
    only where the two are not connected by then.
 3. Buckets that still hold two components may hide links between members that never met. Their classes go through an
    exact prefix join: two sets with the similarity in question share a shingle among the first few of each in one
-   common order. Shingles of one component alone come first in that order and then the rare ones, so most classes
-   have nothing left to join; and pairs within a component are not formed.
+   common order, with enough of each left behind it. Shingles of one component alone come first in that order and
+   then the rare ones, so most classes have nothing left to join; and pairs within a component are not formed.
 4. Confirmed links give the components.
 
 With 48 bands of 5 values, two sets of similarity 0.75 miss all buckets with a probability of 2.3 in a million, of
@@ -120,15 +120,19 @@ def prefix_pairs(members: DataFrame, percent: int) -> DataFrame:
     shared = tokens.groupBy("s").agg(F.count(F.lit(1)).alias("docs"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("s", "docs")
     ranked = (tokens.join(shared, "s").groupBy("id", "n", "component").agg(F.array_sort(F.collect_list(F.struct("docs", "s"))).alias("common")))
     places = F.size("common") - F.ceil(F.col("n") * percent / 100) + 1
-    prefix = ranked.where(places > 0).select("id", "component", F.explode(F.slice("common", F.lit(1), places.cast("int"))).alias("x")).select("id", "component", "x.s")
+    first = F.transform(F.slice("common", F.lit(1), places.cast("int")), lambda x, i: F.struct(x["s"].alias("s"), (F.col("n") - F.size("common") + i + 1).alias("rank")))
+    prefix = ranked.where(places > 0).select("id", "n", "component", F.explode(first).alias("x")).select("id", "n", "component", "x.*")
     prefix = settled(prefix, "near-prefixes")
     # the largest component of a shingle stands on one side alone
     per = prefix.groupBy("s", "component").agg(F.count(F.lit(1)).alias("docs"))
     main = per.groupBy("s").agg(F.max_by("component", F.struct("docs", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("s", "main")
-    left = prefix.join(main.select("s"), "s").select("s", F.col("id").alias("p"), F.col("component").alias("of_p"))
-    right = prefix.join(main, "s").where("component <> main").select("s", F.col("id").alias("q"), F.col("component").alias("of_q"))
-    met = left.join(right, "s").where("of_p <> of_q")
-    return met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+    left = prefix.join(main.select("s"), "s").select("s", *[F.col(x).alias(f"{x}_p") for x in ("id", "n", "component", "rank")])
+    right = prefix.join(main, "s").where("component <> main").select("s", *[F.col(x).alias(f"{x}_q") for x in ("id", "n", "component", "rank")])
+    # both sizes tell how many shingles must be shared; from the first shared one on, each set has to have as many left
+    needed = F.ceil((F.col("n_p") + F.col("n_q")) * percent / (100 + percent))
+    enough = 1 + F.least(F.col("n_p") - F.col("rank_p"), F.col("n_q") - F.col("rank_q")) >= needed
+    met = left.alias("l").join(right.alias("r"), (F.col("l.s") == F.col("r.s")) & (F.col("component_p") != F.col("component_q")) & enough)
+    return met.select(F.least("id_p", "id_q").alias("a"), F.greatest("id_p", "id_q").alias("b")).distinct()
 
 
 def in_open_buckets(met: DataFrame, place: DataFrame) -> DataFrame:
