@@ -142,7 +142,8 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     pairs = held.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
 
     # one place of each class whose words are needed
-    needed = met.join(held.select(F.col("id").alias("digest")).distinct(), "digest", "left_semi").groupBy("digest").agg(F.min(F.struct("id", "start")).alias("at"))
+    needed = met.groupBy("digest").agg(F.min(F.struct("id", "start")).alias("at"))
+    needed = needed.join(held.select(F.col("id").alias("digest")).distinct(), "digest", "left_semi")
     places = needed.groupBy(F.col("at.id").alias("id")).agg(F.collect_list(F.struct(F.col("at.start").alias("start"), "digest")).alias("places"))
     sets = sets_at(texts.join(places, "id").select("id", "text", "places")).dropDuplicates(["id"])
     sets = settled(sets, "passage-sets")
