@@ -48,20 +48,25 @@ def _digest(line: Column) -> list[Column]:
     return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2")]
 
 
-def _blocks(line: Column, parts: Column) -> Column:
-    """The coarse variants of a line: for its own length and the one below, the line in `parts` blocks.
+def _blocks(line: Column, halves: bool = False) -> Column:
+    """The coarse variants of a line: for its own length and the one below, the line in two halves or in blocks of some 20 characters.
 
-    Each has the digest of the length, the block's number and all that lies around the block, and the place of the block.
+    Each has the digest of the length, the block's number and all that lies around the block; the place of the block;
+    and `base`, the block's size in a line of that very length. All of one digest have the same base, and so take the
+    same way from here on.
     """
     n = F.length(line)
 
+    def parts(m: Column) -> Column:
+        return F.lit(2) if halves else F.least(F.ceil((m + 1) / LEAF), F.lit(PARTS)).cast("int")
+
     def block(m: Column, i: Column) -> Column:
-        begin = (i * m / parts).cast("int")
-        behind = m - ((i + 1) * m / parts).cast("int")
+        begin, end = (i * m / parts(m)).cast("int"), ((i + 1) * m / parts(m)).cast("int")
+        behind = m - end
         return F.struct(F.xxhash64(m, i, F.substring(line, F.lit(1), begin), F.lit(-1), F.substring(line, n - behind + 1, behind)).alias("around"),
-                        (begin + 1).alias("begin"), (n - behind - begin).alias("size"))
+                        (begin + 1).alias("begin"), (n - behind - begin).alias("size"), (end - begin).alias("base"))
 
-    return F.flatten(F.transform(F.array(n, n - 1), lambda m: F.transform(F.sequence(F.lit(0), parts.cast("int") - 1), lambda i: block(m, i))))
+    return F.flatten(F.transform(F.array(n, n - 1), lambda m: F.transform(F.sequence(F.lit(0), parts(m) - 1), lambda i: block(m, i))))
 
 
 def _shared(rows: DataFrame) -> DataFrame:
@@ -79,16 +84,15 @@ def _coarse(docs: DataFrame, lines: DataFrame, key: str, text: str) -> DataFrame
         F.explode(F.transform("wanted", lambda w: F.struct(w.alias("w"), F.get(F.col("lines"), w["line_no"]).alias("line")))).alias("x"))
     # rows that share an id may hold another line at that place
     rows = rows.where(F.xxhash64("x.line") == F.col("x.w.h1")).select("x.w.*", "x.line")
-    half = F.get(_blocks(F.col("line"), F.lit(2)), F.col("which"))
+    half = F.get(_blocks(F.col("line"), halves=True), F.col("which"))
     rows = rows.select("group", *DIGEST, "line", half.alias("half"))
-    return rows.select("group", *DIGEST, F.substring(F.col("line"), F.col("half.begin"), F.col("half.size")).alias("block"))
+    return rows.select("group", *DIGEST, F.substring(F.col("line"), F.col("half.begin"), F.col("half.size")).alias("block"), "half.base")
 
 
 def _finer(blocks: DataFrame) -> DataFrame:
     """The same inside blocks: their own blocks that are shared."""
-    parts = F.least(F.ceil(F.length("block") / LEAF), F.lit(PARTS)).cast("int")
-    rows = blocks.select("group", *DIGEST, "block", F.explode(_blocks(F.col("block"), parts)).alias("x"))
-    rows = rows.select(F.xxhash64("group", "x.around").alias("group"), *DIGEST, F.substring(F.col("block"), F.col("x.begin"), F.col("x.size")).alias("block"))
+    rows = blocks.select("group", *DIGEST, "block", F.explode(_blocks(F.col("block"))).alias("x"))
+    rows = rows.select(F.xxhash64("group", "x.around").alias("group"), *DIGEST, F.substring(F.col("block"), F.col("x.begin"), F.col("x.size")).alias("block"), "x.base")
     return rows.join(_shared(rows), "group").distinct()
 
 
@@ -119,17 +123,17 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """Every line with a word: key, `line_no` (from 0), the place of the earliest line that equals it or is within one
     edit of it (its own place, if there is none before it), and whether the line is kept."""
     lines = _lines(docs, key, text)
-    halves = F.when(F.length("line") >= SHORTEST, F.transform(_blocks(F.col("line"), F.lit(2)), lambda x: x["around"]))
+    halves = F.when(F.length("line") >= SHORTEST, F.transform(_blocks(F.col("line"), halves=True), lambda x: x["around"]))
     lines = settled(lines.select("doc", "line_no", *_digest(F.col("line")), halves.alias("halves")), "lines")
     firsts = settled(lines.groupBy(*DIGEST).agg(F.min(F.struct("doc", "line_no")).alias("first")), "line-firsts")
 
     blocks = settled(_coarse(docs, lines, key, text), "line-blocks")
-    leaves = blocks.where(F.length("block") <= LEAF)
-    long = blocks.where(F.length("block") > LEAF)
+    leaves = blocks.where(F.col("base") <= LEAF)
+    long = blocks.where(F.col("base") > LEAF)
     while not long.isEmpty():
         blocks = settled(_finer(long), "line-blocks")
-        leaves = leaves.unionAll(blocks.where(F.length("block") <= LEAF))
-        long = blocks.where(F.length("block") > LEAF)
+        leaves = leaves.unionAll(blocks.where(F.col("base") <= LEAF))
+        long = blocks.where(F.col("base") > LEAF)
 
     near = _earlier_within_one_edit(leaves, firsts)
     earliest = firsts.join(near, list(DIGEST), "left").select(*DIGEST, F.least("first", F.coalesce("near", "first")).alias("earliest"))
