@@ -13,9 +13,9 @@ smallest path wins):
   depend on neighbours: every prefix of that path is the merge result of its own string, so a state is a position
   with the last piece of its prefix.
 
-Composition with an input is lazy and the shortest path is found left to right, one state a position. Where no piece
-continues over two characters (in front of a blank mark, in all usual models) every path goes through one state, so the
-input is cut there, and a worker remembers the paths of the parts it has met.
+Composition with an input is lazy and the shortest path is found left to right, one state a position. Between two
+characters that are neighbours in no piece every path goes through one state, so the input is cut there (in front of a
+blank mark, in all usual models), and a worker remembers the paths of the parts it has met.
 
 Decoding follows the machine backwards: pieces write their strings, runs of byte pieces the characters they spell
 (what is no UTF-8 becomes U+FFFD byte by byte), marks become blanks, and the dummy blank goes.
@@ -120,15 +120,20 @@ class Transducer:
         self.unknown = next(i for i, k in enumerate(self.kinds) if k == UNKNOWN)
         self.bytes = {int(p[3:5], 16): i for i, (p, _, k) in enumerate(model.pieces) if k == BYTE}
         self.byte_of = {i: b for b, i in self.bytes.items()}
-        self.longest = max(map(len, self.lexicon), default=1)
-        #: characters that continue a piece; in front of all others a path has one state
-        inner = {c for p in self.lexicon for c in p[1:]}
-        self.cut = MARK if all(MARK not in p.lstrip(MARK) for p in self.lexicon) else None
-        self.inner = inner
+        #: the most characters of a piece, by its last one
+        self.longest: dict[str, int] = {}
+        for p in self.lexicon:
+            self.longest[p[-1]] = max(len(p), self.longest.get(p[-1], 0))
+        #: the neighbours inside pieces; between all others every path has one state
+        self.inside = {p[i:i + 2] for p in self.lexicon for i in range(len(p) - 1)}
+        self.marks_begin = all(MARK not in p.lstrip(MARK) for p in self.lexicon)
+        #: what a piece spells if it can be told without its neighbours
+        self.plain_of = [p if k in (NORMAL, UNUSED) else chr(self.byte_of[i]) if k == BYTE and self.byte_of[i] < 128 else None for i, (p, _, k) in enumerate(model.pieces)]
         usual = [s for s, k in zip(self.scores, self.kinds) if k == NORMAL]
         self.worst = min(usual, default=0.0) - 10.0  # the weight of an unknown character in a unigram model
         self.beside: dict[int, bool] = {}
         self.paths: dict[str, bytes] = {}
+        self.inner_paths: dict[str, bytes] = {}
 
     # normaliser
 
@@ -179,10 +184,10 @@ class Transducer:
         """The one path of finite weight: by position, the last piece of the prefix and where it began."""
         n = len(text)
         last, begin = [-1] * (n + 1), [0] * (n + 1)
-        lexicon, beside, size = self.lexicon, self.beside, len(self.strings)
+        lexicon, beside, size, longest = self.lexicon, self.beside, len(self.strings), self.longest
         for end in range(1, n + 1):
             begin[end] = end - 1  # a character without a piece, unless an arc reaches this state
-            for start in range(max(0, end - self.longest), end):
+            for start in range(max(0, end - longest.get(text[end - 1], 0)), end):
                 piece = lexicon.get(text[start:end])
                 if piece is None:
                     continue
@@ -201,7 +206,7 @@ class Transducer:
         n = len(text)
         weight, last, begin = [0.0] + [math.inf] * n, [-1] * (n + 1), [0] * (n + 1)
         for end in range(1, n + 1):
-            for start in range(max(0, end - self.longest), end):
+            for start in range(max(0, end - self.longest.get(text[end - 1], 0)), end):
                 piece = self.lexicon.get(text[start:end])
                 w = weight[start] - (self.scores[piece] if piece is not None else math.inf)
                 if piece is not None and self.kinds[piece] == NORMAL and w < weight[end]:
@@ -233,8 +238,8 @@ class Transducer:
         x = self.normalised(text or "")
         if not x:
             return b""
-        if self.cut is None:
-            return self._path(x)
+        if not self.marks_begin:
+            return self._known(x)
         # every blank mark begins a part, but a run of marks stays together with what follows it
         parts = x.split(MARK)
         paths, out, run = self.paths, [], ""
@@ -254,16 +259,33 @@ class Transducer:
     def _known(self, part: str) -> bytes:
         path = self.paths.get(part)
         if path is None:
-            if len(self.paths) >= REMEMBERED:
-                self.paths.clear()
-            path = self._path(part)
+            at = [0, *[i for i in range(1, len(part)) if part[i - 1:i + 1] not in self.inside], len(part)]
+            if not self.model.byte_fallback:
+                at = [0, len(part)]  # neighbouring unknown characters make one piece
+            path = b"".join([self._inner(part[i:j]) for i, j in zip(at, at[1:])])
             if len(part) <= 64:
+                if len(self.paths) >= REMEMBERED:
+                    self.paths.clear()
                 self.paths[part] = path
         return path
 
+    def _inner(self, part: str) -> bytes:
+        path = self.inner_paths.get(part)
+        if path is None:
+            path = self._path(part)
+            if len(part) <= 64:
+                if len(self.inner_paths) >= REMEMBERED:
+                    self.inner_paths.clear()
+                self.inner_paths[part] = path
+        return path
+
     # decoding
 
     def decode(self, ids: np.ndarray) -> str:
+        try:
+            return self.plain("".join(map(self.plain_of.__getitem__, ids.tolist())))
+        except TypeError:
+            pass  # a piece that takes its neighbours to tell
         out, run = [], bytearray()
         for i in ids.tolist():
             b = self.byte_of.get(i)
