@@ -39,7 +39,7 @@ FRAMES.update(
     bf_tracer_history="""SELECT l_orderkey AS tracer_id, l_linenumber AS agent_id, MAX(l_shipdate) AS subscriber_commit FROM lineitem GROUP BY l_orderkey, l_linenumber""",
     bf_agent_history="""SELECT event_id AS history_id, user_id AS agent_id, event_id % 6 + 1 AS runstatus, ts AS log_time, event_id % 97 AS error_id, CAST(ROUND(value * 100) AS BIGINT) AS delivery_latency FROM events""",
     bf_repl_agents="""SELECT DISTINCT user_id AS agent_id, CONCAT('agent_', CAST(user_id AS VARCHAR(10))) AS name FROM events WHERE user_id % 9 > 0""",
-    bf_repl_errors="""SELECT s_suppkey AS error_id, s_name AS error_text FROM supplier WHERE s_suppkey < 50""",
+    bf_repl_errors="""SELECT s_suppkey AS error_id, s_name AS error_text FROM supplier""",
     bf_geo_links="""
         SELECT o_orderkey AS link_id, o_orderpriority AS partner_server, o_custkey AS partner_database, o_orderdate AS last_replication, o_custkey % 200 AS replication_lag_sec,
             CASE o_orderstatus WHEN 'P' THEN 'PENDING' ELSE 'CATCH_UP' END AS replication_state_desc, 'PRIMARY' AS role_desc FROM orders""",

@@ -16,7 +16,7 @@ FRAMES.update(
         SELECT o_orderkey + 7 AS restore_history_id, o_custkey AS database_id, o_orderkey AS backup_set_id, o_orderdate AS restore_date, CASE o_orderstatus WHEN 'F' THEN 'D' WHEN 'P' THEN 'I' ELSE 'X' END AS restore_type,
             o_orderpriority AS user_name FROM orders WHERE o_orderkey % 4 = 0""",
     bf_restore_files="""SELECT o_orderkey + 7 AS restore_history_id, CONCAT('/data/', CAST(o_orderkey AS VARCHAR(20))) AS destination_phys_name FROM orders WHERE o_orderkey % 8 = 0""",
-    bf_ship_primaries="""SELECT c_custkey AS primary_id, c_name AS primary_database FROM customer WHERE c_nationkey < 12""",
+    bf_ship_primaries="""SELECT c_custkey AS primary_id, c_name AS primary_database FROM customer""",
     bf_ship_secondaries="""SELECT c_custkey AS primary_id, c_mktsegment AS secondary_server FROM customer WHERE c_acctbal > 0""",
     bf_ship_monitor="""SELECT c_custkey AS primary_id, c_nationkey * 10 AS backup_threshold FROM customer""",
     bf_ship_status="""
@@ -25,7 +25,7 @@ FRAMES.update(
             c_mktsegment AS last_restored_file FROM customer""",
     bf_ship_errors="""SELECT o_orderkey AS error_id, o_orderkey % 3 + 1 AS agent_type, o_orderpriority AS message FROM orders WHERE o_orderstatus = 'P'""",
     bf_encryption_keys="""SELECT c_custkey AS database_id, c_custkey % 60 AS encryptor_thumbprint FROM customer WHERE c_custkey % 3 = 0""",
-    bf_certificates="""SELECT s_suppkey AS thumbprint, s_name AS name FROM supplier WHERE s_suppkey < 40""",
+    bf_certificates="""SELECT s_suppkey AS thumbprint, s_name AS name FROM supplier""",
 )
 
 
@@ -101,8 +101,8 @@ def _(t):
 
 @query("b8_log_shipping_alerts", """
     SELECT database_name || CASE WHEN is_primary THEN ' (Primary)' ELSE ' (Secondary)' END AS object_name,
-        CASE WHEN is_backup_alert_enabled AND time_since_last_backup > backup_threshold THEN 'Backup Threshold Alert! Last File Backed up: ' || COALESCE(last_backup_file, '(null)')
-            WHEN is_restore_alert_enabled AND time_since_last_restore > last_restored_latency THEN 'Restore Threshold Alert! Last Restored File: ' || last_restored_file ELSE 'Status is not healthy!' END AS details
+        CASE WHEN is_backup_alert_enabled AND time_since_last_backup > backup_threshold THEN 'log backup is late; last file: ' || COALESCE(last_backup_file, '(null)')
+            WHEN is_restore_alert_enabled AND time_since_last_restore > last_restored_latency THEN 'log restore is late; last file: ' || last_restored_file ELSE 'reported as unhealthy' END AS details
     FROM bf_ship_status WHERE status OR (is_backup_alert_enabled AND time_since_last_backup > backup_threshold) OR (is_restore_alert_enabled AND time_since_last_restore > last_restored_latency)""")
 def _(t):
     return b.log_shipping_alerts(t.ship_status)

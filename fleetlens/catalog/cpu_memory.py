@@ -35,7 +35,8 @@ FRAMES.update(
     bf_filegroups="""SELECT DISTINCT l_linenumber % 3 AS data_space_id, CONCAT('fg', CAST(l_linenumber % 3 AS VARCHAR(10))) AS name FROM lineitem""",
     bf_timed_buffers="""SELECT b.*, page_id % 1000 AS read_microsec FROM bf_buffers b""",
     bf_numa_nodes="""SELECT c_custkey AS node_id, c_custkey % 50 AS memory_node_id, CASE WHEN c_custkey % 10 = 0 THEN 'ONLINE DAC' ELSE 'ONLINE' END AS node_state_desc, c_nationkey AS cpu_count FROM customer""",
-    bf_numa_memory="""SELECT c_custkey AS memory_node_id, c_custkey * 5000 AS pages_kb, c_custkey * 6000 AS target_kb, c_custkey * 100 AS foreign_committed_kb FROM customer WHERE c_custkey < 45""",
+    bf_deep_nodes="""SELECT p_partkey AS id, CASE WHEN p_partkey > 1 THEN CAST(FLOOR(p_partkey / 2) AS BIGINT) END AS parent_id, p_name AS name, CAST(p_size * 1000 AS BIGINT) AS amount FROM part""",
+    bf_numa_memory="""SELECT c_custkey AS memory_node_id, c_custkey * 5000 AS pages_kb, c_custkey * 6000 AS target_kb, c_custkey * 100 AS foreign_committed_kb FROM customer""",
     bf_resource_stats="""
         SELECT user_id AS instance_id, ts AS end_time, value AS avg_cpu_percent, value / 2 AS avg_data_io_percent, event_id AS io_bytes_read, event_id % 1000 AS io_bytes_written FROM events""",
     bf_pools="""SELECT p_partkey AS pool_id, p_name AS name, p_size AS min_memory_percent, p_partkey * 1000 AS max_memory_kb, p_partkey * 700 AS used_memory_kb FROM part""",
@@ -78,6 +79,16 @@ def _(t):
     return m.memory_tree(t.nodes)
 
 
+@query("m4_memory_tree_deep", f"""
+    WITH RECURSIVE d AS (
+        SELECT id, parent_id, name, amount, 0 AS level, name AS label, CAST(NULL AS DOUBLE) AS share_of_parent, CAST(NULL AS DOUBLE) AS share_of_root, amount AS ra FROM bf_deep_nodes WHERE parent_id IS NULL
+        UNION ALL SELECT n.id, n.parent_id, n.name, n.amount, d.level + 1, REPEAT('      ', d.level) || '|···' || n.name, COALESCE({R('n.amount', 'd.amount', 4)}, 0.0),
+            CASE WHEN d.level >= 1 THEN COALESCE({R('n.amount', 'd.ra', 4)}, 0.0) END, d.ra FROM bf_deep_nodes n JOIN d ON n.parent_id = d.id)
+    SELECT id, parent_id, name, amount, level, label, share_of_parent, share_of_root FROM d""")
+def _(t):
+    return m.memory_tree(t.deep_nodes)
+
+
 @query("m5_normalise_counters", f"""
     SELECT object_name, counter_name, instance_name, CAST(cntr_value AS BIGINT) AS cntr_value,
         CASE WHEN raw_name LIKE '%(KB)' THEN {R('cntr_value', '1024', 2)} ELSE CAST(cntr_value AS DOUBLE) END AS formatted_value, SPLIT_PART(raw_name, ' ', 1) AS short_name FROM bf_clean_counters""")
@@ -114,7 +125,7 @@ def _(t):
     WITH c AS (SELECT MAX(cntr_value) FILTER (counter_name = 'Target Server Memory (KB)') AS g, MAX(cntr_value) FILTER (counter_name = 'Total Server Memory (KB)') AS t,
         MAX(cntr_value) FILTER (counter_name = 'Page life expectancy') AS p FROM bf_counters)
     SELECT {R('g', '1048576', 3)} AS target_gb, {R('t', '1048576', 3)} AS total_gb, CAST(p AS BIGINT) AS ple_s, {R('t', '(p * 1024)', 2)} AS churn_mb_s,
-        CASE WHEN t < g THEN 'Target >= Total. The server wants more memory than it has, or is building up to that point.' ELSE 'Total >= Target. The server has enough memory to do what it wants.' END AS target_vs_total FROM c""")
+        CASE WHEN t < g THEN 'below target: memory is still being taken, or there is no more to take' ELSE 'target reached' END AS target_vs_total FROM c""")
 def _(t):
     return m.memory_summary(t.counters)
 
@@ -184,13 +195,13 @@ def _(t):
         FROM f JOIN bf_settings s ON s.instance_id = f.instance_id AND name = 'max degree of parallelism' JOIN bf_sys_info i ON i.instance_id = f.instance_id)
     SELECT instance_id, nn AS numa_nodes, cc AS cpu_count, oc AS online_count, pn AS per_node, cur AS current_maxdop,
         CAST(CASE WHEN eff = 1 THEN CASE WHEN pn <= lim THEN pn WHEN pn // 2 <= lim THEN pn // 2 ELSE lim END WHEN pn <= lim AND eff > pn THEN pn WHEN pn > lim AND nn = 1 THEN 8 WHEN pn > lim THEN 16 END AS BIGINT) AS threshold_maxdop,
-        CASE WHEN eff = 1 THEN 'MaxDOP is set to 1, which suppresses parallel plan generation.' WHEN pn <= lim AND eff > pn THEN 'MaxDOP should be less than or equal to the Logical Processor count per NUMA node.'
-            WHEN pn > lim AND nn = 1 THEN 'MaxDOP should be equal to 8.' WHEN pn > lim THEN 'MaxDOP should not exceed a value of 16.' END AS threshold_message,
+        CASE WHEN eff = 1 THEN '1 rules out parallel plans' WHEN pn <= lim AND eff > pn THEN 'more than a node has processors'
+            WHEN pn > lim AND nn = 1 THEN 'one large node: 8 is enough' WHEN pn > lim THEN 'more than 16' END AS threshold_message,
         CAST(CASE WHEN cc < 8 AND cc <= hr THEN cc WHEN cc >= 8 AND cc <= hr THEN 8 WHEN cc >= 8 THEN pn // (cc // hr) END AS BIGINT) AS kin_maxdop,
         CAST(CASE WHEN cur > oc THEN oc WHEN nn = 1 AND oc > 8 AND (cur = 0 OR cur > 8) THEN 8 WHEN nn > 1 AND share < 8 AND (cur = 0 OR cur > share) THEN share
             WHEN nn > 1 AND share >= 8 AND (cur = 0 OR cur > 8 OR cur > share) THEN 8 END AS BIGINT) AS check_maxdop,
-        CASE WHEN cur > oc THEN 'MaxDOP setting exceeds available processor count (affinity)' WHEN nn = 1 AND oc > 8 AND (cur = 0 OR cur > 8) THEN 'MaxDOP setting is not recommended for current processor count (affinity)'
-            WHEN nn > 1 AND ((share < 8 AND (cur = 0 OR cur > share)) OR (share >= 8 AND (cur = 0 OR cur > 8 OR cur > share))) THEN 'MaxDOP setting is not recommended for current NUMA node to processor count (affinity) ratio' END AS check_deviation
+        CASE WHEN cur > oc THEN 'more than the processors in use' WHEN nn = 1 AND oc > 8 AND (cur = 0 OR cur > 8) THEN 'not the advised value for so many processors'
+            WHEN nn > 1 AND ((share < 8 AND (cur = 0 OR cur > share)) OR (share >= 8 AND (cur = 0 OR cur > 8 OR cur > share))) THEN 'not the advised value for so many processors a node' END AS check_deviation
     FROM g""")
 def _(t):
     return m.maxdop_advice(t.schedulers, t.sys_info, t.settings)
@@ -205,9 +216,9 @@ def _(t):
         WHEN system_mb <= 32768 THEN 3072 ELSE 4096 END AS BIGINT) AS os_reserve_mb FROM f),
     h AS (SELECT *, system_mb - os_reserve_mb - (max_workers_count * 2 - 256) AS recommended_mb FROM g)
     SELECT *, CAST(CASE WHEN numa_nodes > 1 THEN TRUNC(recommended_mb / numa_nodes) * numa_nodes_affined ELSE recommended_mb END AS BIGINT) AS recommended_for_nodes_mb,
-        CASE WHEN max_memory_mb > system_mb THEN 'MaxMem setting exceeds available system memory'
-            WHEN numa_nodes > 1 AND (max_memory_mb // numa_nodes) * numa_nodes_affined > (system_mb // numa_nodes) * numa_nodes_affined THEN 'MaxMem setting will leverage node foreign memory'
-            WHEN numa_nodes <= 1 AND max_memory_mb BETWEEN recommended_mb AND system_mb THEN 'MaxMem setting is too high' END AS alert
+        CASE WHEN max_memory_mb > system_mb THEN 'limit above what the host has'
+            WHEN numa_nodes > 1 AND (max_memory_mb // numa_nodes) * numa_nodes_affined > (system_mb // numa_nodes) * numa_nodes_affined THEN 'limit takes memory of other nodes'
+            WHEN numa_nodes <= 1 AND max_memory_mb BETWEEN recommended_mb AND system_mb THEN 'limit leaves the host too little' END AS alert
     FROM h""")
 def _(t):
     return m.max_memory_advice(t.sys_memory, t.sys_info, t.settings, t.schedulers)

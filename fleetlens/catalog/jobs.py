@@ -16,12 +16,12 @@ FRAMES.update(
             CASE WHEN c_acctbal > 0 THEN c_mktsegment END AS last_outcome_message FROM customer WHERE c_custkey % 11 <> 0""",
     bf_job_steps="""SELECT o_custkey AS job_id, o_orderkey AS step_uid FROM orders WHERE o_orderkey % 3 = 0""",
     bf_job_alerts="""SELECT o_custkey AS job_id, o_orderstatus = 'F' AS enabled FROM orders WHERE o_orderkey % 25 = 0""",
-    bf_logins="""SELECT s_suppkey AS sid, s_name AS name, s_suppkey % 17 = 0 AS denylogin, s_suppkey % 19 <> 0 AS hasaccess FROM supplier WHERE s_suppkey < 60""",
+    bf_logins="""SELECT s_suppkey AS sid, s_name AS name, s_suppkey % 17 = 0 AS denylogin, s_suppkey % 19 <> 0 AS hasaccess FROM supplier""",
     bf_sysadmins="""SELECT s_suppkey AS sid FROM supplier WHERE s_suppkey % 2 = 0""",
     bf_job_activity="""
         SELECT event_id AS activity_id, user_id AS job_id, event_id % 3 AS session_id, ts AS run_requested_date, CASE WHEN event_type = 'view' THEN ts END AS stop_execution_date,
             CASE WHEN event_type <> 'click' THEN event_id % 9 END AS last_executed_step_id FROM events""",
-    bf_agent_sessions="""SELECT r_regionkey AS session_id, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 DAY AS agent_start_date FROM region WHERE r_regionkey <= 2""",
+    bf_agent_sessions="""SELECT r_regionkey AS session_id, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 DAY AS agent_start_date FROM region""",
     bf_agent_alerts="""SELECT p_partkey AS alert_id, p_name AS name, CASE WHEN p_size % 2 = 0 THEN 820 + p_partkey % 10 ELSE 0 END AS message_id, CASE WHEN p_size % 2 = 1 THEN p_size % 4 ELSE 0 END AS severity FROM part""",
     bf_messages="""SELECT p_partkey + 600 AS message_id, p_partkey % 25 + 1 AS severity, p_name AS text FROM part""",
 )
@@ -85,7 +85,7 @@ def _(t):
         LEFT JOIN (SELECT job_id, COUNT(*) AS n FROM bf_schedule_links WHERE enabled GROUP BY 1) c ON c.job_id = j.job_id LEFT JOIN (SELECT job_id, COUNT(*) AS n FROM bf_job_alerts WHERE enabled GROUP BY 1) d ON d.job_id = j.job_id
         LEFT JOIN (SELECT job_id, COUNT(*) AS n FROM bf_job_history WHERE run_date > 20231231 GROUP BY 1) e ON e.job_id = j.job_id WHERE date_created < TIMESTAMP '{AS_OF}' - INTERVAL 15 MINUTE)
     SELECT * EXCLUDE (owner_name), 'No target server' AS finding FROM n WHERE target_count = 0 UNION ALL SELECT * EXCLUDE (owner_name), 'No steps' FROM n WHERE step_count = 0
-    UNION ALL SELECT * EXCLUDE (owner_name), 'No enabled schedules or alerts, and no recent runs' FROM n WHERE schedule_count = 0 AND alert_count = 0 AND recent_run_count = 0
+    UNION ALL SELECT * EXCLUDE (owner_name), 'nothing starts it and it has not run lately' FROM n WHERE schedule_count = 0 AND alert_count = 0 AND recent_run_count = 0
     UNION ALL SELECT * EXCLUDE (owner_name), 'No valid owner' FROM n WHERE owner_name IS NULL""")
 def _(t):
     return j.misconfigured_jobs(t.jobs, t.job_servers, t.job_steps, t.schedule_links, t.job_alerts, t.job_history, AS_OF)

@@ -148,8 +148,8 @@ def _(t):
 
 @query("q9_adhoc_plan_ratio", f"""
     WITH s AS (SELECT SUM(CASE WHEN usecounts = 1 AND objtype = 'Adhoc' THEN size_in_bytes ELSE 0 END) AS a, SUM(size_in_bytes) AS n FROM bf_cached_plans),
-    d AS (SELECT *, CASE WHEN value = 1 AND (a > 200 * 1048576 OR a * 100 > 25 * n) THEN 'Optimize for ad hoc workloads is on, but recommended to be off'
-        WHEN value = 0 AND a < 200 * 1048576 AND a * 100 < 25 * n THEN 'Optimize for ad hoc workloads is off, but recommended to be on' END AS details FROM s, bf_adhoc_setting)
+    d AS (SELECT *, CASE WHEN value = 1 AND (a > 200 * 1048576 OR a * 100 > 25 * n) THEN 'plan stubs are on although such plans take little worth saving; switch them off'
+        WHEN value = 0 AND a < 200 * 1048576 AND a * 100 < 25 * n THEN 'plan stubs are off; switch them on' END AS details FROM s, bf_adhoc_setting)
     SELECT {R('a', '1048576', 2)} AS adhoc_mb, {R('n', '1048576', 2)} AS total_mb, {R('a', 'n', 2, 100)} AS adhoc_pct, details FROM d WHERE details IS NOT NULL""")
 def _(t):
     return q.adhoc_plan_ratio(t.cached_plans, t.adhoc_setting)

@@ -59,22 +59,22 @@ FRAMES.update(
 
 @query("r1_run_rules", """
     SELECT 'Database Backup' AS category, 'Never backed up' AS sub_category, name AS object_name, 'No backup was found' AS details FROM bf_databases WHERE database_id NOT IN (SELECT database_id FROM bf_backupset)
-    UNION ALL SELECT 'General', 'File Auto Growth is Disabled', physical_name, 'File Auto Growth should be ON (with a max size limit)' FROM bf_space_files WHERE growth = 0
-    UNION ALL SELECT 'Automation', 'Query Store', database_name, 'Query Store Capture is on but Auto Cleanup is off!' FROM bf_store_options WHERE query_capture_mode <> 3 AND size_based_cleanup_mode <> 1
-    UNION ALL SELECT 'Automation', 'Query Store Status Alert', database_name, 'Desired State is: ' || desired_state_desc || ', Actual State: ' || actual_state_desc FROM bf_store_options
+    UNION ALL SELECT 'General', 'cannot grow', physical_name, 'File Auto Growth should be ON (with a max size limit)' FROM bf_space_files WHERE growth = 0
+    UNION ALL SELECT 'Automation', 'Query Store', database_name, 'captures queries and never removes any' FROM bf_store_options WHERE query_capture_mode <> 3 AND size_based_cleanup_mode <> 1
+    UNION ALL SELECT 'Automation', 'Query Store state', database_name, 'wanted: ' || desired_state_desc || ', is: ' || actual_state_desc FROM bf_store_options
         WHERE desired_state_desc <> actual_state_desc AND database_name NOT IN (SELECT database_name FROM bf_secondary_databases)""")
 def _(t):
     never = backup.stale_backups(t.databases, t.backupset, AS_OF).where("age_hours = 9999").join(t.databases.select("database_id", "name"), "database_id")
-    fixed = storage.file_growth_findings(t.space_files).where("finding = 'File Auto Growth is Disabled'")
+    fixed = storage.file_growth_findings(t.space_files).where("finding = 'cannot grow'")
     return r.run_rules([
         r.finding(never, "Database Backup", "Never backed up", "name", "No backup was found"),
-        r.finding(fixed, "General", "File Auto Growth is Disabled", "physical_name", "File Auto Growth should be ON (with a max size limit)"),
+        r.finding(fixed, "General", "cannot grow", "physical_name", "File Auto Growth should be ON (with a max size limit)"),
         r.query_store_findings(t.store_options, t.secondary_databases),
     ])
 
 
 @query("r2_config_drift", """
-    SELECT instance_id, c.name, value, recommended_value, 'Setting is not the recommended value (current value: ' || CAST(value AS VARCHAR) || ', recommended value: ' || CAST(recommended_value AS VARCHAR) || ')' AS details
+    SELECT instance_id, c.name, value, recommended_value, 'differs from the recommendation (current value: ' || CAST(value AS VARCHAR) || ', recommended value: ' || CAST(recommended_value AS VARCHAR) || ')' AS details
     FROM bf_config c JOIN (SELECT name, CAST(recommended_value AS INTEGER) AS recommended_value FROM bf_recommended) r ON c.name = r.name WHERE value <> recommended_value""")
 def _(t):
     return r.config_drift(t.config, t.recommended)
@@ -83,10 +83,10 @@ def _(t):
 @query("r2_config_pair_findings", """
     WITH w AS (SELECT instance_id, MAX(value) FILTER (name = 'affinity mask') AS a, MAX(value) FILTER (name = 'affinity I/O mask') AS i, MAX(value) FILTER (name = 'blocked process threshold (s)') AS b,
         MAX(value) FILTER (name = 'min memory per query (KB)') AS q, MAX(value) FILTER (name = 'index create memory (KB)') AS x, MAX(value) FILTER (name = 'max worker threads') AS t FROM bf_pair_settings GROUP BY 1)
-    SELECT instance_id, 'Current Affinity Mask and Affinity I/O Mask are overlaping' AS details FROM w WHERE a & i <> 0
-    UNION ALL SELECT instance_id, 'Setting is not the recommended value. If not disabled, value should be higher than 4' FROM w WHERE b > 0 AND b < 5
-    UNION ALL SELECT instance_id, 'Index create memory should not be less than Min memory per query' FROM w WHERE x > 0 AND x < q
-    UNION ALL SELECT instance_id, 'Max worker threads should not be larger than 2048 on a x64 system' FROM w WHERE t > 2048""")
+    SELECT instance_id, 'some processors are assigned to queries and to I/O at once' AS details FROM w WHERE a & i <> 0
+    UNION ALL SELECT instance_id, 'a blocking report every 1 to 4 seconds is too frequent; use 0 or at least 5' FROM w WHERE b > 0 AND b < 5
+    UNION ALL SELECT instance_id, 'building an index may take less memory than any query gets' FROM w WHERE x > 0 AND x < q
+    UNION ALL SELECT instance_id, 'more than 2048 workers on 64 bits' FROM w WHERE t > 2048""")
 def _(t):
     return r.config_pair_findings(t.pair_settings)
 
@@ -108,15 +108,15 @@ def _(t):
 
 @query("r5_database_findings", """
     WITH o AS (SELECT * FROM bf_db_settings WHERE state_desc = 'ONLINE')
-    SELECT 'General' AS category, 'Database Auto Close is ON' AS sub_category, name AS object_name, 'Strongly recommended to set Database Auto Close to OFF' AS details FROM o WHERE is_auto_close_on
-    UNION ALL SELECT 'Performance', 'Database Auto Shrink is ON', name, 'Strongly recommended to set Database Auto Shrink to OFF' FROM o WHERE is_auto_shrink_on
-    UNION ALL SELECT 'Performance', 'Auto Create Statistics is OFF', name, 'Recommended to turn Auto Create Statistics ON' FROM o WHERE NOT is_auto_create_stats_on
-    UNION ALL SELECT 'Performance', 'Auto Update Statistics is OFF', name, 'Recommended to turn Auto Update Statistics ON' FROM o WHERE NOT is_auto_update_stats_on
-    UNION ALL SELECT 'General', 'DB Page Verification different from CHECKSUM', name, 'Current setting: ' || page_verify_option_desc FROM o WHERE page_verify_option_desc <> 'CHECKSUM'
-    UNION ALL SELECT 'Database Compatibility Mismatch', 'Database Compatibility: ' || CAST(compatibility_level AS VARCHAR) || ', Instance Compatibility: 150', name, 'User Database Compatibility should be the same as Instance Compatibility'
+    SELECT 'General' AS category, 'closes when idle' AS sub_category, name AS object_name, 'every reopening costs time and empties its caches; switch it off' AS details FROM o WHERE is_auto_close_on
+    UNION ALL SELECT 'Performance', 'shrinks by itself', name, 'shrinking fragments indexes and files grow again; switch it off' FROM o WHERE is_auto_shrink_on
+    UNION ALL SELECT 'Performance', 'no statistics are made on demand', name, 'plans lack row estimates; switch it on' FROM o WHERE NOT is_auto_create_stats_on
+    UNION ALL SELECT 'Performance', 'statistics are not refreshed', name, 'plans use old row estimates; switch it on' FROM o WHERE NOT is_auto_update_stats_on
+    UNION ALL SELECT 'General', 'pages are not verified by checksum', name, 'verified by: ' || page_verify_option_desc FROM o WHERE page_verify_option_desc <> 'CHECKSUM'
+    UNION ALL SELECT 'Compatibility', 'database level ' || CAST(compatibility_level AS VARCHAR) || ', instance level 150', name, 'behaves like another version than the instance'
         FROM bf_db_settings WHERE compatibility_level <> 150
-    UNION ALL SELECT 'General', 'Database is not online!', name, 'Database status is ' || state_desc FROM bf_db_settings WHERE state_desc <> 'ONLINE'
-    UNION ALL SELECT 'General', 'Invalid database owner', name, 'Login may have been deleted, or the database was copied from another server. Please set a new valid owner for the database.' FROM bf_db_settings
+    UNION ALL SELECT 'General', 'not online', name, 'state: ' || state_desc FROM bf_db_settings WHERE state_desc <> 'ONLINE'
+    UNION ALL SELECT 'General', 'owner unknown', name, 'no login has the owner''s id, as after a restore from elsewhere; name an owner that exists' FROM bf_db_settings
         WHERE owner_sid NOT IN (SELECT sid FROM bf_logins)""")
 def _(t):
     return r.database_findings(t.db_settings, t.logins)
@@ -155,7 +155,7 @@ def _(t):
 
 
 @query("r10_orphaned_users", """
-    SELECT *, CASE WHEN name IN (SELECT name FROM bf_user_logins) THEN 'Login with same name already exists' ELSE 'Login with same name was not found' END AS details FROM bf_users
+    SELECT *, CASE WHEN name IN (SELECT name FROM bf_user_logins) THEN 'a login of that name exists' ELSE 'no login of that name' END AS details FROM bf_users
     WHERE authentication_type_desc = 'INSTANCE' AND sid NOT IN (SELECT sid FROM bf_user_logins)""")
 def _(t):
     return s.orphaned_users(t.users, t.user_logins)
@@ -201,7 +201,7 @@ def _(t):
 
 
 @query("r13_linked_server_exposure", """
-    SELECT server_id, name, 'No login mapping configured (anyone can access it)' AS details FROM bf_linked_servers WHERE server_id <> 0 AND (is_data_access_enabled OR NOT is_distributor)
+    SELECT server_id, name, 'open to every login' AS details FROM bf_linked_servers WHERE server_id <> 0 AND (is_data_access_enabled OR NOT is_distributor)
         AND server_id IN (SELECT server_id FROM bf_linked_logins WHERE local_principal_id = 0 AND NOT uses_self_credential)""")
 def _(t):
     return s.linked_server_exposure(t.linked_servers, t.linked_logins)
@@ -220,31 +220,31 @@ def _(t):
 
 @query("r16_file_findings", f"""
     WITH l AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY log_kind ORDER BY archive_no) AS rn FROM bf_log_archives)
-    SELECT 'Instance Health' AS category, 'Dump File Found' AS sub_category, filename AS object_name, 'Dump created on ' || STRFTIME(creation_time, '%Y-%m-%d %H:%M:%S') || ' | details: ' || REPLACE(filename, '.mdmp', '.txt') AS details FROM bf_dumps
-    UNION ALL SELECT 'Automation', 'DB Mail Error', 'MailItemID ' || CAST(mailitem_id AS VARCHAR), 'Error Message: ' || description FROM bf_mail_events WHERE event_type = 'error' AND log_date >= TIMESTAMP '{EVENTS_AS_OF}' - INTERVAL 3600 MINUTE
-    UNION ALL SELECT 'Performance', 'Error Log Size Too Big', log_kind || ' size is ' || CAST({R('size_bytes', '1048576', 2)} AS VARCHAR) || ' MB.', 'Please cycle the log periodically!' FROM l WHERE rn = 1 AND {R('size_bytes', '1048576', 2)} > 100""")
+    SELECT 'Instance Health' AS category, 'crash dump' AS sub_category, filename AS object_name, 'written at ' || STRFTIME(creation_time, '%Y-%m-%d %H:%M:%S') || ' | details: ' || REPLACE(filename, '.mdmp', '.txt') AS details FROM bf_dumps
+    UNION ALL SELECT 'Automation', 'mail failed', 'mail ' || CAST(mailitem_id AS VARCHAR), 'reason: ' || description FROM bf_mail_events WHERE event_type = 'error' AND log_date >= TIMESTAMP '{EVENTS_AS_OF}' - INTERVAL 3600 MINUTE
+    UNION ALL SELECT 'Performance', 'error log too large', log_kind || ' has ' || CAST({R('size_bytes', '1048576', 2)} AS VARCHAR) || ' MB.', 'start a new log from time to time' FROM l WHERE rn = 1 AND {R('size_bytes', '1048576', 2)} > 100""")
 def _(t):
     return r.file_findings(t.dumps, t.mail_events, t.log_archives, EVENTS_AS_OF, 3600)
 
 
 @query("r17_query_store_findings", """
-    SELECT 'Automation' AS category, 'Query Store' AS sub_category, database_name AS object_name, 'Query Store Capture is on but Auto Cleanup is off!' AS details FROM bf_store_options WHERE query_capture_mode <> 3 AND size_based_cleanup_mode <> 1
-    UNION ALL SELECT 'Automation', 'Query Store Status Alert', database_name, 'Desired State is: ' || desired_state_desc || ', Actual State: ' || actual_state_desc FROM bf_store_options
+    SELECT 'Automation' AS category, 'Query Store' AS sub_category, database_name AS object_name, 'captures queries and never removes any' AS details FROM bf_store_options WHERE query_capture_mode <> 3 AND size_based_cleanup_mode <> 1
+    UNION ALL SELECT 'Automation', 'Query Store state', database_name, 'wanted: ' || desired_state_desc || ', is: ' || actual_state_desc FROM bf_store_options
         WHERE desired_state_desc <> actual_state_desc AND database_name NOT IN (SELECT database_name FROM bf_secondary_databases)""")
 def _(t):
     return r.query_store_findings(t.store_options, t.secondary_databases)
 
 
-_SEC = "'Security' AS category, 'Not recommended instance security configuration' AS sub_category"
+_SEC = "'Security' AS category, 'exposed instance setting' AS sub_category"
 
 
 @query("r18_security_findings", f"""
-    SELECT instance_id, {_SEC}, 'TCPIP Port' AS object_name, 'Port should not be the default 1433' AS details FROM bf_facts WHERE tcp_port = '1433'
-    UNION ALL SELECT instance_id, {_SEC}, 'Failed Logins Auditing', 'Failed Logins should be audited' FROM bf_facts WHERE audit_level NOT IN (2, 3)
-    UNION ALL SELECT instance_id, {_SEC}, 'SA login', 'SA server login should be renamed and/or disabled' FROM bf_server_principals WHERE sid = '0x01' AND name = 'sa' AND NOT is_disabled
-    UNION ALL SELECT instance_id, 'Automation', 'Agent Service', 'Agent service is not running or connected!', 'Jobs and Alerts will not work until you start the agent service' FROM bf_facts WHERE NOT agent_running AND edition NOT LIKE 'Express%'
-    UNION ALL SELECT instance_id, 'General', 'Server name different from actual server name', server_name, 'Actual server name: ' || actual_server_name FROM bf_facts WHERE server_name <> actual_server_name
-    UNION ALL SELECT instance_id, {_SEC}, c.name, 'Setting is not the recommended value (current value: ' || CAST(value AS VARCHAR) || ', recommended value: ' || CAST(recommended_value AS VARCHAR) || ')'
+    SELECT instance_id, {_SEC}, 'TCPIP Port' AS object_name, 'listens on the well-known port' AS details FROM bf_facts WHERE tcp_port = '1433'
+    UNION ALL SELECT instance_id, {_SEC}, 'Failed Logins Auditing', 'rejected logins leave no trace' FROM bf_facts WHERE audit_level NOT IN (2, 3)
+    UNION ALL SELECT instance_id, {_SEC}, 'SA login', 'the built-in administrator can log in under its known name' FROM bf_server_principals WHERE sid = '0x01' AND name = 'sa' AND NOT is_disabled
+    UNION ALL SELECT instance_id, 'Automation', 'Agent Service', 'no agent', 'nothing scheduled runs and no alert is raised until it is started' FROM bf_facts WHERE NOT agent_running AND edition NOT LIKE 'Express%'
+    UNION ALL SELECT instance_id, 'General', 'registered under another name', server_name, 'the machine''s name: ' || actual_server_name FROM bf_facts WHERE server_name <> actual_server_name
+    UNION ALL SELECT instance_id, {_SEC}, c.name, 'differs from the recommendation (current value: ' || CAST(value AS VARCHAR) || ', recommended value: ' || CAST(recommended_value AS VARCHAR) || ')'
         FROM bf_config c JOIN bf_recommended r ON c.name = r.name WHERE value <> recommended_value""")
 def _(t):
     return r.security_findings(t.config, t.server_principals, t.facts, t.recommended)

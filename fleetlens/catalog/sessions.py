@@ -19,7 +19,7 @@ FRAMES.update(
         SELECT l_orderkey * 10 + l_linenumber AS resource_address, CAST(l_quantity AS BIGINT) AS wait_duration_ms, l_suppkey % 50 AS blocking_session_id
         FROM lineitem WHERE l_quantity > 30""",
     bf_hobts="""SELECT p_partkey AS hobt_id, p_partkey % 300 AS object_id, p_size % 3 AS index_id FROM part""",
-    bf_part_objects="""SELECT p_partkey AS object_id, p_name AS name FROM part WHERE p_partkey < 1500""",
+    bf_part_objects="""SELECT p_partkey AS object_id, p_name AS name FROM part""",
     bf_part_indexes="""SELECT p_partkey AS object_id, 1 AS index_id, CONCAT('ix_', p_brand) AS name FROM part""",
     bf_five_databases="""SELECT r_regionkey AS database_id, r_name AS name FROM region""",
     bf_handle_sessions="""SELECT s_suppkey + 1 AS session_id, s_name AS login_name, s_suppkey % 500 AS plan_handle FROM supplier""",
@@ -166,7 +166,7 @@ def _(t):
 
 @query("s15_deadlocks_per_day", f"""
     SELECT CAST(cntr_value // NULLIF(DATEDIFF('day', create_date, TIMESTAMP '{AS_OF}'), 0) AS BIGINT) AS average_per_day,
-        CAST(cntr_value AS VARCHAR) || ' deadlocks have been recorded since startup.' AS details, create_date AS startup_time FROM bf_deadlock_counters, bf_start_times""")
+        CAST(cntr_value AS VARCHAR) || ' deadlocks since the start' AS details, create_date AS startup_time FROM bf_deadlock_counters, bf_start_times""")
 def _(t):
     return s.deadlocks_per_day(t.deadlock_counters, t.start_times, AS_OF)
 

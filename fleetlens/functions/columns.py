@@ -69,11 +69,6 @@ def long_sum(col: Column | str) -> Column:
     return F.coalesce(F.sum(c(col)), F.lit(0)).cast("bigint")
 
 
-def pages_to_mb(pages: Column | str) -> Column:
-    """8 KB pages to whole megabytes."""
-    return int_div(c(pages) * 8, F.lit(1024))
-
-
 def minute_boundaries(a: Column | str, b: Column | str, unit: str = "MINUTE") -> Column:
     """Number of unit boundaries crossed between two times (not elapsed units)."""
     return F.timestamp_diff(unit, F.date_trunc(unit, c(a)), F.date_trunc(unit, c(b)))

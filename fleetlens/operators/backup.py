@@ -106,12 +106,12 @@ def log_shipping_config(primaries: DataFrame, secondaries: DataFrame, monitor: D
     return primaries.join(secondaries, keys).join(monitor, keys)
 
 
-def log_shipping_alerts(monitor: DataFrame, errors: DataFrame | None = None) -> DataFrame:
+def log_shipping_alerts(monitor: DataFrame) -> DataFrame:
     """Databases whose backup or restore is later than allowed, or whose status is bad."""
     late_backup = F.col("is_backup_alert_enabled") & (F.col("time_since_last_backup") > F.col("backup_threshold"))
     late_restore = F.col("is_restore_alert_enabled") & (F.col("time_since_last_restore") > F.col("last_restored_latency"))
-    text = (F.when(late_backup, F.concat(F.lit("Backup Threshold Alert! Last File Backed up: "), F.coalesce("last_backup_file", F.lit("(null)"))))
-            .when(late_restore, F.concat(F.lit("Restore Threshold Alert! Last Restored File: "), F.coalesce("last_restored_file", F.lit("(null)")))).otherwise("Status is not healthy!"))
+    text = (F.when(late_backup, F.concat(F.lit("log backup is late; last file: "), F.coalesce("last_backup_file", F.lit("(null)"))))
+            .when(late_restore, F.concat(F.lit("log restore is late; last file: "), F.coalesce("last_restored_file", F.lit("(null)")))).otherwise("reported as unhealthy"))
     who = F.concat("database_name", F.when(F.col("is_primary"), " (Primary)").otherwise(" (Secondary)"))
     return monitor.where(F.col("status") | late_backup | late_restore).select(*fleet_keys(monitor), who.alias("object_name"), text.alias("details"))
 

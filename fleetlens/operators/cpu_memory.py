@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.columns import as_time, fleet_keys, int_div, minute_boundaries, ratio, wide, wide_sum
+from fleetlens.plans.checkpoints import cut
 from fleetlens.plans.ordering import add_rank, reuse, top_n
 from fleetlens.plans.sequences import with_previous
 from fleetlens.plans.totals import with_totals
@@ -132,8 +133,8 @@ def memory_summary(counters: DataFrame) -> DataFrame:
     per = counters.groupBy(*keys).agg(best("Target Server Memory (KB)").alias("_target"), best("Total Server Memory (KB)").alias("_total"), best("Page life expectancy").alias("ple_s"))
     return per.select(*keys, ratio("_target", F.lit(1048576), 3).alias("target_gb"), ratio("_total", F.lit(1048576), 3).alias("total_gb"), "ple_s",
                       ratio("_total", F.col("ple_s") * 1024, 2).alias("churn_mb_s"),
-                      F.when(F.col("_total") < F.col("_target"), "Target >= Total. The server wants more memory than it has, or is building up to that point.")
-                      .otherwise("Total >= Target. The server has enough memory to do what it wants.").alias("target_vs_total"))
+                      F.when(F.col("_total") < F.col("_target"), "below target: memory is still being taken, or there is no more to take")
+                      .otherwise("target reached").alias("target_vs_total"))
 
 
 def memory_nodes(normalised: DataFrame) -> DataFrame:
@@ -170,22 +171,23 @@ def memory_nodes(normalised: DataFrame) -> DataFrame:
     return tree.unionByName(other)
 
 
-def memory_tree(nodes: DataFrame, levels: int = 5, scale: int = 1) -> DataFrame:
-    """A tree of at most `levels` levels with the share of the parent and, from the
-    second level down, of the root. Shares are rounded to 4 decimals."""
+def memory_tree(nodes: DataFrame, scale: int = 1) -> DataFrame:
+    """The tree, all levels of it, with the share of the parent and, from the third
+    level down, of the root. Shares are rounded to 4 decimals. A join a level; a row that no root reaches is left out."""
     keys = fleet_keys(nodes)
     amount = F.round(F.col("amount") * scale).cast("bigint") if dict(nodes.dtypes)["amount"] == "double" else F.col("amount")
-    base = nodes.withColumn("_a", amount)
+    base = cut(nodes.withColumn("_a", amount))
     level = base.where(F.col("parent_id").isNull()).select(
         *keys, "id", "parent_id", "name", "amount", F.lit(0).alias("level"), F.col("name").alias("label"), F.lit(None).cast("double").alias("share_of_parent"),
         F.lit(None).cast("double").alias("share_of_root"), F.col("_a"), F.col("_a").alias("_root"))
-    out = level
-    for depth in range(1, levels):
+    out, depth = level, 0
+    while not level.isEmpty():
+        depth += 1
         above = level.select(*keys, F.col("id").alias("parent_id"), F.col("_a").alias("_up"), "_root").distinct()
-        level = base.where(F.col("parent_id").isNotNull()).join(above, [*keys, "parent_id"]).select(
+        level = cut(base.where(F.col("parent_id").isNotNull()).join(above, [*keys, "parent_id"]).select(
             *keys, "id", "parent_id", "name", "amount", F.lit(depth).alias("level"),
             F.concat(F.lit(" " * 6 * (depth - 1) + "|···"), F.col("name")).alias("label"), F.coalesce(ratio("_a", "_up", 4), F.lit(0.0)).alias("share_of_parent"),
-            F.when(F.lit(depth) >= 2, F.coalesce(ratio("_a", "_root", 4), F.lit(0.0))).alias("share_of_root"), "_a", "_root")
+            F.when(F.lit(depth) >= 2, F.coalesce(ratio("_a", "_root", 4), F.lit(0.0))).alias("share_of_root"), "_a", "_root"))
         out = out.unionByName(level)
     return out.drop("_a", "_root")
 
@@ -297,9 +299,9 @@ def maxdop_advice(schedulers: DataFrame, sys_info: DataFrame, config: DataFrame)
     half = int_div(per_node, F.lit(2))
     threshold = (F.when(effective == 1, F.when(per_node <= limit, per_node).when(half <= limit, half).otherwise(limit))
                  .when((per_node <= limit) & (effective > per_node), per_node).when(per_node > limit, F.when(n == 1, 8).otherwise(16)))
-    message = (F.when(effective == 1, "MaxDOP is set to 1, which suppresses parallel plan generation.")
-               .when((per_node <= limit) & (effective > per_node), "MaxDOP should be less than or equal to the Logical Processor count per NUMA node.")
-               .when((per_node > limit) & (n == 1), "MaxDOP should be equal to 8.").when(per_node > limit, "MaxDOP should not exceed a value of 16."))
+    message = (F.when(effective == 1, "1 rules out parallel plans")
+               .when((per_node <= limit) & (effective > per_node), "more than a node has processors")
+               .when((per_node > limit) & (n == 1), "one large node: 8 is enough").when(per_node > limit, "more than 16"))
     ht, physical = cpus > F.col("hyperthread_ratio"), int_div(cpus, "hyperthread_ratio")
     kin = F.when((cpus < 8) & ~ht, cpus).when((cpus >= 8) & ~ht, F.lit(8)).when(cpus >= 8, int_div(per_node, physical))
     share = int_div(cpus, n)
@@ -309,8 +311,8 @@ def maxdop_advice(schedulers: DataFrame, sys_info: DataFrame, config: DataFrame)
     return f.select(
         *keys, "numa_nodes", "cpu_count", "online_count", "per_node", "current_maxdop", threshold.cast("bigint").alias("threshold_maxdop"), message.alias("threshold_message"), kin.cast("bigint").alias("kin_maxdop"),
         F.when(too_big, online).when(one_node, 8).when(small_nodes, share).when(large_nodes, 8).cast("bigint").alias("check_maxdop"),
-        F.when(too_big, "MaxDOP setting exceeds available processor count (affinity)").when(one_node, "MaxDOP setting is not recommended for current processor count (affinity)")
-        .when(small_nodes | large_nodes, "MaxDOP setting is not recommended for current NUMA node to processor count (affinity) ratio").alias("check_deviation"))
+        F.when(too_big, "more than the processors in use").when(one_node, "not the advised value for so many processors")
+        .when(small_nodes | large_nodes, "not the advised value for so many processors a node").alias("check_deviation"))
 
 
 #: Upper bound of host memory (MB) and what to leave to the host.
@@ -332,9 +334,9 @@ def max_memory_advice(sys_memory: DataFrame, sys_info: DataFrame, config: DataFr
     cur, n = F.col("max_memory_mb"), F.col("numa_nodes")
     per_host, per_cur = int_div(system, n) * F.col("numa_nodes_affined"), int_div(cur, n) * F.col("numa_nodes_affined")
     best = F.when(n > 1, int_div("recommended_mb", n) * F.col("numa_nodes_affined")).otherwise(F.col("recommended_mb"))
-    alert = (F.when(cur > system, "MaxMem setting exceeds available system memory")
-             .when((n > 1) & (per_cur > per_host), "MaxMem setting will leverage node foreign memory")
-             .when((n <= 1) & cur.between(F.col("recommended_mb"), system), "MaxMem setting is too high"))
+    alert = (F.when(cur > system, "limit above what the host has")
+             .when((n > 1) & (per_cur > per_host), "limit takes memory of other nodes")
+             .when((n <= 1) & cur.between(F.col("recommended_mb"), system), "limit leaves the host too little"))
     return f.select(*f.columns, best.alias("recommended_for_nodes_mb"), alert.alias("alert"))
 
 

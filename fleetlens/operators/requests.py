@@ -143,8 +143,8 @@ def adhoc_plan_ratio(cached_plans: DataFrame, config: DataFrame, min_mb: int = 2
     much_pct = F.col("_adhoc") * 100 > limit
     little = (F.col("_adhoc") < min_mb * 1048576) & (F.col("_adhoc") * 100 < limit)
     # the stated rule: on and large -> "off" advice; off and small -> "on" advice
-    details = (F.when((F.col("_on") == 1) & (much_mb | much_pct), "Optimize for ad hoc workloads is on, but recommended to be off")
-               .when((F.col("_on") == 0) & little, "Optimize for ad hoc workloads is off, but recommended to be on"))
+    details = (F.when((F.col("_on") == 1) & (much_mb | much_pct), "plan stubs are on although such plans take little worth saving; switch them off")
+               .when((F.col("_on") == 0) & little, "plan stubs are off; switch them on"))
     return joined.select(*keys, ratio("_adhoc", F.lit(1048576), 2).alias("adhoc_mb"), ratio("_all", F.lit(1048576), 2).alias("total_mb"),
                          ratio("_adhoc", "_all", 2, 100).alias("adhoc_pct"), details.alias("details")).where(F.col("details").isNotNull())
 

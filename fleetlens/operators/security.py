@@ -20,7 +20,7 @@ def orphaned_users(users: DataFrame, logins: DataFrame) -> DataFrame:
     keys = fleet_keys(users, logins)
     lost = users.where(F.col("authentication_type_desc") == "INSTANCE").join(logins.select(*keys, "sid"), [*keys, "sid"], "left_anti")
     named = logins.select(*keys, "name").distinct().withColumn("_same", F.lit(True))
-    hint = F.when(F.col("_same"), "Login with same name already exists").otherwise("Login with same name was not found")
+    hint = F.when(F.col("_same"), "a login of that name exists").otherwise("no login of that name")
     return lost.join(named, [*keys, "name"], "left").withColumn("details", hint).drop("_same")
 
 
@@ -84,4 +84,4 @@ def linked_server_exposure(servers: DataFrame, linked_logins: DataFrame) -> Data
     keys = [*fleet_keys(servers, linked_logins), "server_id"]
     open_ = linked_logins.where((F.col("local_principal_id") == 0) & ~F.col("uses_self_credential"))
     usable = servers.where((F.col("server_id") != 0) & (F.col("is_data_access_enabled") | ~F.col("is_distributor")))
-    return usable.join(open_.select(*keys), keys, "left_semi").select(*keys, "name", F.lit("No login mapping configured (anyone can access it)").alias("details"))
+    return usable.join(open_.select(*keys), keys, "left_semi").select(*keys, "name", F.lit("open to every login").alias("details"))

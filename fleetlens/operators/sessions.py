@@ -71,7 +71,7 @@ def blocking_tree(sessions: DataFrame) -> DataFrame:
     level = F.size("path") - 1
     text = F.concat(F.lit("    "), F.repeat(F.lit("|         "), level), F.when(level == 0, "HEAD -  ").otherwise("|------  "), F.col("node").cast("string"))
     if "text" in sessions.columns:
-        paths = paths.join(sessions.select(*keys, F.col("session_id").alias("node"), "text"), [*keys, "node"])
+        paths = paths.join(sessions.groupBy(*keys, F.col("session_id").alias("node")).agg(F.min("text").alias("text")), [*keys, "node"])
         text = F.concat(text, F.lit(" "), F.coalesce("text", F.lit("")))
     return paths.select(*keys, F.col("node").alias("session_id"), level.alias("level"),
                         F.array_join(F.transform("path", lambda x: pad(x, 10)), "").alias("path"), text.alias("blocking_tree"))
@@ -231,7 +231,7 @@ def deadlocks_per_day(counters: DataFrame, databases: DataFrame, as_of: Column |
     days = F.datediff(F.to_date(as_time(as_of)), F.to_date("create_date"))
     joined = total.join(start, keys) if keys else total.withColumn("create_date", start.agg(F.max("create_date").alias("d")).scalar())
     return joined.select(*keys, int_div("cntr_value", F.nullif(days, F.lit(0))).alias("average_per_day"),
-                         F.concat(F.col("cntr_value").cast("string"), F.lit(" deadlocks have been recorded since startup.")).alias("details"),
+                         F.concat(F.col("cntr_value").cast("string"), F.lit(" deadlocks since the start")).alias("details"),
                          F.col("create_date").alias("startup_time"))
 
 

@@ -17,8 +17,10 @@ from fleetlens.plans.checkpoints import cut
 
 
 def _links(df: DataFrame, keys: list[str], node: str, parent: str) -> DataFrame:
+    """One row a node. A node that occurs several times (a session with several requests) hangs below one of its
+    parents, the smallest; a row of it without a parent changes nothing."""
     up = F.when((F.col(parent) > 0) & (F.col(parent) != F.col(node)), F.col(parent))
-    return df.select(*keys, F.col(node).alias("node"), up.alias("up"))
+    return df.where(F.col(node).isNotNull()).groupBy(*keys, F.col(node).alias("node")).agg(F.min(up).alias("up"))
 
 
 def paths_from_roots(df: DataFrame, keys: Sequence[str], node: str, parent: str) -> DataFrame:
@@ -43,8 +45,8 @@ def descendant_counts(df: DataFrame, keys: Sequence[str], node: str, parent: str
     """keys, node, descendants: how many rows lie below each row; every row of a
     cycle lies below every other one."""
     keys = list(keys)
-    known = df.select(*keys, F.col(node).alias("up"))
     links = _links(df, keys, node, parent)
+    known = links.select(*keys, F.col("node").alias("up"))
     rooted = links.where(F.col("up").isNotNull()).join(known, [*keys, "up"], "left_semi")
     free = links.where(F.col("up").isNull()).select(*keys, "node", "up").unionByName(
         links.where(F.col("up").isNotNull()).join(known, [*keys, "up"], "left_anti").select(*keys, "node", F.lit(None).cast("bigint").alias("up")))

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions.columns import micros
+from fleetlens.plans.joins import join_null_safe
 
 SAMPLE = 1000
 STEP = 16
@@ -75,7 +76,7 @@ def with_ranges(df: DataFrame, scope: Sequence[str], keys: SortKey) -> DataFrame
         sample = keyed.select("_key", dice.alias("_dice")).orderBy("_dice", "_key").limit(SAMPLE)
     cuts = F.filter(F.array_sort(F.collect_list("_key")), lambda _, i: i % STEP == STEP - 1).alias("_cuts")
     if scope:
-        keyed = keyed.join(sample.groupBy(*scope).agg(cuts), scope, "left")
+        keyed = join_null_safe(keyed, sample.groupBy(*scope).agg(cuts), scope, "left")
     else:
         keyed = keyed.withColumn("_cuts", sample.agg(cuts).scalar())
     position = F.coalesce(F.size(F.filter("_cuts", lambda x: x < F.col("_key"))), F.lit(0))
@@ -94,7 +95,7 @@ def add_rank(df: DataFrame, scope: Sequence[str], keys: SortKey, rank: str = "ra
     # at most 64 range totals per scope: their prefix sums are array expressions
     parts_list = F.collect_list(F.struct("_range", "_rows", *[f"_s_{new}" for new in running])).alias("_parts")
     if scope:
-        out = parts.join(per.groupBy(*scope).agg(parts_list), scope)
+        out = join_null_safe(parts, per.groupBy(*scope).agg(parts_list), scope)
     else:
         out = parts.withColumn("_parts", per.agg(parts_list).scalar())
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetlens.plans.joins import join_null_safe
+
 
 def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str],
                   bucket: Column, prefix: str = "prev_") -> DataFrame:
@@ -15,7 +17,7 @@ def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], colu
     `bucket` must not decrease along `order` (a day, a number range). The window
     runs inside one (key, bucket); the last row of each bucket is found by an
     aggregate and handed to the first row of the next non-empty bucket, so a key
-    of any size is spread over its buckets.
+    of any has spread over its buckets.
     """
     keys, order = list(keys), list(order)
     return _neighbour(df, keys, order, list(columns), bucket, prefix, forward=False)
@@ -36,7 +38,7 @@ def _neighbour(df, keys, order, columns, bucket, prefix, forward):
     per_key = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_bucket")
     carried = edges.withColumn("_far", step("_edge").over(per_key)).drop("_edge")
     near = F.coalesce(F.col("_near"), F.col("_far"))
-    out = rows.join(carried, [*keys, "_bucket"], "left").withColumn("_near", near)
+    out = join_null_safe(rows, carried, [*keys, "_bucket"], "left").withColumn("_near", near)
     return out.select(*df.columns, *[F.col(f"_near.`{x}`").alias(prefix + x) for x in columns])
 
 
@@ -77,7 +79,7 @@ def _value(df, keys, order, value, bucket, name, forward):
     edges = cut.groupBy(*keys, "_bucket").agg(edge("_value", found).alias("_edge"))
     others = frame(Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_bucket"))
     carried = edges.withColumn("_far", pick("_edge", ignorenulls=True).over(others)).drop("_edge")
-    out = rows.join(carried, [*keys, "_bucket"], "left")
+    out = join_null_safe(rows, carried, [*keys, "_bucket"], "left")
     return out.select(*df.columns, F.coalesce("_near", "_far").alias(name))
 
 

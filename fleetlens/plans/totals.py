@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.plans.joins import join_null_safe
+
 
 def with_totals(df: DataFrame, scope: Sequence[str], totals: dict[str, Column], source: DataFrame | None = None) -> DataFrame:
     """Add one aggregate per `totals` entry, taken over the rows of the same scope.
@@ -23,11 +25,5 @@ def with_totals(df: DataFrame, scope: Sequence[str], totals: dict[str, Column],
         out = df.withColumn("_totals", one.scalar())
         return out.select(*df.columns, *[F.col(f"_totals.{n}").alias(n) for n in names])
     per = source.groupBy(*scope).agg(*aggs)
-    return df.join(per, list(scope), "left")
-
+    return join_null_safe(df, per, scope, "left").select(*df.columns, *names)
 
-def count_per(df: DataFrame, keys: Sequence[str], name: str, *aggs: Column) -> DataFrame:
-    """Group size next to every row: aggregate and join back instead of a window,
-    so that one large group is not sorted by one task."""
-    per = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name), *aggs)
-    return df.join(per, list(keys))

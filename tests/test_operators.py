@@ -268,8 +268,8 @@ def test_memory_advice_steps(spark):
         return values(cpu_memory.max_memory_advice(mem, info, conf, sch), "os_reserve_mb", "recommended_mb", "alert")[0]
 
     assert run(16384, 1000) == (2560, 16384 - 2560 - 768, None)
-    assert run(16384, 20000)[2] == "MaxMem setting exceeds available system memory"
-    assert run(16384, 14000)[2] == "MaxMem setting is too high"
+    assert run(16384, 20000)[2] == "limit above what the host has"
+    assert run(16384, 14000)[2] == "limit leaves the host too little"
 
 
 # ---- storage, backup, jobs ---------------------------------------------------------------------

@@ -145,3 +145,34 @@ def test_totals_join_per_scope(spark):
     df = frame(spark, [("a", 1), ("a", 2), ("b", 5)], "k string, v long")
     got = sorted((r.k, r.v, r.t) for r in totals.with_totals(df, ["k"], {"t": F.sum("v")}).collect())
     assert got == [("a", 1, 3), ("a", 2, 3), ("b", 5, 5)]
+
+
+def test_rank_keeps_null_scopes(spark):
+    df = spark.createDataFrame([(None, 1), ("a", 2), (None, 3)], "s string, v int")
+    got = sorted(((r.s or "", r.v, r.rank) for r in ordering.add_rank(df, ["s"], ["-v"]).collect()))
+    assert got == [("", 1, 2), ("", 3, 1), ("a", 2, 1)]
+    from pyspark.sql import functions as F
+
+    got = {(r.s, r.v): r.t for r in totals.with_totals(df, ["s"], {"t": F.sum("v")}).collect()}
+    assert got == {(None, 1): 4, (None, 3): 4, ("a", 2): 2}
+
+
+def test_previous_row_of_a_null_key(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(None, 1, 10), (None, 11, 30), ("a", 2, 5)], "k string, t int, v int")
+    got = {(r.k, r.t): r.v_delta for r in sequences.counter_delta(df, ["k"], ["t"], ["v"], F.floor(F.col("t") / 10)).collect()}
+    assert got == {(None, 1): None, (None, 11): 20, ("a", 2): None}
+
+
+def test_repeated_sessions_are_one_node(spark):
+    df = spark.createDataFrame([(1, 0), (2, 1), (2, 1), (2, None), (3, 2), (4, 3)], "n long, p long")
+    assert {r.node: r.descendants for r in forest.descendant_counts(df, [], "n", "p").collect()} == {1: 3, 2: 2, 3: 1, 4: 0}
+    assert {r.node: r.path for r in forest.paths_from_roots(df, [], "n", "p").collect()} == {1: [1], 2: [1, 2], 3: [1, 2, 3], 4: [1, 2, 3, 4]}
+
+
+def test_memory_tree_has_all_levels(spark):
+    from fleetlens.operators.cpu_memory import memory_tree
+
+    chain = spark.createDataFrame([(i, i - 1 if i else None, f"n{i}", 100 - i) for i in range(9)], "id long, parent_id long, name string, amount long")
+    assert sorted(r.level for r in memory_tree(chain).collect()) == list(range(9))
