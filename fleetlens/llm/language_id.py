@@ -32,6 +32,8 @@ UNKNOWN = "und"
 RESULT = "lang_pred string, score double, bits_per_letter double"
 BLOCK = 512
 LANES = 4096
+#: Characters that are folded together; a task holds some 50 bytes for each.
+PART = 500_000
 
 
 @functools.lru_cache(maxsize=1)
@@ -159,7 +161,7 @@ class CrossParser:
         if not rows or not self.langs:
             return lang, score, cost
         codes = [_codes(texts[i]) for i in rows]
-        owner = np.repeat(np.arange(len(rows)), [len(x) for x in codes])
+        owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(x) for x in codes])
         codes = np.concatenate(codes)
         blank = self.blank[codes]
         keep = np.ones(len(codes), bool)
@@ -219,7 +221,7 @@ def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...], text: str =
         for t in texts:
             part.append(t)
             chars += len(t or "")
-            if chars > 4_000_000:
+            if chars > PART:
                 parts.append(parser.judge(part))
                 part, chars = [], 0
         parts.append(parser.judge(part))

@@ -44,8 +44,8 @@ from fleetlens.llm.text import plus_columns
 MARK = "▁"
 RESULT = ("token_ids", "n_tokens", "decoded")
 
-#: Parts and neighbours a worker remembers before it starts anew.
-REMEMBERED = 1_000_000
+#: Entries of each kind that a worker remembers before it starts anew; some 250 bytes each.
+REMEMBERED_PARTS, REMEMBERED_INNER, REMEMBERED_PAIRS = 200_000, 300_000, 400_000
 
 #: Fixed values of the model format: kinds of pieces and of models.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -172,7 +172,7 @@ class Transducer:
         pair = (left + 1) * len(self.strings) + right
         known = self.beside.get(pair)
         if known is None:
-            if len(self.beside) >= REMEMBERED:
+            if len(self.beside) >= REMEMBERED_PAIRS:
                 self.beside.clear()
             a, b = self.strings[left] if left >= 0 else "", self.strings[right]
             known = self.beside[pair] = self._merged(a + b) == ([a, b] if a else [b])
@@ -264,7 +264,7 @@ class Transducer:
                 at = [0, len(part)]  # neighbouring unknown characters make one piece
             path = b"".join([self._inner(part[i:j]) for i, j in zip(at, at[1:])])
             if len(part) <= 64:
-                if len(self.paths) >= REMEMBERED:
+                if len(self.paths) >= REMEMBERED_PARTS:
                     self.paths.clear()
                 self.paths[part] = path
         return path
@@ -274,7 +274,7 @@ class Transducer:
         if path is None:
             path = self._path(part)
             if len(part) <= 64:
-                if len(self.inner_paths) >= REMEMBERED:
+                if len(self.inner_paths) >= REMEMBERED_INNER:
                     self.inner_paths.clear()
                 self.inner_paths[part] = path
         return path

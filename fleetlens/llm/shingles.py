@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 WIDTH = 5
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
 
 _FIVE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
