@@ -153,19 +153,21 @@ class Transducer:
 
     # grammar
 
-    def _merged(self, text: str) -> list[str]:
-        """The string after all merges, best score and leftmost first; only for strings of two pieces."""
-        parts = list(text)
+    def _merges_to(self, a: str, b: str) -> bool:
+        """Whether merging the characters of a + b, best score and leftmost first, ends with a and b and never over their border."""
+        parts, border, lexicon, scores = [*a, *b], len(a), self.lexicon, self.scores
         while True:
-            best = None
+            best, at = -math.inf, -1
             for i in range(len(parts) - 1):
-                piece = self.lexicon.get(parts[i] + parts[i + 1])
-                if piece is not None and (best is None or self.scores[piece] > best[0]):
-                    best = (self.scores[piece], i)
-            if best is None:
-                return parts
-            i = best[1]
-            parts[i:i + 2] = [parts[i] + parts[i + 1]]
+                piece = lexicon.get(parts[i] + parts[i + 1])
+                if piece is not None and scores[piece] > best:
+                    best, at = scores[piece], i
+            if at < 0:
+                return parts == ([a, b] if a else [b])
+            if at == border - 1:
+                return False
+            parts[at:at + 2] = [parts[at] + parts[at + 1]]
+            border -= at < border
 
     def _allowed(self, left: int, right: int) -> bool:
         """Whether the grammar lets `right` follow `left`; -1 stands for the start and for characters without a piece."""
@@ -174,8 +176,7 @@ class Transducer:
         if known is None:
             if len(self.beside) >= REMEMBERED_PAIRS:
                 self.beside.clear()
-            a, b = self.strings[left] if left >= 0 else "", self.strings[right]
-            known = self.beside[pair] = self._merged(a + b) == ([a, b] if a else [b])
+            known = self.beside[pair] = self._merges_to(self.strings[left] if left >= 0 else "", self.strings[right])
         return known
 
     # shortest path
