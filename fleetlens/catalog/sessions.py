@@ -88,10 +88,9 @@ def _(t):
 
 
 @query("s7_locks_document", """
-    WITH p AS (SELECT request_session_id, resource_database_id, resource_associated_entity_id AS o, resource_type, request_mode, request_status, COUNT(*) AS request_count FROM bf_locks GROUP BY ALL),
-    d AS (SELECT request_session_id, resource_database_id, o, LIST_SORT(LIST({'resource_type': resource_type, 'request_mode': request_mode, 'request_status': request_status, 'request_count': request_count})) AS locks
-        FROM p GROUP BY ALL)
-    SELECT request_session_id, resource_database_id, CAST(0 AS BIGINT) AS part, CAST(TO_JSON(LIST_SORT(LIST({'object': o, 'locks': locks}))) AS VARCHAR) AS locks FROM d GROUP BY 1, 2""")
+    WITH p AS (SELECT request_session_id, resource_database_id, resource_associated_entity_id, resource_type, request_mode, request_status, COUNT(*) AS request_count FROM bf_locks GROUP BY ALL)
+    SELECT request_session_id, resource_database_id, resource_associated_entity_id,
+        CAST(TO_JSON(LIST_SORT(LIST({'resource_type': resource_type, 'request_mode': request_mode, 'request_status': request_status, 'request_count': request_count}))) AS VARCHAR) AS locks FROM p GROUP BY 1, 2, 3""")
 def _(t):
     return s.locks_document(t.locks)
 

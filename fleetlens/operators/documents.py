@@ -21,12 +21,14 @@ def parallel_plans_below_cost(cached_plans: DataFrame, plans: DataFrame, min_use
     text: that of the most used plan."""
     keys = fleet_keys(cached_plans, plans)
     used = cached_plans.where(F.col("usecounts") > min_use).select(*keys, "plan_handle", "usecounts", "size_in_bytes")
-    docs = plans.where(F.contains("query_plan", F.lit('PhysicalOp="Parallelism"'))).join(used, [*keys, "plan_handle"])
+    docs = plans.where(F.contains("query_plan", F.lit('PhysicalOp="Parallelism"')))
     parallel = "/ShowPlanXML/BatchSequence/Batch/Statements/StmtSimple[@StatementText and @StatementSubTreeCost][.//RelOp[@PhysicalOp='Parallelism']]"
     pairs = F.arrays_zip(F.xpath("query_plan", F.lit(f"{parallel}/@StatementText")).alias("text"), F.xpath("query_plan", F.lit(f"{parallel}/@StatementSubTreeCost")).alias("cost"))
-    rows = docs.select(*keys, "plan_handle", "usecounts", "size_in_bytes", F.explode(pairs).alias("s")).select(
-        *keys, "plan_handle", "usecounts", "size_in_bytes", F.col("s.text").alias("statement_text"), F.col("s.cost").cast("double").alias("subtree_cost"))
-    return first_per(rows.where(F.col("subtree_cost") <= max_cost), [*keys, "statement_text"], ["-usecounts", "plan_handle"])
+    # documents are read where they are scanned; only statements meet the cached plans
+    rows = docs.select(*keys, "plan_handle", F.explode(pairs).alias("s")).select(
+        *keys, "plan_handle", F.col("s.text").alias("statement_text"), F.col("s.cost").cast("double").alias("subtree_cost")).where(F.col("subtree_cost") <= max_cost)
+    rows = rows.join(used, [*keys, "plan_handle"]).select(*keys, "plan_handle", "usecounts", "size_in_bytes", "statement_text", "subtree_cost")
+    return first_per(rows, [*keys, "statement_text"], ["-usecounts", "plan_handle"])
 
 
 def implicit_conversions(plans: DataFrame, columns: DataFrame) -> DataFrame:

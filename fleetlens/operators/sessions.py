@@ -113,22 +113,16 @@ def locks_by_object(locks: DataFrame, partitions: DataFrame, indexes: DataFrame,
     return out.withColumn("requested_object_name", name).drop("_hobt", "_part_object", "_name")
 
 
-def locks_document(locks: DataFrame, objects_per_part: int = 10000) -> DataFrame:
-    """Locks of a session and database as one nested document.
+def locks_document(locks: DataFrame) -> DataFrame:
+    """Locks of a session, database and object as one nested document.
 
-    Requests are counted before they are nested. A session with very many
-    locked objects gets several documents, numbered by `part`, so that no
-    document grows without bound; all its objects are in one of them.
+    Requests are counted before they are nested, so a document has one entry for each
+    kind, mode and status of lock that the object has, however many requests there are.
     """
-    keys = [*fleet_keys(locks), "request_session_id", "resource_database_id"]
-    obj = [*keys, "resource_associated_entity_id"]
-    per = locks.groupBy(*obj, "resource_type", "request_mode", "request_status").agg(F.count(F.lit(1)).alias("request_count"))
+    keys = [*fleet_keys(locks), "request_session_id", "resource_database_id", "resource_associated_entity_id"]
+    per = locks.groupBy(*keys, "resource_type", "request_mode", "request_status").agg(F.count(F.lit(1)).alias("request_count"))
     lock = F.struct("resource_type", "request_mode", "request_status", "request_count")
-    objects = per.groupBy(*obj).agg(F.array_sort(F.collect_list(lock)).alias("locks"))
-    sizes = objects.groupBy(*keys).agg(int_div(F.count(F.lit(1)) + objects_per_part - 1, F.lit(objects_per_part)).alias("_parts"))
-    parted = objects.join(sizes, keys).withColumn("part", F.pmod(F.xxhash64("resource_associated_entity_id"), F.col("_parts")))
-    entry = F.struct(F.col("resource_associated_entity_id").alias("object"), "locks")
-    return parted.groupBy(*keys, "part").agg(F.to_json(F.array_sort(F.collect_list(entry))).alias("locks"))
+    return per.groupBy(*keys).agg(F.to_json(F.array_sort(F.collect_list(lock))).alias("locks"))
 
 
 def select_output_columns(df: DataFrame, patterns: str, sort: str | None = None, descending: bool = False) -> DataFrame:

@@ -42,11 +42,10 @@ def latest(view: DataFrame, as_of: Column | str) -> DataFrame:
 
 
 def append_snapshots(df: DataFrame, root: str, view: str, file_format: str = "parquet") -> None:
-    """Append snapshots to a landed view, partitioned by day. Rows of one day go to a
-    bounded number of tasks, spread by member and time, so a busy member is split."""
+    """Append snapshots to a landed view, partitioned by day. A day goes to as many
+    tasks as its size asks for: adaptive execution splits and joins the parts."""
     rows = conform(df.withColumn("collected_date", F.to_date("collected_at")), view)
-    spread = F.pmod(F.xxhash64("instance_id", "collected_at"), F.lit(16))
-    rows.repartition("collected_date", spread).write.format(file_format).mode("append").partitionBy("collected_date").save(f"{root}/{view}")
+    rows.hint("rebalance", "collected_date").write.format(file_format).mode("append").partitionBy("collected_date").save(f"{root}/{view}")
 
 
 _LINE = r"^(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d(?:\.\d+)?)\s+(\S+)\s+(.*)$"

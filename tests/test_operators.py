@@ -219,12 +219,11 @@ def test_output_columns_keep_the_order_of_the_list(spark):
         sessions.select_output_columns(df, "[session_id]", "[nothing] DESC")
 
 
-def test_lock_documents_are_split_but_whole(spark):
+def test_lock_documents_are_one_an_object(spark):
     df = spark.range(2500).select(F.lit(1).alias("request_session_id"), F.lit(2).alias("resource_database_id"), F.col("id").alias("resource_associated_entity_id"),
                                   F.lit("KEY").alias("resource_type"), F.lit("X").alias("request_mode"), F.lit("GRANT").alias("request_status"))
-    parts = sessions.locks_document(df, objects_per_part=1000).collect()
-    assert len(parts) == 3
-    assert sum(p.locks.count('"object"') for p in parts) == 2500
+    docs = sessions.locks_document(df.unionAll(df)).collect()
+    assert len(docs) == 2500 and {d.locks.count('"request_count":2') for d in docs} == {1}
 
 
 def test_log_write_text(spark):
