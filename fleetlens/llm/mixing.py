@@ -23,7 +23,6 @@ name a result column has is replaced. An empty table gives an empty mix.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -75,8 +74,6 @@ def multipliers(moments: DataFrame) -> DataFrame:
 
     A step is at most 1 upward, so that no exponential runs away; where the target is 0 the rate is 0.
     """
-    lam = F.lit(0.0)
-    out = moments.withColumn("lambda", lam)
     size, target = F.col("source_size").cast("double"), F.col("target")
 
     def step(value: Column, _) -> Column:
@@ -84,7 +81,7 @@ def multipliers(moments: DataFrame) -> DataFrame:
         return value - F.greatest(gradient / curvature, F.lit(-1.0))
 
     solved = F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON_STEPS)), F.lit(0.0), step)
-    return out.withColumn("lambda", F.when((target > 0) & (size > 0), solved)).withColumn("rate", F.coalesce(F.exp("lambda"), F.lit(0.0)))
+    return moments.withColumn("lambda", F.when((target > 0) & (size > 0), solved)).withColumn("rate", F.coalesce(F.exp("lambda"), F.lit(0.0)))
 
 
 def _cuts(histogram: pd.DataFrame) -> pd.DataFrame:
