@@ -229,7 +229,8 @@ def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...], text: str =
                              "bits_per_letter": pd.array(np.concatenate([p[2] for p in parts]), dtype="Float64")})
 
     (found,) = unused(docs.columns, "_judged")
-    out = docs.withColumn(found, judged(F.col(text)))
+    # not deterministic to the optimiser, which would else run it once more for every filter on its result
+    out = docs.withColumn(found, judged.asNondeterministic()(F.col(text)))
     return out.select(*[F.col(f"`{c}`") for c in columns], *[F.col(found)[n].alias(n) for n in names])
 
 
