@@ -45,7 +45,7 @@ MARK = "▁"
 RESULT = ("token_ids", "n_tokens", "decoded")
 
 #: Entries of each kind that a worker remembers before it starts anew; some 250 bytes each.
-REMEMBERED_PARTS, REMEMBERED_INNER, REMEMBERED_PAIRS = 200_000, 300_000, 400_000
+REMEMBERED_PARTS, REMEMBERED_INNER, REMEMBERED_PAIRS = 400_000, 500_000, 800_000
 
 #: Fixed values of the model format: kinds of pieces and of models.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
