@@ -229,6 +229,27 @@ def test_passages(spark):
     assert repeated_passages(spark.createDataFrame([], DOCS)).collect() == []
 
 
+def test_near_paragraphs(spark):
+    dice = random.Random(5)
+    text = lambda n: [f"t{dice.randrange(5000)}" for _ in range(n)]
+    lines, docs = {}, []
+    for i in range(80):
+        original = text(dice.randrange(36, 54))
+        for j in (2 * i, 2 * i + 1):
+            # a changed word in the middle leaves no 27 words in a row as they were
+            body = [f"new{j}" if j % 2 and k == len(original) // 2 else w for k, w in enumerate(original)]
+            before, after = text(40), text(40)
+            lines[j, 40] = body
+            docs.append((j, "\n".join(" ".join(x) for x in (before, body, after))))
+    sets = {k: shingle_set(" ".join(x)) for k, x in lines.items()}
+    links = [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 75 * len(np.union1d(sets[a], sets[b]))]
+    want = groups(sets, links)
+    got = {(r["doc_id"], r["start"]): (r["component_id"], r["component_start"]) for r in repeated_passages(spark.createDataFrame(docs, DOCS)).collect() if r["words"] == len(lines.get((r["doc_id"], r["start"]), ()))}
+    planted = {x for link in links for x in link}
+    assert len(links) > 25 and set(got) <= planted
+    assert sum(got.get(x) == want[x] for x in planted) >= 0.99 * len(planted)
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     odd = spark.createDataFrame([(-1, None, "en", "src0", 0), (-2, "12 34", "en", "src0", 5)], docs.schema)
