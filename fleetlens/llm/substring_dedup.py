@@ -15,6 +15,12 @@ prefix join finds the rest, so a bucket of any size never gives all its pairs. P
 similarity of their shingle sets, for which the texts in question are read again. Components of the confirmed links are
 the clusters; the first paragraph of each, by document and position, is kept, and the others are removals.
 
+A passage begins before its first run and ends behind its last one, by at most 24 words (else there were one more run).
+So runs at the edge of what repeats are extended word by word, as far as an earlier document with a paragraph of the
+same cluster has the same words there (for a kept paragraph, a later one): prefixes of the words on that side are hashed
+and meet by equality, so no text is compared with another. What overlaps in a document is one passage then, removals
+and kept ones for themselves.
+
 Tuning: lines have 16 bands of four values, runs six bands of two. Equal paragraphs always meet; those of similarity
 0.75 share a bucket with a probability of 0.997 and 0.993, of 0.9 with more than 0.9999. Runs are many and short, and
 take few bands of few values for that; what shares a bucket by chance is thrown out by the exact similarity. A near copy
@@ -31,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.llm.components import components
@@ -41,12 +47,15 @@ from fleetlens.llm.storage import settled
 
 WORDS = 27
 WINDOW = 25
+#: So many words of a passage lie outside its runs at most, on either side.
+REACH = WINDOW - 1
 #: For runs and for lines.
 BANDS, ROWS = 6, 2
 LINE_BANDS, LINE_ROWS = 16, 4
 PARAGRAPHS = "id bigint, start int, words int, line boolean, digest bigint, keys array<bigint>"
 #: Keeps lines apart from runs, in digests and in buckets.
 LINE = np.uint64(0x94D049BB133111EB)
+BESIDE = "id bigint, start int, component bigint, after boolean, keys array<bigint>"
 #: Words that are hashed together.
 PART = 200_000
 
@@ -150,10 +159,69 @@ def sets_at(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(full, SETS)
 
 
+def _beside(docs: DataFrame) -> DataFrame:
+    """The hashes of the nearest 1, 2, ... words before or after runs, of rows (id, text, places) with places as structs of start, component and after."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, keys = [], []
+            for i, t, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                h = word_hashes(t.as_py())
+                for place in places.as_py():
+                    start, after = place["start"], place["after"]
+                    # rows that share an id may differ in length
+                    words = h[start + WORDS:start + WORDS + REACH] if after else h[max(0, start - REACH):start][::-1]
+                    if start + WORDS <= len(h) and len(words):
+                        rows.append((i, start, place["component"], after))
+                        weights = mixed(np.arange(1, len(words) + 1, dtype=np.uint64)) | np.uint64(1)
+                        keys.append(mixed(np.cumsum(mixed(words) * weights)))
+            if rows:
+                ids, starts, components_, sides = zip(*rows)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(components_, pa.int64()), pa.array(sides),
+                    lists(np.concatenate(keys), np.array([len(x) for x in keys]))], names=["id", "start", "component", "after", "keys"])
+
+    return docs.mapInArrow(hashed, BESIDE)
+
+
+def _islands(rows: DataFrame, group: list[str], lo: str, hi: str) -> DataFrame:
+    """With `from` and `to` of what overlaps or touches within a group; a group is what one document has."""
+    before = F.max(hi).over(Window.partitionBy(*group).orderBy(lo, hi).rowsBetween(Window.unboundedPreceding, -1))
+    begins = rows.withColumn("begins", F.when(before >= F.col(lo), 0).otherwise(1))
+    numbered = begins.withColumn("island", F.sum("begins").over(Window.partitionBy(*group).orderBy(lo, hi).rowsBetween(Window.unboundedPreceding, 0)))
+    whole = Window.partitionBy(*group, "island")
+    return numbered.withColumn("from", F.min(lo).over(whole)).withColumn("to", F.max(hi).over(whole)).drop("begins", "island")
+
+
+def passages(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Paragraphs (id, start, words, line, component, own) with the passage `from` and `to` that each is part of; `own` says that its place is kept."""
+    ends = rows.withColumn("end", F.col("start") + F.col("words"))
+    runs = _islands(ends.where("NOT line"), ["id", "own"], "start", "end")
+    # where other runs lie over all the words in reach, there is nothing to extend
+    before = F.when(F.col("start") - REACH < F.col("from"), False)
+    after = F.when(F.col("end") + REACH > F.col("to"), True)
+    edges = settled(runs.select("id", "start", "component", "own", F.explode(F.array_compact(F.array(before, after))).alias("after")), "passage-edges")
+    members = ends.where("NOT line").select("id", "start", "component").join(edges.select("component", "after").distinct(), "component")
+    places = members.groupBy("id").agg(F.collect_set(F.struct("start", "component", "after")).alias("places"))
+    beside = settled(_beside(texts.join(places, "id").select("id", "text", "places")), "passage-beside")
+
+    each = beside.select("id", "start", "component", "after", F.posexplode("keys").alias("place", "beside"))
+    shared = each.groupBy("component", "after", "place", "beside").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
+    asked = each.join(edges, ["id", "start", "component", "after"])
+    met = asked.join(shared, ["component", "after", "place", "beside"]).where("first < id OR own AND last > id")
+    more = lambda side: F.coalesce(F.max(F.when(F.col("after") == side, F.col("place") + 1)), F.lit(0))
+    reach = met.groupBy("id", "start", "component").agg(more(False).alias("more_before"), more(True).alias("more_after"))
+    wide = ends.join(reach, ["id", "start", "component"], "left")
+    wide = wide.withColumn("lo", F.col("start") - F.coalesce("more_before", F.lit(0))).withColumn("hi", F.col("end") + F.coalesce("more_after", F.lit(0)))
+    return _islands(wide, ["id", "own"], "lo", "hi").drop("end", "more_before", "more_after", "lo", "hi")
+
+
 def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
     """The paragraphs that documents share: key, first word, number of words, component and whether it is kept.
 
     `component_id` is the id of the document with the component's first paragraph, and `component_start` its place.
+    `passage_start` and `passage_words` are the whole repeated passage that the paragraph is part of, which is what to
+    remove where the paragraph is not kept; all paragraphs of a passage name the same one.
     """
     texts = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
     keyed = paragraphs(texts).select("id", "start", "words", "line", "digest", F.explode("keys").alias("bucket"))
@@ -179,8 +247,10 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     rows = met.select("id", "start", "words", "line", "digest").distinct().join(place, F.col("digest") == F.col("node"), "left")
     rows = rows.select("id", "start", "words", "line", F.coalesce("component", "digest").alias("component"))
     first = rows.groupBy("component").agg(F.min(F.struct("id", "start", "words")).alias("first"), F.max("id").alias("last")).where("first.id < last")
-    out = rows.join(first.select("component", "first"), "component")
-    kept = (F.col("id") == F.col("first.id")) & (F.col("start") == F.col("first.start"))
     # what begins inside the kept paragraph, in its own document, is part of it and no removal
-    out = out.where(kept | (F.col("id") != F.col("first.id")) | (F.col("start") >= F.col("first.start") + F.col("first.words")))
-    return out.select(F.col("id").alias(key), "start", "words", F.col("first.id").alias("component_id"), F.col("first.start").alias("component_start"), kept.alias("kept"))
+    own = (F.col("id") == F.col("first.id")) & (F.col("start") < F.col("first.start") + F.col("first.words"))
+    rows = settled(rows.join(first.select("component", "first"), "component").withColumn("own", own), "passage-rows")
+    kept = (F.col("id") == F.col("first.id")) & (F.col("start") == F.col("first.start"))
+    out = passages(rows, texts).where(kept | ~F.col("own"))
+    return out.select(F.col("id").alias(key), "start", "words", F.col("first.id").alias("component_id"), F.col("first.start").alias("component_start"), kept.alias("kept"),
+                      F.col("from").alias("passage_start"), (F.col("to") - F.col("from")).alias("passage_words"))

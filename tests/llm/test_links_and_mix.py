@@ -250,6 +250,32 @@ def test_near_paragraphs(spark):
     assert sum(got.get(x) == want[x] for x in planted) >= 0.99 * len(planted)
 
 
+def test_whole_passages(spark):
+    dice = random.Random(8)
+    text = lambda n: [f"t{dice.randrange(50000)}" for _ in range(n)]
+    rows = [text(dice.randrange(60, 200)) for _ in range(60)]
+    want = {}
+    for i in range(0, 60, 3):
+        passage = text((51, 60, 80, 140)[i // 3 % 4])
+        # the first has the middle alone, so the third has to find its edges in the second
+        for j, part in ((i, passage[8:-8]), (i + 1, passage), (i + 2, passage)):
+            p = dice.choice([0, 30, len(rows[j])])
+            rows[j] = rows[j][:p] + part + rows[j][p:]
+            want[j] = (p, len(part))
+    docs = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    covered = {}
+    for r in repeated_passages(spark.createDataFrame(docs, DOCS)).collect():
+        assert r["passage_start"] <= r["start"] and r["start"] + r["words"] <= r["passage_start"] + r["passage_words"]
+        if not r["kept"]:
+            covered.setdefault(r["doc_id"], set()).add((r["passage_start"], r["passage_words"]))
+    # the third document repeats all of the second; a run that is a near copy may lie up to three words over the edge
+    for j in range(2, 60, 3):
+        ((start, words),) = covered[j]
+        p, n = want[j]
+        assert p - 3 <= start <= p and p + n <= start + words <= p + n + 3
+    assert sum(covered[j] == {want[j]} for j in range(2, 60, 3)) >= 14
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     odd = spark.createDataFrame([(-1, None, "en", "src0", 0), (-2, "12 34", "en", "src0", 5)], docs.schema)
