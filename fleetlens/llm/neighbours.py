@@ -7,8 +7,8 @@ each end all members compare with each other if one of the two is new there; wha
 handed to it. A vector that very many have as neighbour takes a hash sample of them, about as many as it has itself,
 so no vector gathers an unbounded group; the others still meet it through their own lists.
 
-Graph and search work on vectors of one byte a component (scaled to four times the root mean square); what they find is
-ranked again by the exact Euclidean distance on the original vectors. A query starts from its own neighbours in the graph (or, if
+Graph and search compare the vectors as they are given (floats or doubles, not codes of them), so near copies keep their
+order and a few long vectors change nothing for the others. A query starts from its own neighbours in the graph (or, if
 it is no row of the index, from the pivots) and expands the nearest vectors not expanded yet, `beam` at a time, for
 `rounds` joins with the graph.
 
@@ -32,8 +32,11 @@ from fleetlens.llm.storage import settled
 
 PIVOTS = 64
 BLOCK = 256
-FAR = 2**31 - 1
-NEAR = "id bigint, near array<struct<d: int, id: bigint>>"
+#: Of the squared lengths; more than the rounding of a distance by products.
+ROUNDING = 1e-12
+#: Pairs whose differences are formed at once.
+PART = 20_000
+NEAR = "id bigint, near array<struct<d: double, id: bigint>>"
 
 
 def usable(vector: Column) -> Column:
@@ -42,23 +45,27 @@ def usable(vector: Column) -> Column:
 
 
 def _flat(column: pa.Array) -> np.ndarray:
-    """Lists or byte strings of one length as the rows of a matrix."""
+    """Lists of one length as the rows of a matrix."""
     n = len(column)
-    if pa.types.is_binary(column.type):
-        return np.frombuffer(b"".join(column.to_pylist()), np.int8).reshape(n, -1) if n else np.zeros((0, 1), np.int8)
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.zeros((0, 1))
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1).astype(np.float64) if n else np.zeros((0, 1))
 
 
 def _lists(sizes: np.ndarray, d: np.ndarray, ids: np.ndarray) -> pa.Array:
-    kind = pa.list_(pa.struct([("d", pa.int32()), ("id", pa.int64())]))
-    values = pa.StructArray.from_arrays([pa.array(d, pa.int32()), pa.array(ids, pa.int64())], ["d", "id"])
+    kind = pa.list_(pa.struct([("d", pa.float64()), ("id", pa.int64())]))
+    values = pa.StructArray.from_arrays([pa.array(d, pa.float64()), pa.array(ids, pa.int64())], ["d", "id"])
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), values).cast(kind)
 
 
+def _products(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances by products, and what they may be off by."""
+    lengths = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :]
+    return lengths - 2 * (a @ b.T), ROUNDING * lengths
+
+
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Squared distances of byte vectors; whole numbers, exact in single precision."""
-    a, b = a.astype(np.float32), b.astype(np.float32)
-    return ((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T)).astype(np.int32)
+    """Squared distances row by row, of differences: the same for a pair wherever it meets."""
+    parts = [((a[at:at + PART] - b[at:at + PART]) ** 2).sum(1) for at in range(0, len(a), PART)]
+    return np.concatenate(parts) if parts else np.zeros(0)
 
 
 def _best(owner: np.ndarray, d: np.ndarray, other: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -78,21 +85,12 @@ def _best(owner: np.ndarray, d: np.ndarray, other: np.ndarray, most: int) -> tup
     return names, sizes, d, other
 
 
-def _coded(vectors: DataFrame, scale: float) -> DataFrame:
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.clip(np.rint(_flat(batch.column(1)).astype(np.float64) * scale), -127, 127).astype(np.int8)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "code"])
-
-    return vectors.select("id", "vector").mapInArrow(code, "id bigint, code binary")
-
-
 def _start(codes: DataFrame, pivots: np.ndarray, degree: int, label: int) -> DataFrame:
     """The nearest within blocks of vectors that have the same nearest pivot."""
 
     def cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = _distances(_flat(batch.column(1)), pivots).argmin(1) if len(batch) else np.zeros(0, np.int64)
+            near = _products(_flat(batch.column(1)), pivots)[0].argmin(1) if len(batch) else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.int32())], names=["id", "code", "cell"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,12 +98,16 @@ def _start(codes: DataFrame, pivots: np.ndarray, degree: int, label: int) -> Dat
             ids, x = batch.column(0).to_numpy(), _flat(batch.column(1))
             for at in range(0, len(ids), BLOCK):
                 lo = max(0, min(at, len(ids) - BLOCK))  # the last block is a whole one where there are so many
-                i, d = ids[lo:lo + BLOCK], _distances(x[lo:lo + BLOCK], x[lo:lo + BLOCK])
-                a, b = np.nonzero(~np.eye(len(i), dtype=bool))
-                names, sizes, best, other = _best(i[a], d[a, b], i[b], degree)
+                i, v = ids[lo:lo + BLOCK], x[lo:lo + BLOCK]
+                near, off = _products(v, v)
+                np.fill_diagonal(near, np.inf)
+                # what is not among the nearest for any rounding needs no exact distance
+                last = np.partition(near + off, min(degree, len(i)) - 1, axis=1)[:, min(degree, len(i)) - 1]
+                a, b = np.nonzero((near - off <= last[:, None]) & ~np.eye(len(i), dtype=bool))
+                names, sizes, best, other = _best(i[a], _distances(v[a], v[b]), i[b], degree)
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), _lists(sizes, best, other)], names=["id", "near"])
 
-    placed = codes.mapInArrow(cell, "id bigint, code binary, cell int").withColumn("dice", F.xxhash64("id", F.lit(label)))
+    placed = codes.mapInArrow(cell, f"id bigint, code {codes.schema['code'].dataType.simpleString()}, cell int").withColumn("dice", F.xxhash64("id", F.lit(label)))
     return placed.repartitionByRange("cell", "dice").sortWithinPartitions("cell", "dice").select("id", "code").mapInArrow(blocks, NEAR)
 
 
@@ -117,7 +119,7 @@ def _merged(lists: DataFrame, degree: int) -> DataFrame:
 
 def _meet(graph: DataFrame, codes: DataFrame, degree: int, number: int) -> DataFrame:
     """What the neighbours of every vector find among each other: lists by id."""
-    nodes = graph.join(codes, "id").select("id", "code", F.when(F.size("near") < degree, F.lit(FAR)).otherwise(F.element_at("near", -1)["d"]).alias("worst"))
+    nodes = graph.join(codes, "id").select("id", "code", F.when(F.size("near") < degree, F.lit(float("inf"))).otherwise(F.element_at("near", -1)["d"]).alias("worst"))
     edges = graph.select("id", F.explode(F.transform("near", lambda x: F.struct(x["id"].alias("to"), F.array_contains("fresh", x).alias("fresh")))).alias("e")).select("id", "e.*")
     loved = edges.groupBy(F.col("to").alias("id")).agg(F.count(F.lit(1)).alias("lovers"))
     ends = nodes.join(loved, "id", "left").select(F.col("id").alias("to"), F.col("code").alias("code_to"), F.col("worst").alias("worst_to"), F.coalesce("lovers", F.lit(0)).alias("lovers"))
@@ -136,11 +138,13 @@ def _meet(graph: DataFrame, codes: DataFrame, degree: int, number: int) -> DataF
                 fresh, x = values.field("fresh").to_numpy(zero_copy_only=False), _flat(values.field("code"))
                 owner, dist, other = [], [], []
                 for lo, hi in zip(ends_[:-1], ends_[1:]):
-                    d, i, w, f = _distances(x[lo:hi], x[lo:hi]), ids[lo:hi], worst[lo:hi], fresh[lo:hi]
-                    a, b = np.nonzero((f[:, None] | f[None, :]) & (d < w[:, None]) & (i[:, None] != i[None, :]))
-                    owner.append(i[a])
-                    dist.append(d[a, b])
-                    other.append(i[b])
+                    (near, off), i, w, f = _products(x[lo:hi], x[lo:hi]), ids[lo:hi], worst[lo:hi], fresh[lo:hi]
+                    a, b = np.nonzero((f[:, None] | f[None, :]) & (near - off < w[:, None]) & (i[:, None] != i[None, :]))
+                    d = _distances(x[lo:hi][a], x[lo:hi][b])
+                    nearer = d < w[a]
+                    owner.append(i[a][nearer])
+                    dist.append(d[nearer])
+                    other.append(i[b][nearer])
                 if owner:
                     names, sizes, best, others = _best(np.concatenate(owner), np.concatenate(dist), np.concatenate(other), degree)
                     yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), _lists(sizes, best, others)], names=["id", "near"])
@@ -153,7 +157,7 @@ def neighbour_graph(codes: DataFrame, pivots: np.ndarray, degree: int, iteration
     half = max(1, len(pivots) // 2)
     starts = [_start(codes, p, degree, k) for k, p in enumerate((pivots[:half], pivots[half:])) if len(p)]
     lists = starts[0] if len(starts) == 1 else starts[0].unionAll(starts[1])
-    nothing = F.array().cast("array<struct<d: int, id: bigint>>")
+    nothing = F.array().cast("array<struct<d: double, id: bigint>>")
     graph = settled(_merged(lists, degree).withColumn("fresh", F.col("near")), "graph")
     for number in range(iterations):
         found = _merged(graph.select("id", "near").unionAll(_meet(graph, codes, degree, number)), degree)
@@ -176,10 +180,9 @@ def _reached(pairs: DataFrame, codes: DataFrame, queries: DataFrame) -> DataFram
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            diff = _flat(batch.column(2)).astype(np.int32) - _flat(batch.column(3)) if len(batch) else np.zeros((0, 1), np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((diff * diff).sum(1), pa.int32())], names=["q", "id", "d"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_distances(_flat(batch.column(2)), _flat(batch.column(3))))], names=["q", "id", "d"])
 
-    return pairs.join(codes, "id").join(queries, "q").select("q", "id", "code", "code_q").mapInArrow(measure, "q bigint, id bigint, d int")
+    return pairs.join(codes, "id").join(queries, "q").select("q", "id", "code", "code_q").mapInArrow(measure, "q bigint, id bigint, d double")
 
 
 def graph_search(graph: DataFrame, codes: DataFrame, queries: DataFrame, degree: int, beam: int, rounds: int, most: int) -> DataFrame:
@@ -208,17 +211,17 @@ def nearest(rows: DataFrame, is_query: Column, key: str = "vec_id", vector: str
     kept = rows.select(F.col(key).cast("bigint").alias("id"), F.transform(F.col(vector), lambda x: x.cast("double")).alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     kept = kept.where(F.col("id").isNotNull() & usable(F.col("vector")))
     kept = settled(kept.groupBy("id", "vector").agg(F.bool_or("asks").alias("asks")), "vectors")
-    common = kept.groupBy(F.size("vector").alias("length")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)).alias("squares"))
+    common = kept.groupBy(F.size("vector").alias("length")).agg(F.count(F.lit(1)).alias("n"))
     most = common.orderBy(F.desc("n"), F.desc("length")).first()  # one row
     if most is None:
         return rows.sparkSession.createDataFrame([], f"query_id bigint, rank int, {key} bigint, score double")
     kept = kept.where(F.size("vector") == most["length"])
-    scale = 127.0 / (4.0 * (most["squares"] / (most["n"] * most["length"])) ** 0.5)
 
     nodes = settled(kept.groupBy("vector").agg(F.min("id").alias("id"), F.bool_or("asks").alias("asks")), "vector-nodes")
-    codes = settled(_coded(nodes, scale), "vector-codes")
+    kind = "float" if rows.schema[vector].dataType.elementType.typeName() == "float" else "double"  # nothing is lost
+    codes = settled(nodes.select("id", F.col("vector").cast(f"array<{kind}>").alias("code")), "vector-codes")
     # a bounded sample, whatever the rows
-    pivots = np.array([np.frombuffer(r["code"], np.int8) for r in codes.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).toLocalIterator()])
+    pivots = np.array([r["code"] for r in codes.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).toLocalIterator()])
     graph = neighbour_graph(codes, pivots, degree, iterations)
     asking = codes.join(nodes.where("asks").select("id"), "id").select(F.col("id").alias("q"), F.col("code").alias("code_q"))
     found = graph_search(graph, codes, asking, degree, beam, rounds, 5 * k)

@@ -135,6 +135,24 @@ def test_neighbours(spark):
     assert nearest(frame.limit(0), F.col("vec_id") == 0).collect() == []
 
 
+@pytest.mark.parametrize("skew", ["near copies", "long vectors"])
+def test_neighbours_of_skewed_vectors(spark, skew):
+    dice = np.random.RandomState(13)
+    x = dice.randn(900, 16)
+    if skew == "near copies":
+        x[:600] = np.repeat(x[:6], 100, axis=0) + 1e-5 * dice.randn(600, 16)
+    else:
+        x[::300] *= 1e6
+    x = x.astype(np.float32)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = nearest(frame, F.col("vec_id") % 20 == 1, degree=12, iterations=3, beam=32, rounds=5).collect()
+    hits = 0
+    for q in range(1, 900, 20):
+        d = ((x.astype(np.float64) - x[q].astype(np.float64)) ** 2).sum(1)
+        hits += len({r["vec_id"] for r in got if r["query_id"] == q} & set([i for i in np.lexsort((np.arange(900), d)) if i != q][:10]))
+    assert hits >= 0.95 * 450
+
+
 def test_targets(spark):
     sizes = [("a", 100), ("b", 1000), (None, 50), ("c", 10), ("d", 0)]
     got = {r["source"]: r["target"] for r in targets(spark.createDataFrame(sizes, "source string, source_size long"), (5, 2, 1), 3).collect()}
