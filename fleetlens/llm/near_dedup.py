@@ -169,6 +169,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     rest = prefix_pairs(sets.join(in_open_buckets(met, place), "id"), percent)
     links = settled(links.unionAll(confirmed(rest, sets, percent)), "near-links")
 
+    # an id with several texts connects their classes
+    of = worded.select("id", *same).join(classes, same).select("id", "class")
+    several = of.groupBy("id").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("id")
+    links = links.unionAll(of.join(several, "id").select(F.col("class").alias("a"), F.col("id").alias("b")).distinct())
+
     place = components(links)
     found = sketch.select("id", *same).join(classes, same, "left")
     found = found.join(place, found["class"] == place["node"], "left")

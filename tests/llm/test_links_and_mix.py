@@ -111,6 +111,13 @@ def test_missed_buckets_are_made_good(spark, copies, monkeypatch):
     assert near_dedup.BANDS * near_dedup.ROWS == 240
 
 
+def test_near_duplicates_of_an_id_with_two_texts(spark):
+    one, two = "one two three four five six", "seven eight nine ten eleven twelve"
+    rows = [(5, one), (5, two), (2, one), (3, two), (7, "something else that stands on its own")]
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in near_duplicates(spark.createDataFrame(rows, DOCS)).collect())
+    assert got == [(2, 2, True), (3, 2, False), (5, 2, False), (5, 2, False), (7, 7, True)]
+
+
 def test_neighbours(spark):
     dice = np.random.RandomState(11)
     x = dice.randn(700, 16).astype(np.float32)
