@@ -199,7 +199,7 @@ def _block(found: list, primes, wanted: dict[int, list[tuple[int, int]]] | None
 
 
 def mine(rows: DataFrame, anchor: Column, positives: int = 5, negatives: int = 3, window: tuple[int, int] = (50, 95), factor: int = 256,
-         vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", block_mb: int = 48) -> DataFrame:
+         vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", block_mb: float = 48) -> DataFrame:
     """anchor_id, positive_id, rank, negative_id, positive_score and negative_score.
 
     `anchor` is a condition on vec_id that names the anchors. Their `positives` are the first other rows of their label;
@@ -216,7 +216,7 @@ def mine(rows: DataFrame, anchor: Column, positives: int = 5, negatives: int = 3
     largest = table.agg(F.max("norm")).first()[0]
     # by Cauchy and Schwarz no score exceeds the product of two norms; the factor is for their rounding
     primes = primes_for(int(math.sqrt(largest_anchor) * math.sqrt(largest) * (1 + 1e-9)) + 1)
-    blocks = -(-int(n_bytes) // (block_mb << 20))
+    blocks = math.ceil(n_bytes / (block_mb * 2**20))
     done = []
     for k in range(blocks):
         found = anchors.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == k).select("vec_id", "label", "vector").collect()

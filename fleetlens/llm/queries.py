@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
 
-OPERATORS = ("urls", "language", "sentencepiece", "near", "neighbours", "mixing", "lines", "tokens", "quality", "passages", "toxicity", "hard_negatives")
+OPERATORS = ("urls", "language", "sentencepiece", "near", "neighbours", "mixing", "lines", "tokens", "quality", "passages", "toxicity", "conversations", "hard_negatives")
 
 
 def query(name: str, check: str | None = None):
