@@ -6,7 +6,7 @@ from fleetlens.catalog.registry import FRAMES, query, rounded
 from fleetlens.functions.columns import from_instant
 from fleetlens.plans.sequences import state_as_of
 from fleetlens.streaming import operators as st
-from fleetlens.streaming.runs import drain, fresh_folder, landed, result, timed
+from fleetlens.streaming.runs import closable, close, drain, fresh_folder, landed, result, timed
 
 R = rounded
 SCHEMA = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
@@ -32,8 +32,19 @@ def _finish(t, stream, name):
     return result(t.spark, folder)
 
 
-# a window is written once the watermark has passed its end; the end of the data leaves the rest open
-_CLOSED = "window_end <= (SELECT DATE_TRUNC('millisecond', MAX(ts)) - INTERVAL {delay} FROM events)"
+def _over(t) -> str:
+    """A moment by which every window over the events has closed."""
+    return str(t.events.agg(F.max("ts") + F.expr("INTERVAL 3 DAYS")).first()[0] or "1970-01-01 00:00:00")
+
+
+def _finish_windows(t, windows, name):
+    """Drain the events into windows, say that they are over, and drain again: the last windows are written too."""
+    folder, events = fresh_folder(t.spark, name), _events(t)
+    plan = windows(timed(closable(events, folder, "ts"), "ts", "10 minutes"))
+    drain(plan, folder)
+    close(events, folder, "ts", _over(t))
+    drain(plan, folder)
+    return result(t.spark, folder)
 
 
 @query("t1_collect", "SELECT event_id, ts AS collected_at, user_id, event_type, value, props, CAST(ts AS DATE) AS collected_date FROM events")
@@ -51,47 +62,44 @@ def _(t):
     counter = (F.dayofmonth(ts) * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60).cast("bigint") + _gauge() * 20
     rows = _events(t).select(F.col("user_id").alias("instance_id"), F.col("event_type").alias("metric"), ts.alias("collected_at"), "event_id", counter.alias("counter_value"))
     folder = fresh_folder(t.spark, "delta")
-    st.stream_counter_delta(rows, folder, ["instance_id", "metric"], ["collected_at", "event_id"], ["counter_value"])
+    st.stream_counter_delta(rows, folder, ["instance_id", "metric"], ["collected_at", "event_id"], ["counter_value"], lateness="10 minutes", until=_over(t))
     return result(t.spark, folder)
 
 
 @query("t3_utilisation_tumbling", f"""
     WITH w AS (SELECT event_type, TIME_BUCKET(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01 00:00:00') AS window_start, CAST(ROUND(value * 100) AS BIGINT) AS g FROM events),
     a AS (SELECT event_type, window_start, window_start + INTERVAL 1 HOUR AS window_end, COUNT(*) AS samples, {R('SUM(g)', 'COUNT(*)', 2)} AS avg_value, MAX(g) AS max_value FROM w GROUP BY ALL)
-    SELECT * FROM a WHERE {_CLOSED.format(delay='10 MINUTE')}""")
+    SELECT * FROM a""")
 def _(t):
-    samples = timed(_events(t), "ts", "10 minutes").withColumn("gauge", _gauge())
-    return _finish(t, st.utilisation_tumbling(samples, "ts", "gauge", ["event_type"], "1 hour"), "tumbling")
+    return _finish_windows(t, lambda e: st.utilisation_tumbling(e.withColumn("gauge", _gauge()), "ts", "gauge", ["event_type"], "1 hour"), "tumbling")
 
 
 @query("t4_utilisation_sliding", f"""
     WITH b AS (SELECT ts, CAST(ROUND(value * 100) AS BIGINT) AS g, TIME_BUCKET(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01 00:00:00') AS last_start FROM events),
     w AS (SELECT last_start - TO_HOURS(6 * i) AS window_start, g FROM b, (VALUES (0), (1), (2), (3)) v(i)),
     a AS (SELECT window_start, window_start + INTERVAL 24 HOUR AS window_end, COUNT(*) AS samples, {R('SUM(g)', 'COUNT(*)', 2)} AS avg_value FROM w GROUP BY 1)
-    SELECT * FROM a WHERE {_CLOSED.format(delay='10 MINUTE')}""")
+    SELECT * FROM a""")
 def _(t):
-    samples = timed(_events(t), "ts", "10 minutes").withColumn("gauge", _gauge())
-    return _finish(t, st.utilisation_sliding(samples, "ts", "gauge", [], "24 hours", "6 hours"), "sliding")
+    return _finish_windows(t, lambda e: st.utilisation_sliding(e.withColumn("gauge", _gauge()), "ts", "gauge", [], "24 hours", "6 hours"), "sliding")
 
 
 @query("t5_blocking_episodes", f"""
     WITH e AS (SELECT user_id AS waiter_session_id, ts, CAST(ROUND(value * 100) AS BIGINT) AS wait_ms, CASE WHEN ts < LAG(ts) OVER w + INTERVAL 12 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
     g AS (SELECT *, SUM(fresh) OVER (PARTITION BY waiter_session_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS episode FROM e),
     a AS (SELECT waiter_session_id, MIN(ts) AS window_start, MAX(ts) + INTERVAL 12 HOUR AS window_end, COUNT(*) AS samples, MAX(wait_ms) AS max_wait_ms FROM g GROUP BY waiter_session_id, episode)
-    SELECT * FROM a WHERE {_CLOSED.format(delay='10 MINUTE')}""")
+    SELECT * FROM a""")
 def _(t):
-    pairs = timed(_events(t), "ts", "10 minutes").select("ts", F.col("user_id").alias("waiter_session_id"), _gauge().alias("wait_ms"))
-    return _finish(t, st.blocking_episodes(pairs, "ts", ["waiter_session_id"], gap="12 hours"), "episodes")
+    pairs = lambda e: e.select("ts", F.col("user_id").alias("waiter_session_id"), _gauge().alias("wait_ms"))
+    return _finish_windows(t, lambda e: st.blocking_episodes(pairs(e), "ts", ["waiter_session_id"], gap="12 hours"), "episodes")
 
 
 @query("t6_login_failure_alerts", f"""
     WITH a AS (SELECT TIME_BUCKET(INTERVAL 360 MINUTE, log_date, TIMESTAMP '1970-01-01 00:00:00') AS window_start, COUNT(*) AS failures FROM bf_errorlog WHERE log_text LIKE 'Login failed%' GROUP BY 1),
     b AS (SELECT window_start, window_start + INTERVAL 360 MINUTE AS window_end, failures FROM a WHERE failures >= 10)
-    SELECT * FROM b WHERE window_end <= (SELECT DATE_TRUNC('millisecond', MAX(ts)) - INTERVAL 10 MINUTE FROM events)""")
+    SELECT * FROM b""")
 def _(t):
     text = F.concat(F.when(F.col("event_type") == "error", "Login failed for user ").otherwise("info "), F.col("event_id").cast("string"))
-    lines = timed(_events(t), "ts", "10 minutes").select(F.col("ts").alias("log_date"), text.alias("log_text"))
-    return _finish(t, st.login_failure_alerts(lines), "logins")
+    return _finish_windows(t, lambda e: st.login_failure_alerts(e.select(F.col("ts").alias("log_date"), text.alias("log_text"))), "logins")
 
 
 @query("t7_without_duplicates", "SELECT user_id AS instance_id, event_id AS record_id, ts AS collected_at, event_type FROM events")
@@ -122,5 +130,5 @@ def _(t):
     change = F.col("event_type").isin("error", "signup")
     rows = _events(t).select(F.col("user_id").alias("instance_id"), F.col("ts").alias("collected_at"), F.col("event_id").alias("sample_id"), _gauge().alias("gauge"), F.when(change, F.col("event_type")).alias("state"))
     folder = fresh_folder(t.spark, "state")
-    st.stream_state_as_of(rows, folder, ["instance_id"], "collected_at", ["state"], F.col("state").isNotNull())
+    st.stream_state_as_of(rows, folder, ["instance_id"], "collected_at", ["state"], F.col("state").isNotNull(), lateness="10 minutes", until=_over(t))
     return result(t.spark, folder)

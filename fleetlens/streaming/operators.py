@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.functions.columns import fleet_keys, from_instant, ratio
-from fleetlens.plans.ordering import first_per
-from fleetlens.plans.sequences import counter_delta, state_as_of
-from fleetlens.streaming.runs import drain, drain_with_state, with_day
+from pyspark.sql.types import LongType, StructField, StructType
+
+from fleetlens.functions.columns import fleet_keys, from_instant, micros, ratio
+from fleetlens.streaming.ordered import AT, in_order
+from fleetlens.streaming.runs import closable, close, drain, timed, with_day
+
+# executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+CHANGE = "_change"
 
 
 def collect(snapshots: DataFrame, folder: str, time: str = "collected_at"):
@@ -18,25 +26,55 @@ def collect(snapshots: DataFrame, folder: str, time: str = "collected_at"):
     return drain(with_day(snapshots, time), folder, partition_by=["collected_date"])
 
 
-def stream_counter_delta(snapshots: DataFrame, folder: str, keys: Sequence[str], order: Sequence[str], values: Sequence[str], keep: str | None = None) -> None:
-    """Growth of counters since the sample before, across micro-batches: NULL for the
-    first sample of a key and after a reset. `keep` (an interval such as `7 days`)
-    forgets keys that have not been seen for that long before the newest sample."""
+def _ended(stream: DataFrame, folder: str, time: str, lateness: str, until: str | None, build, state_partitions: int | None):
+    """Drain what `build` makes of the timed stream; with `until`, once more after the end has been said."""
+    plan = build(timed(closable(stream, folder, time), time, lateness))
+    query = drain(plan, folder, state_partitions=state_partitions)
+    if until is not None:
+        close(stream, folder, time, until)
+        query = drain(plan, folder, state_partitions=state_partitions)
+    return query
+
+
+def stream_counter_delta(snapshots: DataFrame, folder: str, keys: Sequence[str], order: Sequence[str], values: Sequence[str], keep: str | None = None,
+                         lateness: str = "0 seconds", until: str | None = None, state_partitions: int | None = None):
+    """Growth of counters since the sample before, across micro-batches: NULL for the first sample of a key and after
+    a reset (a null or smaller value).
+
+    `order` starts with the time of a sample. Samples may land out of order by as much as `lateness`: one waits until the
+    watermark has passed it, so its delta is that of the sequence as a whole; samples later than that are dropped and
+    counted (`late_rows`). `until` says that the stream is over, which lets the last samples go. `keep` (such as
+    `7 days`) forgets what a key showed when it is silent for longer. Each key keeps its last values and the samples of
+    one delay; a batch touches the keys that it has samples or ripe samples of.
+    """
     keys, order, values = list(keys), list(order), list(values)
-    columns = snapshots.columns
+    time, columns = order[0], snapshots.columns
+    rest = [x for x in columns if x not in keys and x != time]
+    kinds = {f.name: f for f in snapshots.schema.fields}
+    counters = [StructField(v, kinds[v].dataType) for v in values]
+    output = StructType([StructField(AT, LongType()), *[StructField(x, kinds[x].dataType) for x in rest], *[StructField(f"{v}_delta", kinds[v].dataType) for v in values]])
+    places = [1 + rest.index(v) for v in values]
+    by = [1 + rest.index(x) for x in order[1:]]
+    keep_ms = None if keep is None else _milliseconds(snapshots, keep)
+
+    def sort_key(row):
+        return (row[0], *((row[i] is not None, row[i]) for i in by))
+
+    def step(carry, row):
+        now = tuple(row[i] for i in places)
+        grown = tuple(b - a if a is not None and b is not None and b >= a else None for a, b in zip(carry or (None,) * len(now), now))
+        return now, (*row, *grown)
+
+    def build(rows: DataFrame) -> DataFrame:
+        out = in_order(rows, keys, time, rest, StructType(counters), output, sort_key, step, keep_ms)
+        return out.withColumn(time, from_instant(F.timestamp_micros(AT))).select(*columns, *[f"{v}_delta" for v in values])
 
-    def step(batch: DataFrame, state: DataFrame | None):
-        rows = batch.withColumn("_new", F.lit(True))
-        if state is not None:
-            rows = rows.unionByName(state.withColumn("_new", F.lit(False)), allowMissingColumns=True)
-        out = counter_delta(rows, keys, order, values, F.to_date(order[0])).where("_new").select(*columns, *[f"{v}_delta" for v in values])
-        latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*order, *[v for v in values if v not in order]), F.struct(*order)).alias("_l")).select(*keys, "_l.*")
-        if keep is not None:
-            limit = latest.agg((F.max(order[0]) - F.expr(f"INTERVAL {keep}")).alias("t")).scalar()
-            latest = latest.where(F.col(order[0]) >= limit)
-        return out, latest
+    return _ended(snapshots, folder, time, lateness, until, build, state_partitions)
 
-    drain_with_state(snapshots, folder, step)
+
+def _milliseconds(frame: DataFrame, interval: str) -> int:
+    moment = F.expr(f"TIMESTAMP_NTZ '1970-01-01 00:00:00' + INTERVAL {interval}")
+    return frame.sparkSession.range(1).select(F.floor(micros(moment) / 1000)).first()[0]
 
 
 def _window(df: DataFrame, aggs: Sequence[Column], window: Column, keys: Sequence[str]) -> DataFrame:
@@ -85,18 +123,46 @@ def enrich(events: DataFrame, dimension: DataFrame, keys: Sequence[str]) -> Data
     return events.join(dimension, list(keys), "left")
 
 
-def stream_state_as_of(rows: DataFrame, folder: str, keys: Sequence[str], time: str, state_columns: Sequence[str], is_change: Column) -> None:
-    """Samples with the state valid at their time, across micro-batches. `rows` mixes
-    samples and changes; a change counts for samples from its time on."""
+def stream_state_as_of(rows: DataFrame, folder: str, keys: Sequence[str], time: str, state_columns: Sequence[str], is_change: Column,
+                       lateness: str = "0 seconds", until: str | None = None, state_partitions: int | None = None):
+    """Samples with the state valid at their time, across micro-batches. `rows` mixes samples and changes; a change
+    counts for samples from its time on, of changes at one moment the one with the smallest state.
+
+    Changes and samples may land out of order by as much as `lateness`; `until` says that the stream is over (see
+    `stream_counter_delta`). A key keeps the last change that the watermark has passed, and what came after it.
+    """
     keys, state_columns = list(keys), list(state_columns)
-    rest = [x for x in rows.columns if x not in state_columns]
+    kinds = {f.name: f for f in rows.schema.fields}
+    rest = [x for x in rows.columns if x not in keys and x != time and x not in state_columns]
+    states = [StructField(x, kinds[x].dataType) for x in state_columns]
+    output = StructType([StructField(AT, LongType()), *[StructField(x, kinds[x].dataType) for x in rest], *states])
+    n = len(state_columns)
+
+    def sort_key(row):
+        # changes first, the smallest state last among them
+        return (row[0], not row[1], _Down(tuple((v is not None, v) for v in row[2:2 + n])))
+
+    def step(carry, row):
+        if row[1]:
+            return tuple(row[2:2 + n]), None
+        return carry, (row[0], *row[2 + n:], *(carry or (None,) * n))
+
+    def build(timed_rows: DataFrame) -> DataFrame:
+        marked = timed_rows.withColumn(CHANGE, F.coalesce(is_change, F.lit(False)))
+        out = in_order(marked, keys, time, [CHANGE, *state_columns, *rest], StructType(states), output, sort_key, step)
+        return out.withColumn(time, from_instant(F.timestamp_micros(AT))).select(*keys, time, *rest, *state_columns)
+
+    return _ended(rows, folder, time, lateness, until, build, state_partitions)
+
+
+class _Down:
+    """Sorts downwards."""
+
+    def __init__(self, value):
+        self.value = value
 
-    def step(batch: DataFrame, state: DataFrame | None):
-        changes = batch.where(is_change).select(*keys, time, *state_columns)
-        if state is not None:
-            changes = changes.unionByName(state)
-        samples = batch.where(~is_change).select(*rest)
-        out = state_as_of(samples, changes, keys, time, state_columns, F.to_date(time))
-        return out, first_per(changes, keys, [f"-{time}", *state_columns])
+    def __lt__(self, other):
+        return other.value < self.value
 
-    drain_with_state(rows, folder, step)
+    def __eq__(self, other):
+        return other.value == self.value

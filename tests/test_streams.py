@@ -1,13 +1,15 @@
 """Streaming jobs: many micro-batches, restarts and duplicates give what one batch gives."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from fleetlens.plans.sequences import counter_delta
 from fleetlens.streaming import operators as st
-from fleetlens.streaming.runs import drain, fresh_folder, landed, result, timed
+from fleetlens.plans.sequences import state_as_of
+from fleetlens.streaming.runs import closable, close, drain, fresh_folder, landed, result, timed
 
 SCHEMA = "instance_id STRING, collected_at TIMESTAMP_NTZ, value BIGINT"
 
@@ -87,3 +89,64 @@ def test_state_as_of_over_batches(spark, tmp_path):
         spark.createDataFrame([(k, base + dt.timedelta(days=d), i, s) for k, d, i, s in batch], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         st.stream_state_as_of(landed(spark, str(tmp_path / "in"), schema), str(tmp_path / "out"), ["k"], "t", ["state"], F.col("state").isNotNull())
     assert {r.id: r.state for r in result(spark, str(tmp_path / "out")).collect()} == {1: "up", 2: "up", 9: None, 3: "down"}
+
+
+def shuffled(spark, folder, rows, schema, files=6, reach=40):
+    """Lands rows in files, each row at most `reach` places from its own; rows of one file are in no order."""
+    dice = random.Random(4)
+    moved = [r for _, _, r in sorted((i + dice.uniform(0, reach), i, r) for i, r in enumerate(rows))]
+    size = -(-len(moved) // files)
+    for k in range(files):
+        spark.createDataFrame(moved[k * size:(k + 1) * size], schema).coalesce(1).write.mode("append").parquet(folder)
+
+
+def test_deltas_of_shuffled_files_equal_the_batch_twin(spark, tmp_path):
+    base = dt.datetime(2024, 1, 1)
+    data = [(k, base + dt.timedelta(minutes=10 * i, microseconds=i), (i * 7) % 90 if i % 11 else None) for i in range(200) for k in ("a", None, "b")]
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    shuffled(spark, src, data, SCHEMA, reach=60)
+    stream = landed(spark, src, SCHEMA, files_per_batch=1)
+    st.stream_counter_delta(stream, out, ["instance_id"], ["collected_at"], ["value"], lateness="4 hours", until="2024-02-01 00:00:00", state_partitions=3)
+    batch = counter_delta(spark.read.schema(SCHEMA).parquet(src), ["instance_id"], ["collected_at"], ["value"], F.to_date("collected_at")).drop("prev_value")
+    assert rows(result(spark, out).select(*batch.columns)) == rows(batch)
+
+
+def test_late_changes_correct_the_samples_within_the_delay(spark, tmp_path):
+    base = dt.datetime(2024, 1, 1)
+    schema = "k STRING, t TIMESTAMP_NTZ, id BIGINT, state STRING, grade BIGINT"
+    dice = random.Random(8)
+    data = []
+    for i in range(300):
+        at = base + dt.timedelta(minutes=10 * i)
+        key = dice.choice(("a", "b", None))
+        data.append((key, at, None, dice.choice(("up", "down", "slow")), i) if i % 4 == 0 else (key, at, i, None, None))
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    shuffled(spark, src, data, schema, reach=30)
+    st.stream_state_as_of(landed(spark, src, schema, files_per_batch=1), out, ["k"], "t", ["state", "grade"], F.col("state").isNotNull(), lateness="6 hours", until="2024-02-01 00:00:00")
+    frame = spark.createDataFrame(data, schema)
+    twin = state_as_of(frame.where("state IS NULL").select("k", "t", "id"), frame.where("state IS NOT NULL").drop("id"), ["k"], "t", ["state", "grade"], F.to_date("t"))
+    assert rows(result(spark, out).select(*twin.columns)) == rows(twin)
+
+
+def test_rows_later_than_the_delay_are_dropped_and_counted(spark, tmp_path):
+    base, n = dt.datetime(2024, 1, 10), 0
+    for batch in ([("a", 0, 5), ("a", 48, 9)], [("a", 1, 6), ("a", 50, 11)]):
+        spark.createDataFrame([(k, base + dt.timedelta(hours=h), v) for k, h, v in batch], SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        n += st.late_rows(st.stream_counter_delta(landed(spark, str(tmp_path / "in"), SCHEMA), str(tmp_path / "out"), ["instance_id"], ["collected_at"], ["value"], lateness="1 hour"))
+    assert n == 1
+    st.stream_counter_delta(landed(spark, str(tmp_path / "in"), SCHEMA), str(tmp_path / "out"), ["instance_id"], ["collected_at"], ["value"], lateness="1 hour", until="2024-01-13 00:00:00")
+    assert sorted((r.value, r.value_delta) for r in result(spark, str(tmp_path / "out")).collect()) == [(5, None), (9, 4), (11, 2)]
+
+
+def test_windows_that_are_open_at_the_end_are_written_when_the_stream_is_closed(spark, folder):
+    src, out = folder(1, 2), fresh_folder(spark, "t")
+    stream = landed(spark, src, SCHEMA, files_per_batch=1)
+    # a filter on anything but the time must not keep the end from the watermark
+    kept = timed(closable(stream, out, "collected_at"), "collected_at", "1 hour").where("instance_id <> 'b'")
+    plan = st.utilisation_tumbling(kept, "collected_at", "value", ["instance_id"], "6 hours")
+    drain(plan, out)
+    before = result(spark, out).count()
+    close(stream, out, "collected_at", "2024-01-03 06:00:00")
+    drain(plan, out)
+    twin = st.utilisation_tumbling(spark.read.schema(SCHEMA).parquet(src).where("instance_id <> 'b'").withColumn("collected_at", F.col("collected_at").cast("timestamp")), "collected_at", "value", ["instance_id"], "6 hours")
+    assert before < result(spark, out).count() and rows(result(spark, out)) == rows(twin)
