@@ -22,7 +22,7 @@ FRAMES.update(
         FROM lineitem GROUP BY l_suppkey, l_linenumber""",
     bf_ag_cluster="""SELECT DISTINCT l_suppkey AS replica_id, (l_suppkey - l_suppkey % 8) * 10 + l_linenumber AS database_id, l_suppkey % 3 <> 1 AS is_failover_ready FROM lineitem""",
     bf_ag_commits="""SELECT d.database_id, d.replica_id, r.role_desc, d.last_commit_time FROM bf_ag_db_states d JOIN bf_ag_roles r ON d.replica_id = r.replica_id""",
-    bf_endpoints="""SELECT s_suppkey AS endpoint_id, CONCAT('endpoint_', s_name) AS name FROM supplier WHERE s_suppkey % 4 = 0""",
+    bf_endpoints="""SELECT s_suppkey AS endpoint_id, CONCAT('endpoint_', s_name) AS name FROM supplier""",
     bf_endpoint_permissions="""SELECT o_orderkey AS permission_id, o_custkey % 100 AS major_id, o_orderpriority AS permission_name, o_orderstatus AS state, o_custkey AS grantee_id FROM orders""",
     bf_publications="""
         SELECT n_nationkey AS publication_id, n_name AS publication, n_regionkey AS publisher_id, n_nationkey % 4 AS publication_type, n_nationkey % 7 AS status, CONCAT('reader_', n_name) AS logreader_agent,
@@ -31,14 +31,14 @@ FRAMES.update(
     bf_subscriptions="""SELECT c_nationkey AS publication_id, c_custkey % 4 AS subscriber_id, CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment END AS subscriber_db FROM customer""",
     bf_repl_servers="""SELECT r_regionkey AS server_id, r_name AS name FROM region WHERE r_regionkey <> 2""",
     bf_other_servers="""SELECT r_regionkey AS server_id, CASE WHEN r_regionkey = 3 THEN 'virtual' ELSE CONCAT('other_', r_name) END AS name FROM region""",
-    bf_dist_agents="""SELECT DISTINCT c_nationkey % 5 AS publisher_id, c_custkey % 4 AS subscriber_id, CONCAT('agent_', CAST(c_nationkey % 5 AS VARCHAR(10)), CAST(c_custkey % 4 AS VARCHAR(10))) AS name FROM customer WHERE c_custkey % 4 <> 1""",
+    bf_dist_agents="""SELECT DISTINCT c_nationkey % 5 AS publisher_id, c_custkey % 4 AS subscriber_id, CONCAT('agent_', CAST(c_nationkey % 5 AS VARCHAR(10)), CAST(c_custkey % 4 AS VARCHAR(10))) AS name FROM customer""",
     bf_publisher_counts="""SELECT article_id, publisher_rows AS row_count FROM bf_repl_counts WHERE article_id % 6 > 0""",
     bf_subscriber_counts="""SELECT article_id, subscriber_rows AS row_count FROM bf_repl_counts WHERE article_id % 5 > 0""",
     bf_count_articles="""SELECT n_nationkey AS article_id, n_name AS article FROM nation""",
     bf_tracer_tokens="""SELECT o_orderkey AS tracer_id, o_custkey % 25 AS publication_id, o_orderdate AS publisher_commit, o_orderdate + INTERVAL 5 SECOND AS distributor_commit FROM orders""",
     bf_tracer_history="""SELECT l_orderkey AS tracer_id, l_linenumber AS agent_id, MAX(l_shipdate) AS subscriber_commit FROM lineitem GROUP BY l_orderkey, l_linenumber""",
     bf_agent_history="""SELECT event_id AS history_id, user_id AS agent_id, event_id % 6 + 1 AS runstatus, ts AS log_time, event_id % 97 AS error_id, CAST(ROUND(value * 100) AS BIGINT) AS delivery_latency FROM events""",
-    bf_repl_agents="""SELECT DISTINCT user_id AS agent_id, CONCAT('agent_', CAST(user_id AS VARCHAR(10))) AS name FROM events WHERE user_id % 9 > 0""",
+    bf_repl_agents="""SELECT DISTINCT user_id AS agent_id, CONCAT('agent_', CAST(user_id AS VARCHAR(10))) AS name FROM events""",
     bf_repl_errors="""SELECT s_suppkey AS error_id, s_name AS error_text FROM supplier""",
     bf_geo_links="""
         SELECT o_orderkey AS link_id, o_orderpriority AS partner_server, o_custkey AS partner_database, o_orderdate AS last_replication, o_custkey % 200 AS replication_lag_sec,

@@ -14,8 +14,8 @@ FRAMES.update(
         SELECT p_partkey AS media_set_id, CONCAT(CASE p_size % 3 WHEN 0 THEN 'c:' WHEN 1 THEN 'd:' ELSE 'z:' END, CHR(92), 'backup', CHR(92), p_name, CAST(p_partkey AS VARCHAR(10))) AS physical_device_name FROM part""",
     bf_restores="""
         SELECT o_orderkey + 7 AS restore_history_id, o_custkey AS database_id, o_orderkey AS backup_set_id, o_orderdate AS restore_date, CASE o_orderstatus WHEN 'F' THEN 'D' WHEN 'P' THEN 'I' ELSE 'X' END AS restore_type,
-            o_orderpriority AS user_name FROM orders WHERE o_orderkey % 4 = 0""",
-    bf_restore_files="""SELECT o_orderkey + 7 AS restore_history_id, CONCAT('/data/', CAST(o_orderkey AS VARCHAR(20))) AS destination_phys_name FROM orders WHERE o_orderkey % 8 = 0""",
+            o_orderpriority AS user_name FROM orders""",
+    bf_restore_files="""SELECT o_orderkey + 7 AS restore_history_id, CONCAT('/data/', CAST(o_orderkey AS VARCHAR(20))) AS destination_phys_name FROM orders""",
     bf_ship_primaries="""SELECT c_custkey AS primary_id, c_name AS primary_database FROM customer""",
     bf_ship_secondaries="""SELECT c_custkey AS primary_id, c_mktsegment AS secondary_server FROM customer WHERE c_acctbal > 0""",
     bf_ship_monitor="""SELECT c_custkey AS primary_id, c_nationkey * 10 AS backup_threshold FROM customer""",
@@ -24,7 +24,7 @@ FRAMES.update(
             c_custkey % 100 AS time_since_last_backup, 60 AS backup_threshold, c_custkey % 90 AS time_since_last_restore, 70 AS last_restored_latency, CASE WHEN c_custkey % 7 > 0 THEN c_mktsegment END AS last_backup_file,
             c_mktsegment AS last_restored_file FROM customer""",
     bf_ship_errors="""SELECT o_orderkey AS error_id, o_orderkey % 3 + 1 AS agent_type, o_orderpriority AS message FROM orders WHERE o_orderstatus = 'P'""",
-    bf_encryption_keys="""SELECT c_custkey AS database_id, c_custkey % 60 AS encryptor_thumbprint FROM customer WHERE c_custkey % 3 = 0""",
+    bf_encryption_keys="""SELECT c_custkey AS database_id, c_custkey % 60 AS encryptor_thumbprint FROM customer""",
     bf_certificates="""SELECT s_suppkey AS thumbprint, s_name AS name FROM supplier""",
 )
 

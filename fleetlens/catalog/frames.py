@@ -146,8 +146,7 @@ FRAMES.update(
     bf_foreign_keys="""
         SELECT o_custkey AS parent_object_id, o_orderkey AS constraint_object_id, o_orderpriority AS name,
             o_orderstatus = 'P' AS is_not_trusted, o_orderstatus = 'O' AS is_disabled
-        FROM orders
-        WHERE o_orderkey % 3 = 0""",
+        FROM orders""",
     bf_identity_columns="""
         SELECT l_partkey AS object_id, CASE MIN(l_linenumber) WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 4 END AS max_length,
             SUM(CAST(l_quantity AS BIGINT)) AS last_value

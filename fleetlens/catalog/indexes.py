@@ -15,10 +15,10 @@ FRAMES.update(
             i.index_id % 13 = 0 AS is_unique_constraint
         FROM bf_indexes i JOIN (SELECT object_id, MIN(index_id) AS first_index FROM bf_indexes GROUP BY object_id) f ON i.object_id = f.object_id""",
     bf_index_rows="""SELECT o_custkey AS object_id, o_orderkey AS index_id, CAST(ROUND(o_totalprice) AS BIGINT) AS row_count FROM orders""",
-    bf_order_index_usage="""SELECT o_custkey AS object_id, o_orderkey AS index_id, o_orderkey % 50 AS user_seeks, o_orderkey % 7 AS user_scans, o_custkey % 90 AS user_updates FROM orders WHERE o_orderkey % 5 <> 0""",
+    bf_order_index_usage="""SELECT o_custkey AS object_id, o_orderkey AS index_id, o_orderkey % 50 AS user_seeks, o_orderkey % 7 AS user_scans, o_custkey % 90 AS user_updates FROM orders""",
     bf_fk_columns="""
         SELECT l_orderkey AS constraint_object_id, l_linenumber AS constraint_column_id, l_partkey % 6 + 1 AS parent_column_id, CONCAT('c', CAST(l_partkey % 6 + 1 AS VARCHAR(10))) AS column_name
-        FROM lineitem WHERE l_orderkey % 3 = 0 AND l_linenumber <= 2""",
+        FROM lineitem""",
     bf_customer_tables="""SELECT c_custkey AS object_id, c_name AS name FROM customer""",
     bf_dated_tables="""
         SELECT s_suppkey AS object_id, s_name AS name, CASE WHEN s_suppkey % 4 = 0 THEN TIMESTAMP '2001-11-20 00:00:00' ELSE TIMESTAMP '2000-01-01 00:00:00' END AS create_date FROM supplier""",
@@ -29,7 +29,7 @@ FRAMES.update(
     bf_line_partitions="""
         SELECT l_suppkey AS object_id, l_linenumber AS index_id, l_partkey % 3 + 1 AS partition_number, COUNT(*) AS row_count, SUM(CAST(l_quantity AS BIGINT)) AS used_page_count,
             SUM(CAST(l_quantity AS BIGINT)) + COUNT(*) AS reserved_page_count FROM lineitem GROUP BY l_suppkey, l_linenumber, l_partkey % 3 + 1""",
-    bf_fk_references="""SELECT l_suppkey AS object_id, l_linenumber AS index_id, l_orderkey AS constraint_object_id FROM lineitem WHERE l_partkey % 17 = 0""",
+    bf_fk_references="""SELECT l_suppkey AS object_id, l_linenumber AS index_id, l_orderkey AS constraint_object_id FROM lineitem""",
     bf_line_index_columns="""
         SELECT l_suppkey AS object_id, l_linenumber AS index_id, l_partkey % 4 + 1 AS column_id, l_partkey % 4 + 1 AS key_ordinal, CASE WHEN l_partkey % 4 = 1 THEN 1 ELSE 0 END AS is_descending_key,
             CASE WHEN l_partkey % 4 = 3 THEN 1 ELSE 0 END AS is_included_column FROM lineitem GROUP BY 1, 2, 3, 4, 5, 6""",
@@ -41,9 +41,11 @@ FRAMES.update(
     bf_design_columns="""
         SELECT p_partkey AS object_id, p_name AS name, CASE p_size % 8 WHEN 0 THEN 'sql_variant' WHEN 1 THEN 'text' WHEN 2 THEN 'float' WHEN 3 THEN 'varchar' WHEN 4 THEN 'uniqueidentifier' WHEN 5 THEN 'image' WHEN 6 THEN 'char' ELSE 'int' END AS type_name,
             p_size % 4 AS max_length, p_partkey % 9 <> 0 AS is_ansi_padded, p_size % 3 + 1 AS column_id FROM part""",
+    bf_design_parameters="""
+        SELECT p_partkey AS object_id, CONCAT('@', p_name) AS name, CASE p_size % 6 WHEN 0 THEN 'varchar' WHEN 1 THEN 'sql_variant' WHEN 2 THEN 'float' WHEN 3 THEN 'image' ELSE 'int' END AS type_name, p_size % 5 AS max_length FROM part""",
     bf_triggers="""SELECT s_suppkey AS object_id, s_name AS name FROM supplier WHERE s_acctbal < 0""",
     bf_constraints="""SELECT c_custkey AS object_id, c_name AS name, c_acctbal < 0 AS is_disabled FROM customer""",
-    bf_views="""SELECT s_suppkey AS object_id, s_name AS name FROM supplier WHERE s_suppkey % 2 = 0""",
+    bf_views="""SELECT s_suppkey AS object_id, s_name AS name FROM supplier""",
     bf_part_typed_indexes="""SELECT p_partkey AS object_id, p_size % 3 AS index_id, p_name AS name, p_size % 3 AS type, p_partkey % 10 = 0 AS is_disabled FROM part""",
     bf_part_index_columns="""SELECT p_partkey AS object_id, p_size % 3 AS index_id, p_size % 3 + 1 AS column_id, 1 AS key_ordinal FROM part""",
     bf_part_partitions="""SELECT l_partkey AS object_id, l_linenumber % 2 AS index_id, COUNT(*) AS row_count, SUM(CAST(l_quantity AS BIGINT)) AS used_page_count FROM lineitem GROUP BY 1, 2""",
@@ -325,12 +327,12 @@ def _doubtful(what, source):
 
 @query("i19_design_findings", f"""
     SELECT object_id, name AS detail, 'Column with ANSI_PADDING OFF' AS finding FROM bf_design_columns WHERE NOT is_ansi_padded AND type_name IN ('char', 'varchar', 'text', 'image')
-    UNION ALL {_doubtful('Column', 'bf_design_columns')} UNION ALL {_doubtful('Parameter', '(SELECT * FROM bf_design_columns WHERE object_id % 5 = 0)')}
+    UNION ALL {_doubtful('Column', 'bf_design_columns')} UNION ALL {_doubtful('Parameter', 'bf_design_parameters')}
     UNION ALL SELECT object_id, name, 'Trigger on user table' FROM bf_triggers UNION ALL SELECT object_id, name, 'Disabled constraint' FROM bf_constraints WHERE is_disabled
     UNION ALL SELECT object_id, name, 'Disabled index' FROM bf_table_indexes WHERE is_disabled
     UNION ALL SELECT object_id, name, 'Indexed view' FROM bf_views WHERE object_id IN (SELECT object_id FROM bf_table_indexes)""")
 def _(t):
-    return ih.design_findings(t.design_columns, t.design_columns.where("object_id % 5 = 0"), t.triggers, t.constraints, t.table_indexes, t.views)
+    return ih.design_findings(t.design_columns, t.design_parameters, t.triggers, t.constraints, t.table_indexes, t.views)
 
 
 @query("i20_guid_leading_indexes", f"""

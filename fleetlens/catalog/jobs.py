@@ -13,9 +13,9 @@ FRAMES.update(
     bf_schedule_links="""SELECT p_partkey % 400 AS job_id, p_partkey AS schedule_id, CASE WHEN p_size % 5 = 0 THEN 0 ELSE 20240200 + p_size % 28 + 1 END AS next_run_date, p_size % 24 * 10000 + 1530 AS next_run_time, p_size % 3 > 0 AS enabled FROM part""",
     bf_job_servers="""
         SELECT c_custkey AS job_id, c_custkey % 4 AS last_run_outcome, CASE WHEN c_custkey % 6 = 0 THEN 0 ELSE 20240100 + c_custkey % 28 + 1 END AS last_run_date, c_custkey % 24 * 10000 + 101 AS last_run_time,
-            CASE WHEN c_acctbal > 0 THEN c_mktsegment END AS last_outcome_message FROM customer WHERE c_custkey % 11 <> 0""",
-    bf_job_steps="""SELECT o_custkey AS job_id, o_orderkey AS step_uid FROM orders WHERE o_orderkey % 3 = 0""",
-    bf_job_alerts="""SELECT o_custkey AS job_id, o_orderstatus = 'F' AS enabled FROM orders WHERE o_orderkey % 25 = 0""",
+            CASE WHEN c_acctbal > 0 THEN c_mktsegment END AS last_outcome_message FROM customer""",
+    bf_job_steps="""SELECT o_custkey AS job_id, o_orderkey AS step_uid FROM orders""",
+    bf_job_alerts="""SELECT o_custkey AS job_id, o_orderstatus = 'F' AS enabled FROM orders""",
     bf_logins="""SELECT s_suppkey AS sid, s_name AS name, s_suppkey % 17 = 0 AS denylogin, s_suppkey % 19 <> 0 AS hasaccess FROM supplier""",
     bf_sysadmins="""SELECT s_suppkey AS sid FROM supplier WHERE s_suppkey % 2 = 0""",
     bf_job_activity="""

@@ -45,11 +45,11 @@ FRAMES.update(
             CONCAT('app_', CAST(user_id % 3 AS VARCHAR(10))) AS program_name, MIN(ts) AS login_time, user_id % 5 AS database_id
         FROM events GROUP BY user_id""",
     bf_connections="""SELECT user_id AS session_id, CONCAT('10.0.0.', event_type) AS client_net_address FROM events""",
-    bf_input_buffers="""SELECT user_id AS session_id, MAX(event_type) AS event_info FROM events WHERE value > 100 GROUP BY user_id""",
+    bf_input_buffers="""SELECT user_id AS session_id, MAX(event_type) AS event_info FROM events GROUP BY user_id""",
     bf_tasks="""
         SELECT l_suppkey AS session_id, l_orderkey * 10 + l_linenumber AS task_id, CASE WHEN l_linenumber > 1 THEN l_orderkey * 10 + 1 END AS parent_task_id,
             l_linestatus AS task_state FROM lineitem""",
-    bf_current_waits="""SELECT session_id, task_id, wait_type, wait_duration_ms FROM bf_waiting_tasks WHERE wait_duration_ms > 25""",
+    bf_current_waits="""SELECT session_id, task_id, wait_type, wait_duration_ms FROM bf_waiting_tasks""",
 )
 
 

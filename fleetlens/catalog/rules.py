@@ -26,8 +26,8 @@ FRAMES.update(
                 WHEN 'view' THEN CAST(user_id % 2 AS VARCHAR(10)) ELSE 'x' END AS value
         FROM events""",
     bf_suspect_pages="""SELECT event_id AS page_id, user_id AS database_id, event_id % 4 AS file_id, event_id % 6 AS event_type, event_id % 50 AS error_count, ts AS last_update_date FROM events""",
-    bf_checks="""SELECT o_custkey AS parent_object_id, o_orderkey AS constraint_object_id, o_orderpriority AS name, o_orderkey % 5 = 0 AS is_not_trusted, o_orderkey % 2 = 0 AS is_disabled FROM orders WHERE o_orderkey % 3 = 1""",
-    bf_dumps="""SELECT CONCAT('dump', CAST(o_orderkey AS VARCHAR(20)), '.mdmp') AS filename, o_orderdate AS creation_time FROM orders WHERE o_orderkey % 100 = 0""",
+    bf_checks="""SELECT o_custkey AS parent_object_id, o_orderkey AS constraint_object_id, o_orderpriority AS name, o_orderkey % 5 = 0 AS is_not_trusted, o_orderkey % 2 = 0 AS is_disabled FROM orders""",
+    bf_dumps="""SELECT CONCAT('dump', CAST(o_orderkey AS VARCHAR(20)), '.mdmp') AS filename, o_orderdate AS creation_time FROM orders""",
     bf_mail_events="""SELECT event_id AS mailitem_id, event_type, ts AS log_date, CONCAT('mail ', event_type) AS description FROM events""",
     bf_log_archives="""SELECT event_type AS log_kind, event_id AS archive_no, CAST(ROUND(value * 100) AS BIGINT) * 200000 AS size_bytes FROM events""",
     bf_store_options="""
@@ -50,10 +50,10 @@ FRAMES.update(
         SELECT o_orderkey % 4 AS class, o_orderkey % 300 AS major_id, o_orderkey % 7 AS minor_id, o_custkey AS grantee_id, o_orderpriority AS permission_name, CASE o_orderstatus WHEN 'P' THEN 'W' ELSE 'G' END AS state,
             CASE o_orderstatus WHEN 'P' THEN 'GRANT_WITH_GRANT_OPTION' ELSE 'GRANT' END AS state_desc FROM orders""",
     bf_grant_objects="""SELECT p_partkey AS object_id, p_type AS schema_name, p_name AS name FROM part""",
-    bf_grant_columns="""SELECT p_partkey AS object_id, 3 AS column_id, p_brand AS name FROM part WHERE p_size % 2 = 0""",
+    bf_grant_columns="""SELECT p_partkey AS object_id, 3 AS column_id, p_brand AS name FROM part""",
     bf_grant_schemas="""SELECT s_suppkey AS schema_id, s_name AS name FROM supplier""",
     bf_linked_servers="""SELECT s_suppkey AS server_id, s_name AS name, s_suppkey % 3 > 0 AS is_data_access_enabled, s_suppkey % 4 = 0 AS is_distributor FROM supplier""",
-    bf_linked_logins="""SELECT o_custkey % 100 AS server_id, o_orderkey % 3 AS local_principal_id, o_orderkey % 5 > 0 AS uses_self_credential FROM orders WHERE o_orderkey % 40 = 0""",
+    bf_linked_logins="""SELECT o_custkey % 100 AS server_id, o_orderkey % 3 AS local_principal_id, o_orderkey % 5 > 0 AS uses_self_credential FROM orders""",
 )
 
 

@@ -17,7 +17,7 @@ FRAMES.update(
             l_partkey AS resource_associated_entity_id, l_returnflag AS request_mode, l_suppkey % 5 AS resource_database_id, l_orderkey, l_linenumber FROM lineitem) l""",
     bf_lock_waits="""
         SELECT l_orderkey * 10 + l_linenumber AS resource_address, CAST(l_quantity AS BIGINT) AS wait_duration_ms, l_suppkey % 50 AS blocking_session_id
-        FROM lineitem WHERE l_quantity > 30""",
+        FROM lineitem""",
     bf_hobts="""SELECT p_partkey AS hobt_id, p_partkey % 300 AS object_id, p_size % 3 AS index_id FROM part""",
     bf_part_objects="""SELECT p_partkey AS object_id, p_name AS name FROM part""",
     bf_part_indexes="""SELECT p_partkey AS object_id, 1 AS index_id, CONCAT('ix_', p_brand) AS name FROM part""",

@@ -30,7 +30,7 @@ FRAMES.update(
     bf_log_stats="""SELECT l_suppkey AS database_id, COUNT(*) AS vlf_count FROM lineitem GROUP BY l_suppkey""",
     bf_log_files="""SELECT s_suppkey AS database_id, CONCAT(s_name, '_log') AS name, 1 AS type, s_suppkey * 13000 + 2000 AS size FROM supplier""",
     bf_member_files="""
-        SELECT c_nationkey AS instance_id, 2 AS database_id, c_custkey AS file_id, 0 AS type, CASE WHEN c_nationkey % 2 = 0 THEN 1000 ELSE 1000 + c_custkey % 2 * 500 END AS size FROM customer WHERE c_custkey % 8 < c_nationkey % 4""",
+        SELECT c_nationkey AS instance_id, 2 AS database_id, c_custkey AS file_id, 0 AS type, CASE WHEN c_nationkey % 2 = 0 THEN 1000 ELSE 1000 + c_custkey % 2 * 500 END AS size FROM customer""",
     bf_tempdb_usage="""
         SELECT p_partkey % 5 AS file_id, p_size AS unallocated_extent_page_count, p_size % 7 AS internal_object_reserved_page_count, p_size % 11 AS user_object_reserved_page_count,
             p_size % 13 AS version_store_reserved_page_count, p_size % 2 AS mixed_extent_page_count FROM part""",
