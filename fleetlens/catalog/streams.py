@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from fleetlens.catalog.registry import FRAMES, query, rounded
-from fleetlens.functions.columns import from_instant
+from fleetlens.functions.columns import from_instant, to_instant
+from fleetlens.plans.intervals import overlap_join, state_by_intervals
 from fleetlens.plans.sequences import state_as_of
 from fleetlens.streaming import operators as st
 from fleetlens.streaming.runs import closable, close, drain, fresh_folder, landed, result, timed
@@ -125,6 +126,30 @@ def _(t):
     return state_as_of(t.state_samples, t.state_changes.drop("change_id"), ["instance_id"], "collected_at", ["state"], F.to_date("collected_at"))
 
 
+@query("p53_state_by_intervals", _AS_OF)
+def _(t):
+    return state_by_intervals(t.state_samples, t.state_changes, ["instance_id"], "collected_at", ["state"], F.to_date("collected_at"))
+
+
+@query("p53_jobs_during_blocking", """
+    WITH e AS (SELECT user_id % 40 AS instance_id, ts, CASE WHEN ts < LAG(ts) OVER w + INTERVAL 5 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WHERE event_type IN ('click', 'view') WINDOW w AS (PARTITION BY user_id % 40 ORDER BY ts, event_id)),
+    g AS (SELECT *, SUM(fresh) OVER (PARTITION BY instance_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS episode FROM e),
+    b AS (SELECT instance_id, MIN(ts) AS blocked_from, MAX(ts) + INTERVAL 5 MINUTE AS blocked_until, COUNT(*) AS samples FROM g GROUP BY instance_id, episode),
+    j AS (SELECT user_id % 40 AS instance_id, event_id AS run_id, ts AS started_at, ts + TO_SECONDS(CAST(ROUND(value * 100) AS BIGINT) * CASE WHEN event_id % 50 = 0 THEN 400 ELSE 1 END) AS ended_at FROM events WHERE event_type NOT IN ('click', 'view'))
+    SELECT j.instance_id, run_id, started_at, ended_at, COUNT(*) AS episodes, CAST(SUM(samples) AS BIGINT) AS blocked_samples, MIN(blocked_from) AS first_blocked_from
+    FROM j JOIN b ON j.instance_id = b.instance_id AND started_at < blocked_until AND blocked_from < ended_at GROUP BY ALL""")
+def _(t):
+    """Job runs that overlap blocking episodes of their instance, some of them very long."""
+    events = t.events.withColumn("instance_id", F.col("user_id") % 40)
+    watched = F.col("event_type").isin("click", "view")
+    episodes = (events.where(watched).groupBy("instance_id", F.session_window(to_instant("ts"), "5 minutes").alias("w")).agg(F.count(F.lit(1)).alias("samples"))
+                .select("instance_id", from_instant("w.start").alias("blocked_from"), from_instant("w.end").alias("blocked_until"), "samples"))
+    seconds = _gauge() * F.when(F.col("event_id") % 50 == 0, 400).otherwise(1)
+    runs = events.where(~watched).select("instance_id", F.col("event_id").alias("run_id"), F.col("ts").alias("started_at"), F.timestamp_add("SECOND", seconds, "ts").alias("ended_at"))
+    met = overlap_join(runs, episodes, ["instance_id"], ("started_at", "ended_at"), ("blocked_from", "blocked_until"), prefix="")
+    return met.groupBy("instance_id", "run_id", "started_at", "ended_at").agg(F.count(F.lit(1)).alias("episodes"), F.sum("samples").alias("blocked_samples"), F.min("blocked_from").alias("first_blocked_from"))
+
+
 @query("t9_stream_state_as_of", _AS_OF)
 def _(t):
     change = F.col("event_type").isin("error", "signup")
