@@ -326,7 +326,7 @@ def _doubtful(what, source):
 
 
 @query("i19_design_findings", f"""
-    SELECT object_id, name AS detail, 'Column with ANSI_PADDING OFF' AS finding FROM bf_design_columns WHERE NOT is_ansi_padded AND type_name IN ('char', 'varchar', 'text', 'image')
+    SELECT object_id, name AS detail, 'trailing blanks of the column are not kept' AS finding FROM bf_design_columns WHERE NOT is_ansi_padded AND type_name IN ('char', 'varchar', 'text', 'image')
     UNION ALL {_doubtful('Column', 'bf_design_columns')} UNION ALL {_doubtful('Parameter', 'bf_design_parameters')}
     UNION ALL SELECT object_id, name, 'Trigger on user table' FROM bf_triggers UNION ALL SELECT object_id, name, 'Disabled constraint' FROM bf_constraints WHERE is_disabled
     UNION ALL SELECT object_id, name, 'Disabled index' FROM bf_table_indexes WHERE is_disabled

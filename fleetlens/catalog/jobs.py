@@ -94,8 +94,8 @@ def _(t):
 @query("j5_orphaned_jobs", f"""
     WITH h AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY job_id ORDER BY run_date DESC, run_time DESC, history_id DESC) AS rn FROM bf_job_history WHERE run_date > 0),
     n AS (SELECT job_id, next_run_date, next_run_time, ROW_NUMBER() OVER (PARTITION BY job_id ORDER BY next_run_date, next_run_time) AS rn FROM bf_schedule_links WHERE next_run_date > 0),
-    i AS (SELECT j.job_id, j.name, owner_name, a.sid IS NOT NULL AS is_sysadmin, CASE WHEN owner_name IS NULL THEN 'Account/Login does not exist' WHEN l.sid IS NULL THEN 'Not found in server logins'
-        WHEN denylogin OR NOT hasaccess THEN 'Login has no server access' WHEN a.sid IS NULL THEN 'Owner is not sysadmin' END AS issue
+    i AS (SELECT j.job_id, j.name, owner_name, a.sid IS NOT NULL AS is_sysadmin, CASE WHEN owner_name IS NULL THEN 'nobody with the owner''s name' WHEN l.sid IS NULL THEN 'the owner is no login of this server'
+        WHEN denylogin OR NOT hasaccess THEN 'the owner may not connect' WHEN a.sid IS NULL THEN 'the owner is no administrator' END AS issue
         FROM bf_jobs j LEFT JOIN bf_logins l ON j.owner_sid = l.sid LEFT JOIN bf_sysadmins a ON a.sid = j.owner_sid WHERE j.enabled)
     SELECT i.*, {_stamp('h.run_date', 'h.run_time')} AS last_run, CASE run_status WHEN 0 THEN 'Failed' WHEN 1 THEN 'Succeeded' WHEN 2 THEN 'Retry' WHEN 3 THEN 'Canceled' END AS last_status,
         {_secs('run_duration')} AS last_duration_s, {_stamp('n.next_run_date', 'n.next_run_time')} AS next_run

@@ -1,7 +1,7 @@
 """Configuration, integrity, log and security queries over the given tables."""
 
 from fleetlens.catalog.registry import FRAMES, query, rounded
-from fleetlens.operators import amplify as g, backup, rules as r, security as s, storage
+from fleetlens.operators import amplify as g, backup, health as h, rules as r, security as s, storage
 
 R = rounded
 AS_OF, EVENTS_AS_OF = "2001-12-01 00:00:00", "2024-01-31 00:00:00"
@@ -35,6 +35,10 @@ FRAMES.update(
             'READ_WRITE' AS desired_state_desc FROM customer""",
     bf_secondary_databases="""SELECT c_name AS database_name FROM customer WHERE c_acctbal < 0""",
     bf_server_principals="""SELECT c_nationkey AS instance_id, CASE WHEN c_custkey % 60 = 0 THEN '0x01' ELSE c_name END AS sid, CASE WHEN c_custkey % 60 = 0 THEN 'sa' ELSE c_name END AS name, c_acctbal < 5000 AS is_disabled FROM customer""",
+    bf_instance_settings="""
+        SELECT instance_id, name, value FROM bf_pair_settings UNION ALL SELECT c_nationkey, 'allow updates', COUNT(*) % 2 FROM customer GROUP BY c_nationkey
+        UNION ALL SELECT c_nationkey, 'xp_cmdshell', COUNT(*) % 3 FROM customer GROUP BY c_nationkey UNION ALL SELECT c_nationkey, 'network packet size (B)', 4096 + COUNT(*) % 2 FROM customer GROUP BY c_nationkey
+        UNION ALL SELECT c_nationkey, 'remote admin connections', COUNT(*) % 2 FROM customer GROUP BY c_nationkey""",
     bf_facts="""
         SELECT n_nationkey AS instance_id, CASE WHEN n_nationkey % 2 = 0 THEN '1433' ELSE '51433' END AS tcp_port, n_nationkey % 4 AS audit_level, n_nationkey % 3 > 0 AS agent_running,
             CASE WHEN n_nationkey % 6 = 0 THEN 'Express' ELSE 'Enterprise' END AS edition, n_name AS server_name, CASE WHEN n_nationkey % 7 = 0 THEN 'other' ELSE n_name END AS actual_server_name FROM nation""",
@@ -59,7 +63,7 @@ FRAMES.update(
 
 @query("r1_run_rules", """
     SELECT 'Database Backup' AS category, 'Never backed up' AS sub_category, name AS object_name, 'No backup was found' AS details FROM bf_databases WHERE database_id NOT IN (SELECT database_id FROM bf_backupset)
-    UNION ALL SELECT 'General', 'cannot grow', physical_name, 'File Auto Growth should be ON (with a max size limit)' FROM bf_space_files WHERE growth = 0
+    UNION ALL SELECT 'General', 'cannot grow', physical_name, 'let it grow, up to a maximum' FROM bf_space_files WHERE growth = 0
     UNION ALL SELECT 'Automation', 'Query Store', database_name, 'captures queries and never removes any' FROM bf_store_options WHERE query_capture_mode <> 3 AND size_based_cleanup_mode <> 1
     UNION ALL SELECT 'Automation', 'Query Store state', database_name, 'wanted: ' || desired_state_desc || ', is: ' || actual_state_desc FROM bf_store_options
         WHERE desired_state_desc <> actual_state_desc AND database_name NOT IN (SELECT database_name FROM bf_secondary_databases)""")
@@ -68,11 +72,67 @@ def _(t):
     fixed = storage.file_growth_findings(t.space_files).where("finding = 'cannot grow'")
     return r.run_rules([
         r.finding(never, "Database Backup", "Never backed up", "name", "No backup was found"),
-        r.finding(fixed, "General", "cannot grow", "physical_name", "File Auto Growth should be ON (with a max size limit)"),
+        r.finding(fixed, "General", "cannot grow", "physical_name", "let it grow, up to a maximum"),
         r.query_store_findings(t.store_options, t.secondary_databases),
     ])
 
 
+_SETTINGS = ", ".join(f"('{n}', {v}, '{m.replace(chr(39), chr(39) * 2)}', {sec})" for rows, sec in ((r.RECOMMENDED, "false"), (r.SECURITY_RECOMMENDED, "true")) for n, v, m in rows)
+
+
+@query("r1_health_check", f"""
+    WITH o AS (SELECT * FROM bf_db_settings WHERE state_desc = 'ONLINE'),
+    b AS (SELECT database_id, MAX(backup_finish_date) AS last_backup, MAX(backup_finish_date) FILTER (type = 'L') AS last_log FROM bf_backupset GROUP BY 1),
+    w AS (SELECT instance_id, MAX(value) FILTER (name = 'affinity mask') AS a, MAX(value) FILTER (name = 'affinity I/O mask') AS i, MAX(value) FILTER (name = 'blocked process threshold (s)') AS b,
+        MAX(value) FILTER (name = 'min memory per query (KB)') AS q, MAX(value) FILTER (name = 'index create memory (KB)') AS x, MAX(value) FILTER (name = 'max worker threads') AS t FROM bf_instance_settings GROUP BY 1),
+    l AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY log_kind ORDER BY archive_no) AS rn FROM bf_log_archives),
+    unkeyed AS (
+        SELECT 'General' AS category, 'closes when idle' AS sub_category, name AS object_name, 'every reopening costs time and empties its caches; switch it off' AS details FROM o WHERE is_auto_close_on
+        UNION ALL SELECT 'Performance', 'shrinks by itself', name, 'shrinking fragments indexes and files grow again; switch it off' FROM o WHERE is_auto_shrink_on
+        UNION ALL SELECT 'Performance', 'no statistics are made on demand', name, 'plans lack row estimates; switch it on' FROM o WHERE NOT is_auto_create_stats_on
+        UNION ALL SELECT 'Performance', 'statistics are not refreshed', name, 'plans use old row estimates; switch it on' FROM o WHERE NOT is_auto_update_stats_on
+        UNION ALL SELECT 'General', 'pages are not verified by checksum', name, 'verified by: ' || page_verify_option_desc FROM o WHERE page_verify_option_desc <> 'CHECKSUM'
+        UNION ALL SELECT 'Compatibility', 'database level ' || CAST(compatibility_level AS VARCHAR) || ', instance level 150', name, 'behaves like another version than the instance' FROM bf_db_settings WHERE compatibility_level <> 150
+        UNION ALL SELECT 'General', 'not online', name, 'state: ' || state_desc FROM bf_db_settings WHERE state_desc <> 'ONLINE'
+        UNION ALL SELECT 'General', 'owner unknown', name, 'no login has the owner''s id, as after a restore from elsewhere; name an owner that exists' FROM bf_db_settings WHERE owner_sid NOT IN (SELECT sid FROM bf_logins)
+        UNION ALL SELECT 'Database Backup', 'never backed up', name, 'there is no backup of any kind' FROM bf_db_settings WHERE database_id NOT IN (SELECT database_id FROM b)
+        UNION ALL SELECT 'Database Backup', 'log backup overdue', name, 'the last one ended at ' || STRFTIME(last_log, '%Y-%m-%d %H:%M:%S') FROM bf_db_settings d JOIN b ON b.database_id = d.database_id WHERE last_log < TIMESTAMP '{AS_OF}' - INTERVAL 24 HOUR
+        UNION ALL SELECT 'General', 'cannot grow', physical_name, 'let it grow, up to a maximum' FROM bf_space_files WHERE growth = 0
+        UNION ALL SELECT 'Performance', 'grows by a share of its size', physical_name, 'by ' || CAST(growth AS VARCHAR) || ' percent' FROM bf_space_files WHERE is_percent_growth AND growth > 0
+        UNION ALL SELECT 'General', 'lies on the system volume', physical_name, 'when it fills that volume, the system stops too' FROM bf_space_files WHERE physical_name LIKE 'c:%' AND (database_id > 3 OR database_id = 2)
+        UNION ALL SELECT 'Performance', 'temporary files grow by different steps', physical_name, 'they are filled in proportion only while they are equal' FROM bf_space_files WHERE database_id = 2 AND type = 0
+            AND (SELECT COUNT(*) FROM (SELECT DISTINCT growth, is_percent_growth FROM bf_space_files WHERE database_id = 2 AND type = 0)) > 1
+        UNION ALL SELECT 'Automation', 'Query Store', database_name, 'captures queries and never removes any' FROM bf_store_options WHERE query_capture_mode <> 3 AND size_based_cleanup_mode <> 1
+        UNION ALL SELECT 'Automation', 'Query Store state', database_name, 'wanted: ' || desired_state_desc || ', is: ' || actual_state_desc FROM bf_store_options
+            WHERE desired_state_desc <> actual_state_desc AND database_name NOT IN (SELECT database_name FROM bf_secondary_databases)
+        UNION ALL SELECT 'Integrity', 'suspect page', CONCAT(database_id, ':', file_id, ':', page_id), CASE event_type WHEN 1 THEN 'Error 823 or unspecified Error 824' WHEN 2 THEN 'Bad Checksum' ELSE 'Torn Page' END
+            || ', ' || CAST(error_count AS VARCHAR) || ' times, last at ' || STRFTIME(last_update_date, '%Y-%m-%d %H:%M:%S') FROM bf_suspect_pages WHERE event_type IN (1, 2, 3)
+        UNION ALL SELECT 'Integrity', 'foreign key not trusted', name, 'constraint ' || CAST(constraint_object_id AS VARCHAR) || ' may be violated by old rows; check it again' FROM bf_foreign_keys WHERE is_not_trusted AND NOT is_disabled
+        UNION ALL SELECT 'Integrity', 'check constraint not trusted', name, 'constraint ' || CAST(constraint_object_id AS VARCHAR) || ' may be violated by old rows; check it again' FROM bf_checks WHERE is_not_trusted AND NOT is_disabled
+        UNION ALL SELECT 'Instance Health', 'crash dump', filename, 'written at ' || STRFTIME(creation_time, '%Y-%m-%d %H:%M:%S') || ' | details: ' || REPLACE(filename, '.mdmp', '.txt') FROM bf_dumps
+        UNION ALL SELECT 'Automation', 'mail failed', 'mail ' || CAST(mailitem_id AS VARCHAR), 'reason: ' || description FROM bf_mail_events WHERE event_type = 'error' AND log_date >= TIMESTAMP '{EVENTS_AS_OF}' - INTERVAL 3600 MINUTE
+        UNION ALL SELECT 'Performance', 'error log too large', log_kind || ' has ' || CAST({R('size_bytes', '1048576', 2)} AS VARCHAR) || ' MB.', 'start a new log from time to time' FROM l WHERE rn = 1 AND {R('size_bytes', '1048576', 2)} > 100),
+    keyed AS (
+        SELECT instance_id, 'Performance' AS category, 'contradicting settings' AS sub_category, 'affinity mask' AS object_name, 'some processors are assigned to queries and to I/O at once' AS details FROM w WHERE a & i <> 0
+        UNION ALL SELECT instance_id, 'Performance', 'contradicting settings', 'blocked process threshold (s)', 'a blocking report every 1 to 4 seconds is too frequent; use 0 or at least 5' FROM w WHERE b BETWEEN 1 AND 4
+        UNION ALL SELECT instance_id, 'Performance', 'contradicting settings', 'index create memory (KB)', 'building an index may take less memory than any query gets' FROM w WHERE x > 0 AND x < q
+        UNION ALL SELECT instance_id, 'Performance', 'contradicting settings', 'max worker threads', 'more than 2048 workers on 64 bits' FROM w WHERE t > 2048
+        UNION ALL SELECT instance_id, CASE WHEN sec THEN 'Security' ELSE 'General' END, CASE WHEN sec THEN 'exposed instance setting' ELSE 'unusual instance setting' END, c.name,
+            m || ' (current value: ' || CAST(value AS VARCHAR) || ', recommended value: ' || CAST(v AS VARCHAR) || ')' FROM bf_instance_settings c JOIN (VALUES {_SETTINGS}) r(name, v, m, sec) ON c.name = r.name WHERE value <> v
+        UNION ALL SELECT instance_id, 'Security', 'exposed instance setting', 'TCPIP Port', 'listens on the well-known port' FROM bf_facts WHERE tcp_port = '1433'
+        UNION ALL SELECT instance_id, 'Security', 'exposed instance setting', 'Failed Logins Auditing', 'rejected logins leave no trace' FROM bf_facts WHERE audit_level NOT IN (2, 3)
+        UNION ALL SELECT instance_id, 'Security', 'exposed instance setting', 'SA login', 'the built-in administrator can log in under its known name' FROM bf_server_principals WHERE sid = '0x01' AND name = 'sa' AND NOT is_disabled
+        UNION ALL SELECT instance_id, 'Automation', 'Agent Service', 'no agent', 'nothing scheduled runs and no alert is raised until it is started' FROM bf_facts WHERE NOT agent_running AND edition NOT LIKE 'Express%'
+        UNION ALL SELECT instance_id, 'General', 'registered under another name', server_name, 'the machine''s name: ' || actual_server_name FROM bf_facts WHERE server_name <> actual_server_name)
+    SELECT CAST(NULL AS BIGINT) AS instance_id, * FROM unkeyed UNION ALL SELECT CAST(instance_id AS BIGINT), category, sub_category, object_name, details FROM keyed""")
+def _(t):
+    found = h.compile_rules({
+        "databases": h.database_source(t.db_settings, t.logins, t.backupset, AS_OF), "files": h.file_source(t.space_files), "settings": h.settings_source(t.instance_settings),
+        "facts": t.facts, "principals": t.server_principals, "stores": h.store_source(t.store_options, t.secondary_databases), "suspect_pages": h.page_source(t.suspect_pages),
+        "foreign_keys": t.foreign_keys, "checks": t.checks, "dumps": t.dumps, "mail": h.mail_source(t.mail_events, EVENTS_AS_OF, 3600), "logs": h.log_source(t.log_archives)})
+    return found.withColumn("instance_id", found["instance_id"].cast("bigint"))
+
+
 @query("r2_config_drift", """
     SELECT instance_id, c.name, value, recommended_value, 'differs from the recommendation (current value: ' || CAST(value AS VARCHAR) || ', recommended value: ' || CAST(recommended_value AS VARCHAR) || ')' AS details
     FROM bf_config c JOIN (SELECT name, CAST(recommended_value AS INTEGER) AS recommended_value FROM bf_recommended) r ON c.name = r.name WHERE value <> recommended_value""")
@@ -124,18 +184,18 @@ def _(t):
 
 @query("r6_scoped_config_off", """
     WITH o AS (SELECT * FROM bf_scoped WHERE name LIKE 'ELEVATE%' AND value = 'OFF'), n AS (SELECT instance_id, COUNT(*) AS n, COUNT(DISTINCT database_name) AS d FROM o GROUP BY 1)
-    SELECT o.instance_id, 'database: [' || database_name || '], the database scoped configuration is disabled: ' || name AS message, CAST(1 AS BIGINT) AS row_count FROM o JOIN n ON o.instance_id = n.instance_id WHERE n <= 10
-    UNION ALL SELECT o.instance_id, 'database: [' || database_name || '], has ' || CAST(COUNT(*) AS VARCHAR) || ' disabled database scoped configuration(s)', COUNT(*) FROM o JOIN n ON o.instance_id = n.instance_id
+    SELECT o.instance_id, 'database: [' || database_name || ']: switched off for this database: ' || name AS message, CAST(1 AS BIGINT) AS row_count FROM o JOIN n ON o.instance_id = n.instance_id WHERE n <= 10
+    UNION ALL SELECT o.instance_id, 'database: [' || database_name || '], has ' || CAST(COUNT(*) AS VARCHAR) || ' such settings switched off', COUNT(*) FROM o JOIN n ON o.instance_id = n.instance_id
         WHERE n > 10 AND d <= 10 GROUP BY o.instance_id, database_name
-    UNION ALL SELECT instance_id, 'there are ' || CAST(d AS VARCHAR) || ' databases with disabled database scoped configurations', n FROM n WHERE n > 10 AND d > 10""")
+    UNION ALL SELECT instance_id, 'there are ' || CAST(d AS VARCHAR) || ' databases that have such settings switched off', n FROM n WHERE n > 10 AND d > 10""")
 def _(t):
     return r.scoped_config_off(t.scoped)
 
 
 @query("r7_integrity_check_age", f"""
     WITH n AS (SELECT *, FIRST_VALUE(CASE WHEN field = 'DatabaseName' THEN value END IGNORE NULLS) OVER (ORDER BY row_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS database_name FROM bf_dbinfo)
-    SELECT row_id, database_name, 'Last known good DBCC CHECKDB: ' || value AS details FROM n WHERE field = 'dbi_dbccLastKnownGood' AND TRY_CAST(value AS TIMESTAMP) < TIMESTAMP '{EVENTS_AS_OF}' - INTERVAL 7 DAY
-    UNION ALL SELECT row_id, database_name, 'Please run DBCC CHECKDB on this database' FROM n WHERE field = 'dbi_DBCCFlags' AND value = '0' AND database_name IS NOT NULL""")
+    SELECT row_id, database_name, 'last integrity check without errors: ' || value AS details FROM n WHERE field = 'dbi_dbccLastKnownGood' AND TRY_CAST(value AS TIMESTAMP) < TIMESTAMP '{EVENTS_AS_OF}' - INTERVAL 7 DAY
+    UNION ALL SELECT row_id, database_name, 'column values were never checked; run a full integrity check' FROM n WHERE field = 'dbi_DBCCFlags' AND value = '0' AND database_name IS NOT NULL""")
 def _(t):
     return r.integrity_check_age(t.dbinfo, EVENTS_AS_OF, rows_per_range=500)
 

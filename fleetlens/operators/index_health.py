@@ -222,7 +222,7 @@ def design_findings(columns: DataFrame, parameters: DataFrame, triggers: DataFra
 
     padded = ("char", "nchar", "varchar", "nvarchar", "text", "ntext", "binary", "varbinary", "image")
     parts = [
-        found(columns.where(~F.col("is_ansi_padded") & F.col("type_name").isin(*padded)), "Column with ANSI_PADDING OFF"),
+        found(columns.where(~F.col("is_ansi_padded") & F.col("type_name").isin(*padded)), "trailing blanks of the column are not kept"),
         _type_findings(columns, "Column", keys), _type_findings(parameters, "Parameter", keys), found(triggers, "Trigger on user table"),
         found(constraints.where("is_disabled"), "Disabled constraint"), found(indexes.where("is_disabled"), "Disabled index"),
         found(views.join(indexes.select(*keys, "object_id"), [*keys, "object_id"], "left_semi"), "Indexed view"),
