@@ -1,19 +1,21 @@
 """Repeated passages by banded MinHash of paragraphs.
 
-A passage that repeats across documents seldom begins where a line begins, so a paragraph here is a run of 27 words
-that starts where the text itself says: at the word whose five-word window has the smallest hash among 25 windows in a
-row. Equal passages so give equal paragraphs wherever they stand, and one of at least 51 words contains a whole one
-for certain (among its first 25 windows is such a smallest one, and 27 words follow it). Line breaks do not matter.
-A changed word in the middle of such a run takes five of its 23 shingles, so near copies are also looked for among the
-paragraphs as they are written: every line of at least 27 words, whatever its length, is a paragraph too. The two
-kinds meet only their own.
-
-Each paragraph has a banded MinHash signature over its five-word shingles. Paragraphs that share a band key with another
-document are candidates. Equal ones (by a 64-bit digest of the words, carried along) are one class from there on. In
-a bucket each class meets the smallest class alone; where a bucket still holds two components afterwards, an exact
-prefix join finds the rest, so a bucket of any size never gives all its pairs. Pairs are confirmed by the exact Jaccard
-similarity of their shingle sets, for which the texts in question are read again. Components of the confirmed links are
-the clusters; the first paragraph of each, by document and position, is kept, and the others are removals.
+Paragraphs are what a text shows as such: its lines, and where blank lines part them, the blocks of lines between, of at
+least 27 words. Each distinct one has a banded MinHash signature over its five-word shingles; those that share a band key
+are candidates. In a bucket each meets the first one alone; where a bucket still holds two components afterwards, an
+exact prefix join finds the rest, so a bucket of any size never gives all its pairs. Pairs are confirmed by the exact
+Jaccard similarity of their shingle sets, for which the texts in question are read again. Components of the confirmed
+links are the clusters; the first paragraph of each, by document and position, is kept, and the others are removals.
+
+A passage that repeats across documents seldom begins where a line begins. So runs of 27 words are paragraphs too, which
+start where the text itself says: at the word whose five-word window has the smallest hash among 25 windows in a row.
+Equal passages give equal runs wherever they stand, whatever their line breaks, and one of at least 51 words contains a
+whole run for certain (among its first 25 windows is such a smallest one, and 27 words follow it). Runs are compared by
+equality alone, by a 64-bit digest of the words: a changed word in the middle takes five of a run's 23 shingles, so near
+copies of runs are below the similarity anyway, and what lies between changes is found by the runs that are whole.
+
+Paragraphs are cut and hashed in one pass and written; equal ones are one class from there on, so only distinct written
+paragraphs have bands, and copies, however many, cost one aggregate.
 
 A passage begins before its first run and ends behind its last one, by at most 24 words (else there were one more run).
 So runs at the edge of what repeats are extended word by word, as far as an earlier document with a paragraph of the
@@ -21,10 +23,8 @@ same cluster has the same words there (for a kept paragraph, a later one): prefi
 and meet by equality, so no text is compared with another. What overlaps in a document is one passage then, removals
 and kept ones for themselves.
 
-Tuning: lines have 16 bands of four values, runs six bands of two. Equal paragraphs always meet; those of similarity
-0.75 share a bucket with a probability of 0.997 and 0.993, of 0.9 with more than 0.9999. Runs are many and short, and
-take few bands of few values for that; what shares a bucket by chance is thrown out by the exact similarity. A near copy
-that is neither a line nor has 27 words in a row like its original's, give or take three at an end, is not found.
+Tuning: 16 bands of four values. Equal paragraphs always meet; those of similarity 0.75 share a bucket with a probability
+of 0.997, of 0.9 with more than 0.9999. What shares a bucket by chance is thrown out by the exact similarity.
 
 Defined results: null, empty and shorter texts have no paragraph. Only paragraphs that another document shares are
 returned, so a document of its own is absent; rows with one id are one document, and repeats inside a document are not
@@ -49,11 +49,10 @@ WORDS = 27
 WINDOW = 25
 #: So many words of a passage lie outside its runs at most, on either side.
 REACH = WINDOW - 1
-#: For runs and for lines.
-BANDS, ROWS = 6, 2
-LINE_BANDS, LINE_ROWS = 16, 4
+#: For paragraphs as written.
+BANDS, ROWS = 16, 4
 PARAGRAPHS = "id bigint, start int, words int, line boolean, digest bigint, keys array<bigint>"
-#: Keeps lines apart from runs, in digests and in buckets.
+#: Keeps written paragraphs apart from runs.
 LINE = np.uint64(0x94D049BB133111EB)
 BESIDE = "id bigint, start int, component bigint, after boolean, keys array<bigint>"
 #: Words that are hashed together.
@@ -75,10 +74,21 @@ def starts_of(h: np.ndarray) -> np.ndarray:
     return found if len(found) else np.array([last])
 
 
-def lines_of(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The first words and the lengths of the lines of a text that are long enough for a paragraph."""
+def written_of(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The first words and the lengths of the paragraphs of a text as written: lines, and blocks of several lines
+    where blank lines part the text."""
     counts = np.array([len(x.split()) for x in text.encode().split(b"\n")], np.int64)
     starts = np.cumsum(counts) - counts
+    full = np.flatnonzero(counts)
+    # a block ends where a line without words follows; blank lines at the ends of a text part nothing
+    breaks = np.flatnonzero(np.diff(full) > 1) + 1
+    if len(breaks):
+        first = np.concatenate([[0], breaks])
+        last = np.concatenate([breaks, [len(full)]]) - 1
+        several = last > first
+        block_starts = starts[full[first[several]]]
+        block_counts = starts[full[last[several]]] + counts[full[last[several]]] - block_starts
+        starts, counts = np.concatenate([starts, block_starts]), np.concatenate([counts, block_counts])
     return starts[counts >= WORDS], counts[counts >= WORDS]
 
 
@@ -89,22 +99,23 @@ def _spans(h: np.ndarray, starts: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """The paragraphs of every row of (id, text), runs and lines: place, length, digest and band keys."""
+    """The paragraphs of every row of (id, text): place, length, digest, and for those as written (`line`) the band keys."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (MinMax(BANDS, ROWS), MinMax(LINE_BANDS, LINE_ROWS))
+        sketch = MinMax(BANDS, ROWS)
 
         def out(line, ids, starts, words, shingles):
             words, flat = np.concatenate(words), np.concatenate(shingles)
             counts = words - WIDTH + 1
             begin = np.cumsum(counts) - counts
             digest = np.add.reduceat(mixed(flat + _place(counts)), begin)
-            keys = kinds[line].keys(flat, begin)
             if line:
-                digest, keys = digest ^ LINE, keys ^ LINE
+                digest, keys = digest ^ LINE, lists(sketch.keys(flat, begin).ravel(), np.full(len(ids), BANDS))
+            else:
+                keys = pa.nulls(len(ids), pa.list_(pa.int64()))
             return pa.RecordBatch.from_arrays([
                 pa.array(ids, pa.int64()), pa.array(np.concatenate(starts), pa.int32()), pa.array(words, pa.int32()), pa.array([bool(line)] * len(ids)),
-                pa.array(digest.view(np.int64)), lists(keys.ravel(), np.full(len(ids), keys.shape[1]))], names=["id", "start", "words", "line", "digest", "keys"])
+                pa.array(digest.view(np.int64)), keys], names=["id", "start", "words", "line", "digest", "keys"])
 
         for batch in batches:
             held = [([], [], [], []), ([], [], [], [])]
@@ -115,7 +126,7 @@ def paragraphs(docs: DataFrame) -> DataFrame:
                 if i is None or len(h) < WORDS:
                     continue
                 first = starts_of(h)
-                for line, (starts, words) in enumerate(((first, np.full(len(first), WORDS)), lines_of(text))):
+                for line, (starts, words) in enumerate(((first, np.full(len(first), WORDS)), written_of(text))):
                     if not len(starts):
                         continue
                     ids, *rest = held[line]
@@ -224,18 +235,20 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     remove where the paragraph is not kept; all paragraphs of a passage name the same one.
     """
     texts = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
-    keyed = paragraphs(texts).select("id", "start", "words", "line", "digest", F.explode("keys").alias("bucket"))
-    shared = keyed.groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("bucket")
-    met = settled(keyed.join(shared, "bucket"), "passages")
-
-    held = met.groupBy("bucket", "digest").agg(F.lit(1).alias("one")).select("bucket", F.col("digest").alias("id"))
-    several = held.groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("bucket", "first")
-    held = settled(held.join(several, "bucket"), "passage-classes")
+    cut = settled(paragraphs(texts), "passage-paragraphs")
+    every = cut.select("id", "start", "words", "line", "digest")
+    classes = every.groupBy("digest").agg(F.min(F.struct("id", "start", "words")).alias("at"), F.max("id").alias("last"))
+    classes = settled(classes, "passage-classes")
+
+    keyed = cut.where("line").groupBy("digest").agg(F.first("keys").alias("keys")).select(F.col("digest").alias("id"), F.explode("keys").alias("bucket"))
+    # one pass over a bucket in order says which class is its first and whether there is another one
+    bucket = Window.partitionBy("bucket").orderBy("id")
+    held = keyed.withColumns({"first": F.first("id").over(bucket), "after": F.lead("id").over(bucket)})
+    held = settled(held.where("id <> first OR after <> id").select("bucket", "id", "first"), "passage-buckets")
     pairs = held.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
 
     # one place of each class whose words are needed
-    needed = met.groupBy("digest").agg(F.min(F.struct("id", "start", "words")).alias("at"))
-    needed = needed.join(held.select(F.col("id").alias("digest")).distinct(), "digest", "left_semi")
+    needed = classes.join(held.select(F.col("id").alias("digest")).distinct(), "digest", "left_semi")
     places = needed.groupBy(F.col("at.id").alias("id")).agg(F.collect_list(F.struct(F.col("at.start").alias("start"), F.col("at.words").alias("words"), "digest")).alias("places"))
     sets = sets_at(texts.join(places, "id").select("id", "text", "places")).dropDuplicates(["id"])
     sets = settled(sets, "passage-sets")
@@ -244,8 +257,9 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     links = settled(links.unionAll(confirmed(prefix_pairs(sets.join(members, "id"), percent), sets, percent)), "passage-links")
 
     place = components(links, label="passages")
-    rows = met.select("id", "start", "words", "line", "digest").distinct().join(place, F.col("digest") == F.col("node"), "left")
-    rows = rows.select("id", "start", "words", "line", F.coalesce("component", "digest").alias("component"))
+    clustered = classes.join(place, F.col("digest") == F.col("node"), "left").where("component IS NOT NULL OR at.id < last")
+    rows = every.join(clustered.select("digest", F.coalesce("component", "digest").alias("component")), "digest")
+    rows = rows.select("id", "start", "words", "line", "component").distinct()
     first = rows.groupBy("component").agg(F.min(F.struct("id", "start", "words")).alias("first"), F.max("id").alias("last")).where("first.id < last")
     # what begins inside the kept paragraph, in its own document, is part of it and no removal
     own = (F.col("id") == F.col("first.id")) & (F.col("start") < F.col("first.start") + F.col("first.words"))
