@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.columns import as_time, fleet_keys
-from fleetlens.functions.plan_xml import implicit_conversion_nodes, scan_predicate_nodes
 from fleetlens.plans.ordering import first_per, top_n
+from fleetlens.plans.trees import attribute, below, nodes
 
 # ---- plans -----------------------------------------------------------------------
 
@@ -31,25 +31,86 @@ def parallel_plans_below_cost(cached_plans: DataFrame, plans: DataFrame, min_use
     return first_per(rows, [*keys, "statement_text"], ["-usecounts", "plan_handle"])
 
 
-def implicit_conversions(plans: DataFrame, columns: DataFrame) -> DataFrame:
+_BARE = r"^\[|\]$"
+#: Schemas whose columns the searches leave out.
+_NO_USER_SCHEMA = "[sys]"
+
+
+def _statement_nodes(docs: DataFrame, keys: list[str], names: tuple[str, ...]) -> tuple[DataFrame, list[str], DataFrame]:
+    """All nodes of the names, the columns that tell a document, and its statements with their text."""
+    found = nodes(docs, [*keys, "plan_handle"], "query_plan", ("StmtSimple", *names))
+    one = [*keys, "plan_handle", "_text"]
+    statements = found.where("name = 'StmtSimple'").select(*one, "_copies", "entry", "leave", "level", attribute("tag", "StatementText").alias("text"))
+    return found, one, statements
+
+
+def _column(tag: str) -> list[Column]:
+    return [attribute(tag, "Schema").alias("schema_name"), attribute(tag, "Table").alias("table_name"), attribute(tag, "Column").alias("column_name"), attribute(tag, "Database").alias("database_name")]
+
+
+def _user_column(schema: str = "schema_name") -> Column:
+    return F.col(schema).isNotNull() & (F.col(schema) != _NO_USER_SCHEMA)
+
+
+def implicit_conversions(plans: DataFrame, columns: DataFrame, database: str | None = None) -> DataFrame:
     """Every implicit conversion of a column, with its declared type and the type it is converted to.
 
-    `columns`: schema_name, table_name, column_name, data_type, max_length.
+    `columns`: schema_name, table_name, column_name, data_type, max_length. With `database`, only columns of that database.
+    A conversion is of the first column that stands by itself under it; a statement within a statement counts for both.
     """
     keys = fleet_keys(plans, columns)
-    docs = plans.where(F.contains("query_plan", F.lit('Implicit="1"')) | F.contains("query_plan", F.lit('Implicit="true"')))
-    rows = docs.select(*keys, "plan_handle", F.explode(implicit_conversion_nodes("query_plan")).alias("n"))
-    rows = rows.select(*keys, "plan_handle", "n.statement", *[F.regexp_replace(f"n.{x}", r"^\[|\]$", "").alias(x) for x in ("schema_name", "table_name", "column_name")],
-                       F.col("n.detail").alias("convert_to"), F.col("n.length").alias("convert_to_length"))
+    docs = plans.where(F.contains("query_plan", F.lit('Implicit="1"')) | F.contains("query_plan", F.lit('Implicit="true"'))).select(*keys, "plan_handle", "query_plan")
+    found, one, statements = _statement_nodes(docs, keys, ("Convert", "ScalarOperator", "Identifier", "ColumnReference"))
+    place = [*one, "entry", "leave", "level"]
+    converts = found.where("name = 'Convert'").where(attribute("tag", "Implicit").isin("1", "true")).select(
+        *place, attribute("tag", "DataType").alias("type"), attribute("tag", "Length").try_cast("int").alias("length"))
+    # Convert, ScalarOperator, Identifier, ColumnReference: each the parent of the next
+    operators = below(converts, found.where("name = 'ScalarOperator'").select(*place), one, "c", "s", levels=1)
+    operators = operators.select(*one, "c_entry", "c_type", "c_length", *[F.col(f"s_{x}").alias(x) for x in ("entry", "leave", "level")])
+    names_ = below(operators, found.where("name = 'Identifier'").select(*place), one, "o", "i", levels=1)
+    names_ = names_.select(*one, "o_c_entry", "o_c_type", "o_c_length", *[F.col(f"i_{x}").alias(x) for x in ("entry", "leave", "level")])
+    direct = below(names_, found.where("name = 'ColumnReference'").select(*place, "tag"), one, "n", "r", levels=1)
+    first = direct.groupBy(*one, F.col("n_o_c_entry").alias("entry")).agg(F.min_by(F.struct("r_tag", F.col("n_o_c_type").alias("type"), F.col("n_o_c_length").alias("length")), "r_entry").alias("f"))
+    first = first.select(*one, "entry", "f.type", "f.length", *_column("f.r_tag")).where(_user_column())
+    if database is not None:
+        first = first.where(F.col("database_name") == f"[{database}]")
+    in_statement = below(statements, first, one, "s", "c")
+    rows = in_statement.select(*keys, "plan_handle", F.explode(F.sequence(F.lit(1), F.col("s__copies"))).alias("_copy"), F.col("s_text").alias("statement"),
+                               *[F.regexp_replace(f"c_{x}", _BARE, "").alias(x) for x in ("schema_name", "table_name", "column_name")],
+                               F.col("c_type").alias("convert_to"), F.col("c_length").alias("convert_to_length")).drop("_copy")
     declared = columns.select(*keys, "schema_name", "table_name", "column_name", F.col("data_type").alias("convert_from"), F.col("max_length").alias("convert_from_length"))
     return rows.join(declared, [*keys, "schema_name", "table_name", "column_name"])
 
 
-def non_sargable_scans(plans: DataFrame) -> DataFrame:
-    """Table and index scans whose predicate wraps a column in an expression."""
-    docs = plans.where((F.contains("query_plan", F.lit("<TableScan")) | F.contains("query_plan", F.lit("<IndexScan"))) & F.contains("query_plan", F.lit("ScalarString")))
-    rows = docs.select(*fleet_keys(plans), "plan_handle", F.explode(scan_predicate_nodes("query_plan")).alias("n"))
-    return rows.select(*fleet_keys(plans), "plan_handle", "n.statement", "n.schema_name", "n.table_name", "n.column_name", "n.scan_type", F.col("n.detail").alias("scalar_string"))
+def non_sargable_scans(plans: DataFrame, database: str | None = None) -> DataFrame:
+    """Table and index scans whose predicate wraps a column in an expression; with `database`, columns of that database.
+
+    An expression anywhere below an operator that scans is named by its first column, if one of its columns is a user's.
+    """
+    keys = fleet_keys(plans)
+    docs = plans.where((F.contains("query_plan", F.lit("<TableScan")) | F.contains("query_plan", F.lit("<IndexScan"))) & F.contains("query_plan", F.lit("ScalarString"))).select(*keys, "plan_handle", "query_plan")
+    found, one, statements = _statement_nodes(docs, keys, ("RelOp", "TableScan", "IndexScan", "ScalarOperator", "Identifier", "ColumnReference"))
+    place = [*one, "entry", "leave", "level"]
+    operators, scans = found.where("name = 'RelOp'").select(*place), found.where("name IN ('TableScan', 'IndexScan')").select(*place, "name")
+    inside = below(operators, scans, one, "r", "s")
+    scanning = inside.groupBy(*one, F.col("r_entry").alias("entry"), F.col("r_leave").alias("leave"), F.col("r_level").alias("level")).agg(
+        F.max(F.col("s_level") == F.col("r_level") + 1).alias("direct"), F.max("s_name").alias("kind")).where("direct")
+    texts = found.where("name = 'ScalarOperator'").select(*place, attribute("tag", "ScalarString").alias("text")).where("text <> ''")
+    identifiers = found.where("name = 'Identifier'").select(*place)
+    references = below(identifiers, found.where("name = 'ColumnReference'").select(*place, "tag"), one, "i", "c", levels=1)
+    references = references.select(*one, F.col("i_entry").alias("entry"), F.col("i_level").alias("level"), F.col("c_entry").alias("at"), F.struct(*_column("c_tag")).alias("column"))
+    # an operator's columns come by their identifiers, which lie below it
+    owned = below(texts, references, one, "t", "r")
+    users = _user_column("r_column.schema_name") & F.col("r_column.database_name").isNotNull()
+    if database is not None:
+        users = users & (F.col("r_column.database_name") == f"[{database}]")
+    wrapped = owned.groupBy(*one, F.col("t_entry").alias("entry"), F.col("t_leave").alias("leave"), F.col("t_level").alias("level"), F.col("t_text").alias("text")).agg(
+        F.max(users).alias("of_user"), F.min_by("r_column", F.struct("r_entry", "r_at")).alias("column")).where("of_user").drop("of_user")
+    scanned = below(scanning, wrapped, one, "r", "x").select(*one, F.col("r_entry").alias("entry"), F.col("r_level").alias("level"), "r_kind", "x_text", "x_column")
+    out = below(statements, scanned, one, "s", "x")
+    return out.select(*keys, "plan_handle", F.explode(F.sequence(F.lit(1), F.col("s__copies"))).alias("_copy"), F.col("s_text").alias("statement"),
+                      *[F.col(f"x_x_column.{x}").alias(x) for x in ("schema_name", "table_name", "column_name")],
+                      F.col("x_r_kind").alias("scan_type"), F.col("x_x_text").alias("scalar_string")).drop("_copy")
 
 
 def table_variable_plans(cached_plans: DataFrame, plans: DataFrame, texts: DataFrame, objects_with_table_params: DataFrame, unreadable_databases: DataFrame) -> DataFrame:

@@ -1,25 +1,7 @@
-"""Shredding of plan documents.
+"""The searches in plan documents as a plain walk, to compare with."""
 
-Plans are trees of any depth, which no fixed schema covers, and the rows wanted
-relate inner nodes to their statement. One small vectorised helper walks each
-document once; everything around it is built-in expressions.
-"""
-
-from __future__ import annotations
-
-import sys
 from xml.etree import ElementTree
 
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-# executors need no copy of this package: the helper travels with the task
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-NODES = "array<struct<statement: string, schema_name: string, table_name: string, column_name: string, detail: string, length: int, scan_type: string>>"
-
 
 def _tag(node) -> str:
     return node.tag.rsplit("}", 1)[-1]
@@ -45,7 +27,7 @@ def _row(statement, column, **more):
     return row | more
 
 
-def _conversions(document):
+def conversions(document):
     out = []
     for statement in _statements(document):
         for node in statement.iter():
@@ -58,7 +40,7 @@ def _conversions(document):
     return out
 
 
-def _scans(document):
+def scans(document):
     out = []
     for statement in _statements(document):
         for node in statement.iter():
@@ -71,20 +53,3 @@ def _scans(document):
                     if any(x.get("Schema") not in (None, "[sys]") and x.get("Database") for x in found):
                         out.append(_row(statement, found[0], detail=op.get("ScalarString"), scan_type=kind))
     return out
-
-
-def _each(walk):
-    def series(plans: pd.Series) -> pd.Series:
-        return plans.map(walk)
-
-    return F.pandas_udf(series, NODES)
-
-
-def implicit_conversion_nodes(plan: Column | str) -> Column:
-    """The implicit conversions of a plan, as an array of rows."""
-    return _each(_conversions)(plan)
-
-
-def scan_predicate_nodes(plan: Column | str) -> Column:
-    """The wrapped columns of the scans of a plan, as an array of rows."""
-    return _each(_scans)(plan)
