@@ -1,7 +1,7 @@
 """Session, blocking and lock queries over the given tables."""
 
 from fleetlens.catalog.registry import FRAMES, query, rounded
-from fleetlens.operators import requests, sessions as s
+from fleetlens.operators import activity as a, requests, sessions as s
 
 R = rounded
 AS_OF = "2001-12-01 00:00:00"
@@ -31,6 +31,9 @@ FRAMES.update(
     bf_program_sessions="""SELECT c_custkey AS session_id, c_mktsegment AS program_name, c_custkey % 4 AS open_tran_count, 'running' AS status FROM customer WHERE c_acctbal > 0""",
     bf_deadlock_counters="""SELECT 'Number of Deadlocks/sec   ' AS counter_name, '_Total' AS instance_name, COUNT(*) AS cntr_value FROM events WHERE event_type = 'error'""",
     bf_start_times="""SELECT 'tempdb' AS name, MIN(o_orderdate) AS create_date FROM orders""",
+    bf_memory_grants="""
+        SELECT user_id AS session_id, event_id AS request_id, CAST(ROUND(value * 100) AS BIGINT) * 3 AS requested_memory_kb, CAST(ROUND(value * 100) AS BIGINT) * 2 AS granted_memory_kb, CAST(ROUND(value * 100) AS BIGINT) AS used_memory_kb,
+            CAST(ROUND(value * 100) AS BIGINT) + event_id % 90 AS max_used_memory_kb, event_id % 700 AS wait_time_ms FROM events""",
     bf_trace_events="""
         SELECT o_orderkey AS trace_id, o_custkey AS object_id, o_orderkey % 3 AS database_id, 45 + o_orderkey % 2 AS event_class, o_custkey % 2 AS event_subclass, o_orderpriority AS login_name
         FROM orders""",
@@ -205,3 +208,80 @@ def _(t):
     FROM bf_sessions s LEFT JOIN p ON p.session_id = s.session_id LEFT JOIN bf_five_databases d ON s.database_id = d.database_id WHERE status <> 'sleeping' OR open_tran_count > 0""")
 def _(t):
     return s.activity_recipe("tempdb", t.sessions, s.tempdb_by_session(t.space_usage, t.sessions, t.five_databases))
+
+
+_ISOLATION = "CASE transaction_isolation_level WHEN 0 THEN 'Unspecified' WHEN 1 THEN 'READ UNCOMMITTED' WHEN 2 THEN 'READ COMMITTED' WHEN 3 THEN 'REPEATABLE READ' WHEN 4 THEN 'SERIALIZABLE' WHEN 5 THEN 'SNAPSHOT' END"
+
+
+def _clock(ms):
+    two = lambda x: f"CASE WHEN {x} < 100 THEN LPAD(CAST({x} AS VARCHAR), 2, '0') ELSE CAST({x} AS VARCHAR) END"
+    return (f"{two(f'({ms} // 86400000)')} || ' ' || LPAD(CAST({ms} // 3600000 % 24 AS VARCHAR), 2, '0') || ':' || LPAD(CAST({ms} // 60000 % 60 AS VARCHAR), 2, '0') || ':' || "
+            f"LPAD(CAST({ms} // 1000 % 60 AS VARCHAR), 2, '0') || '.' || LPAD(CAST({ms} % 1000 AS VARCHAR), 3, '0')")
+
+
+def _activity(columns, tran=False, rows=""):
+    """The SQL of activity rows: the parts of every detail, of which `columns` chooses."""
+    shown = f"COALESCE(total_elapsed_time, CAST(FLOOR((EPOCH_US(TIMESTAMP '{AS_OF}') - EPOCH_US(tran_start_time)) / 1000) AS BIGINT))" if tran else "total_elapsed_time"
+    return f"""
+    WITH RECURSIVE w AS (SELECT session_id, wait_type, '(' || CAST(COUNT(*) AS VARCHAR) || 'x: ' || CASE COUNT(*) WHEN 1 THEN CAST(MIN(wait_duration_ms) AS VARCHAR) WHEN 2 THEN CAST(MIN(wait_duration_ms) AS VARCHAR) || '/' || CAST(MAX(wait_duration_ms) AS VARCHAR)
+            ELSE CAST(MIN(wait_duration_ms) AS VARCHAR) || '/' || CAST(SUM(wait_duration_ms) // COUNT(*) AS VARCHAR) || '/' || CAST(MAX(wait_duration_ms) AS VARCHAR) END || 'ms)' || wait_type AS info FROM bf_waiting_tasks GROUP BY 1, 2),
+    waits AS (SELECT session_id, STRING_AGG(info, ', ' ORDER BY info) AS wait_info FROM w GROUP BY 1),
+    tl AS (SELECT session_id, t.database_id, r.name, COUNT(*) AS n, SUM(log_bytes_used) AS b, MIN(begin_time) AS st FROM bf_transactions t LEFT JOIN bf_five_databases r ON t.database_id = r.database_id GROUP BY ALL),
+    trans AS (SELECT session_id, MIN(st) AS tran_start_time, STRING_AGG(COALESCE(name, '(null)') || ': ' || CAST(n AS VARCHAR) || ' (' || CAST(CAST(b // 1024 AS BIGINT) AS VARCHAR) || ' kB)', ', ' ORDER BY database_id) AS tran_log_writes, 'OFF' AS implicit_tran FROM tl GROUP BY 1),
+    temp AS (SELECT session_id, CAST(SUM(internal_objects_alloc_page_count + user_objects_alloc_page_count) AS BIGINT) AS tempdb_allocations,
+        CAST(SUM(internal_objects_alloc_page_count + user_objects_alloc_page_count - internal_objects_dealloc_page_count - user_objects_dealloc_page_count) AS BIGINT) AS tempdb_current FROM bf_space_usage GROUP BY 1),
+    mem AS (SELECT session_id, request_id, CAST(SUM(used_memory_kb) // 8 AS BIGINT) AS used_memory, CAST(SUM(max_used_memory_kb) // 8 AS BIGINT) AS max_used_memory, CAST(SUM(requested_memory_kb) // 8 AS BIGINT) AS requested_memory,
+        CAST(SUM(granted_memory_kb) // 8 AS BIGINT) AS granted_memory, MAX(wait_time_ms) AS grant_wait_ms FROM bf_memory_grants GROUP BY 1, 2),
+    dp AS (SELECT *, LAG(cpu) OVER v AS pc, LAG(reads) OVER v AS pr FROM bf_session_samples WINDOW v AS (PARTITION BY session_id, request_id, start_time ORDER BY collected_at, sample_id)),
+    deltas AS (SELECT session_id, CASE WHEN cpu >= pc THEN cpu - pc END AS cpu_delta, CASE WHEN reads >= pr THEN reads - pr END AS reads_delta FROM dp QUALIFY ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY collected_at DESC, sample_id) = 1),
+    b AS (SELECT session_id AS top, session_id FROM bf_sessions UNION ALL SELECT b.top, c.session_id FROM bf_sessions c JOIN b ON c.blocking_session_id = b.session_id),
+    led AS (SELECT top AS session_id, COUNT(*) - 1 AS blocked_session_count FROM b GROUP BY 1),
+    q AS (SELECT session_id AS sid, MIN(text) AS sql_text FROM bf_session_batches GROUP BY 1)
+    SELECT {_clock(shown)} AS dd_hh_mm_ss_mss, s.session_id, r.request_id, blocking_session_id, login_name, status, open_tran_count, command, start_time, cpu_time AS cpu, {_ISOLATION} AS isolation_level, d.name AS database_name, {columns}
+    FROM bf_sessions s LEFT JOIN bf_requests r ON r.session_id = s.session_id LEFT JOIN bf_five_databases d ON d.database_id = s.database_id LEFT JOIN waits ON waits.session_id = s.session_id LEFT JOIN trans ON trans.session_id = s.session_id
+        LEFT JOIN temp ON temp.session_id = s.session_id LEFT JOIN mem ON mem.session_id = s.session_id AND mem.request_id = r.request_id LEFT JOIN deltas ON deltas.session_id = s.session_id LEFT JOIN led ON led.session_id = s.session_id LEFT JOIN q ON q.sid = s.session_id
+    WHERE status <> 'sleeping' OR open_tran_count > 0"""
+
+
+_TRAN, _MEM, _TEMP = "tran_start_time, tran_log_writes, implicit_tran", "used_memory, max_used_memory, requested_memory, granted_memory, grant_wait_ms", "tempdb_allocations, tempdb_current"
+_ALL = f"sql_text, wait_info, {_TRAN}, {_TEMP}, {_MEM}, cpu_delta, reads_delta, blocked_session_count"
+
+
+def _details(t):
+    return {"texts": t.session_batches, "waiting_tasks": t.waiting_tasks, "transactions": t.transactions, "grants": t.memory_grants, "space_usage": t.space_usage,
+            "samples": t.session_samples, "sample_order": ("collected_at", "sample_id"), "blocking": True}
+
+
+@query("s1_activity_row", _activity(_ALL, tran=True))
+def _(t):
+    return a.activity_rows(t.sessions, t.requests, AS_OF, t.five_databases, **_details(t))
+
+
+@query("s20_activity_delta", _activity("sql_text, cpu_delta, reads_delta"))
+def _(t):
+    return a.activity_preset("delta", t.sessions, t.requests, AS_OF, t.five_databases, **_details(t))
+
+
+@query("s20_activity_transactions", _activity(f"sql_text, {_TRAN}", tran=True))
+def _(t):
+    return a.activity_preset("transactions", t.sessions, t.requests, AS_OF, t.five_databases, **_details(t))
+
+
+@query("s20_activity_memory", _activity(f"sql_text, {_MEM}"))
+def _(t):
+    return a.activity_preset("memory", t.sessions, t.requests, AS_OF, t.five_databases, **_details(t))
+
+
+@query("s20_activity_extended", _activity(f"sql_text, wait_info, {_TRAN}, {_TEMP}, {_MEM}, blocked_session_count", tran=True))
+def _(t):
+    return a.activity_preset("extended", t.sessions, t.requests, AS_OF, t.five_databases, **_details(t))
+
+
+@query("s20_activity_tempdb_current", _activity(f"sql_text, wait_info, {_TEMP}"))
+def _(t):
+    return a.activity_preset("tempdb", t.sessions, t.requests, AS_OF, t.five_databases, **_details(t))
+
+
+@query("s20_activity_blocking", _activity("sql_text, blocked_session_count"))
+def _(t):
+    return a.activity_preset("block_leaders", t.sessions, t.requests, AS_OF, t.five_databases, **_details(t))
