@@ -125,8 +125,57 @@ def top_n(df: DataFrame, scope: Sequence[str], keys: SortKey, n: int, rank: str
     return out.withColumn(rank, F.col("_rank").cast("bigint")).drop("_rank") if rank else out.drop("_rank")
 
 
+#: How far around the cut the bracket reaches, as a share of the rows, and the sketch's accuracy.
+BRACKET, ACCURACY = 0.01, 2000
+
+
 def top_percent(df: DataFrame, scope: Sequence[str], keys: SortKey, percent: int) -> DataFrame:
-    """The first `ceil(rows * percent / 100)` rows of every scope."""
+    """The first `ceil(rows * percent / 100)` rows of every scope, by selection instead of a ranking of all.
+
+    A sketch of the first sort key names a bracket around the cut, and one pass counts the rows before, in and behind
+    it. Only the part that the cut falls into, by these counts, is ranked; what lies before it is taken whole. That is the
+    bracket unless the sketch missed, and the result is exact in either case.
+    """
+    kinds = dict(df.dtypes)
+    name, down = keys[0].lstrip("-"), keys[0].startswith("-")
+    if kinds[name] == "timestamp_ntz":
+        value = micros(F.col(name)).cast("double")
+    elif kinds[name] == "timestamp":
+        value = F.unix_micros(name).cast("double")
+    elif kinds[name] in ("tinyint", "smallint", "int", "bigint", "float", "double") or kinds[name].startswith("decimal"):
+        value = F.col(name).cast("double")
+    else:
+        return _top_percent_ranked(df, scope, keys, percent)
+    scope = list(scope)
+    valued = df.withColumn("_v", value)
+    at = 1 - percent / 100 if down else percent / 100
+    ends = F.array(F.lit(max(at - BRACKET, 0.0)), F.lit(min(at + BRACKET, 1.0)))
+    sketch = F.percentile_approx("_v", ends, F.lit(ACCURACY)).alias("_ends")
+    low, high = F.get("_ends", F.lit(0)), F.get("_ends", F.lit(1))
+    # 0 before the bracket, 1 in it, 2 behind it; null sorts last downwards and first upwards
+    inside = (F.col("_v") >= low) & (F.col("_v") <= high)
+    if down:
+        part = F.when(F.col("_v").isNull(), 2).when(inside, 1).when(F.col("_v") > high, 0).otherwise(2)
+    else:
+        part = F.when(F.col("_v").isNull(), 0).when(inside, 1).when(F.col("_v") < low, 0).otherwise(2)
+    counts = [F.count(F.lit(1)).alias("_all"), F.count_if(F.col("_part") == 0).alias("_n0"), F.count_if(F.col("_part") == 1).alias("_n1")]
+    if scope:
+        parted = join_null_safe(valued, valued.groupBy(*scope).agg(sketch), scope, "left").withColumn("_part", part)
+        counted = join_null_safe(parted, parted.groupBy(*scope).agg(*counts), scope)
+    else:
+        parted = valued.withColumn("_ends", valued.agg(sketch).scalar()).withColumn("_part", part)
+        counted = parted.withColumn("_c", parted.agg(F.struct(*counts).alias("_c")).scalar()).select("*", "_c.*").drop("_c")
+    wanted = F.floor((F.col("_all") * percent + 99) / 100)
+    cut = F.when(F.col("_n0") >= wanted, 0).when(F.col("_n0") + F.col("_n1") >= wanted, 1).otherwise(2)
+    left = wanted - F.when(F.col("_cut") > 0, F.col("_n0")).otherwise(0) - F.when(F.col("_cut") > 1, F.col("_n1")).otherwise(0)
+    placed = counted.withColumn("_cut", cut).withColumn("_left", left)
+    whole = placed.where(F.col("_part") < F.col("_cut")).select(*df.columns)
+    ranked = add_rank(placed.where(F.col("_part") == F.col("_cut")).select(*df.columns, "_left"), scope, keys, "_rank")
+    return whole.unionByName(ranked.where(F.col("_rank") <= F.col("_left")).select(*df.columns))
+
+
+def _top_percent_ranked(df: DataFrame, scope: Sequence[str], keys: SortKey, percent: int) -> DataFrame:
+    """By a full ranking: for a first sort key that no sketch orders (a text)."""
     from fleetlens.plans.totals import with_totals
 
     ranked = add_rank(df, scope, keys, "_rank")
