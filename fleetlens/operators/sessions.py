@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.columns import as_time, coded, fleet_keys, int_div, pad, ratio
 from fleetlens.plans.forest import descendant_counts, paths_from_roots
+from fleetlens.plans.joins import join_null_safe
 from fleetlens.plans.ordering import order_columns, top_n
 from fleetlens.plans.sequences import counter_delta
 
@@ -67,11 +68,11 @@ def blocking_tree(sessions: DataFrame) -> DataFrame:
     paths = paths_from_roots(sessions, keys, "session_id", "blocking_session_id")
     # a root that blocks nobody is no tree
     heads = paths.where(F.size("path") > 1).select(*keys, F.col("path")[0].alias("_root")).distinct()
-    paths = paths.withColumn("_root", F.col("path")[0]).join(heads, [*keys, "_root"], "left_semi")
+    paths = join_null_safe(paths.withColumn("_root", F.col("path")[0]), heads, [*keys, "_root"], "left_semi")
     level = F.size("path") - 1
     text = F.concat(F.lit("    "), F.repeat(F.lit("|         "), level), F.when(level == 0, "HEAD -  ").otherwise("|------  "), F.col("node").cast("string"))
     if "text" in sessions.columns:
-        paths = paths.join(sessions.groupBy(*keys, F.col("session_id").alias("node")).agg(F.min("text").alias("text")), [*keys, "node"])
+        paths = join_null_safe(paths, sessions.groupBy(*keys, F.col("session_id").alias("node")).agg(F.min("text").alias("text")), [*keys, "node"])
         text = F.concat(text, F.lit(" "), F.coalesce("text", F.lit("")))
     return paths.select(*keys, F.col("node").alias("session_id"), level.alias("level"),
                         F.array_join(F.transform("path", lambda x: pad(x, 10)), "").alias("path"), text.alias("blocking_tree"))

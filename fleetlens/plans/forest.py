@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.plans.checkpoints import cut
+from fleetlens.plans.joins import join_null_safe
 
 
 def _links(df: DataFrame, keys: list[str], node: str, parent: str) -> DataFrame:
@@ -37,7 +38,7 @@ def paths_from_roots(df: DataFrame, keys: Sequence[str], node: str, parent: str)
         above = now.select(*keys, F.col("node").alias("up"), F.col("up").alias("up2"), F.col("path").alias("path2"))
         done = now.where(F.col("up").isNull())
         # an unknown parent has no row above: the inner join ends such a chain
-        moved = now.where(F.col("up").isNotNull()).join(above, [*keys, "up"]).select(*keys, "node", F.col("up2").alias("up"), F.concat("path2", "path").alias("path"))
+        moved = join_null_safe(now.where(F.col("up").isNotNull()), above, [*keys, "up"]).select(*keys, "node", F.col("up2").alias("up"), F.concat("path2", "path").alias("path"))
         now = cut(done.unionByName(moved))
 
 
@@ -47,9 +48,9 @@ def descendant_counts(df: DataFrame, keys: Sequence[str], node: str, parent: str
     keys = list(keys)
     links = _links(df, keys, node, parent)
     known = links.select(*keys, F.col("node").alias("up"))
-    rooted = links.where(F.col("up").isNotNull()).join(known, [*keys, "up"], "left_semi")
+    rooted = join_null_safe(links.where(F.col("up").isNotNull()), known, [*keys, "up"], "left_semi")
     free = links.where(F.col("up").isNull()).select(*keys, "node", "up").unionByName(
-        links.where(F.col("up").isNotNull()).join(known, [*keys, "up"], "left_anti").select(*keys, "node", F.lit(None).cast("bigint").alias("up")))
+        join_null_safe(links.where(F.col("up").isNotNull()), known, [*keys, "up"], "left_anti").select(*keys, "node", F.lit(None).cast("bigint").alias("up")))
     now = cut(rooted.select(*keys, "node", "up").unionByName(free).withColumn("below", F.lit(0).cast("bigint")))
     shape_before = None
     while True:
@@ -62,7 +63,7 @@ def descendant_counts(df: DataFrame, keys: Sequence[str], node: str, parent: str
         shape_before = shape
         handed = now.where(F.col("up").isNotNull()).groupBy(*keys, F.col("up").alias("node")).agg(F.sum(F.col("below") + 1).alias("more"))
         above = now.select(*keys, F.col("node").alias("up"), F.col("up").alias("up2"))
-        now = cut(now.join(above, [*keys, "up"], "left").join(handed, [*keys, "node"], "left").select(
+        now = cut(join_null_safe(join_null_safe(now, above, [*keys, "up"], "left"), handed, [*keys, "node"], "left").select(
             *keys, "node", F.col("up2").alias("up"), (F.col("below") + F.coalesce("more", F.lit(0))).alias("below")))
 
 
@@ -70,13 +71,14 @@ def _with_cycles(now: DataFrame, links: DataFrame, keys: list[str]) -> DataFrame
     # at this point the pointers of all unfinished rows end on cycle rows
     looped = now.where(F.col("up").isNotNull())
     ring = looped.select(*keys, F.col("up").alias("node")).distinct()
-    label = cut(ring.join(links, [*keys, "node"]).withColumn("label", F.col("node")))
+    label = cut(join_null_safe(ring, links, [*keys, "node"]).withColumn("label", F.col("node")))
     rounds, size = 0, label.count()
     while 2**rounds < size:
         above = label.select(*keys, F.col("node").alias("up"), F.col("up").alias("up2"), F.col("label").alias("label2"))
-        label = cut(label.join(above, [*keys, "up"]).select(*keys, "node", F.col("up2").alias("up"), F.least("label", "label2").alias("label")))
+        label = cut(join_null_safe(label, above, [*keys, "up"]).select(*keys, "node", F.col("up2").alias("up"), F.least("label", "label2").alias("label")))
         rounds += 1
     ring_label = label.select(*keys, "node", "label")
-    sizes = looped.groupBy(*keys, F.col("up").alias("node")).agg(F.count(F.lit(1)).alias("n")).join(ring_label, [*keys, "node"]).groupBy(*keys, "label").agg((F.sum("n") - 1).alias("ring_below"))
-    on_ring = ring_label.join(sizes, [*keys, "label"]).select(*keys, "node", "ring_below")
-    return now.join(on_ring, [*keys, "node"], "left").select(*keys, "node", F.coalesce("ring_below", "below").alias("descendants"))
+    sizes = looped.groupBy(*keys, F.col("up").alias("node")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = join_null_safe(sizes, ring_label, [*keys, "node"]).groupBy(*keys, "label").agg((F.sum("n") - 1).alias("ring_below"))
+    on_ring = join_null_safe(ring_label, sizes, [*keys, "label"]).select(*keys, "node", "ring_below")
+    return join_null_safe(now, on_ring, [*keys, "node"], "left").select(*keys, "node", F.coalesce("ring_below", "below").alias("descendants"))

@@ -176,3 +176,15 @@ def test_memory_tree_has_all_levels(spark):
 
     chain = spark.createDataFrame([(i, i - 1 if i else None, f"n{i}", 100 - i) for i in range(9)], "id long, parent_id long, name string, amount long")
     assert sorted(r.level for r in memory_tree(chain).collect()) == list(range(9))
+
+
+def test_forests_of_a_member_without_a_name(spark):
+    from fleetlens.operators.sessions import blocked_session_count, blocking_tree
+
+    chain = [(k, i, i - 1, f"t{i}") for k in ("a", None) for i in range(1, 9)] + [(k, i, j, "ring") for k in ("a", None) for i, j in ((21, 22), (22, 23), (23, 21), (24, 21))]
+    df = spark.createDataFrame(chain, "instance_id string, session_id long, blocking_session_id long, text string")
+    counts = {(r.instance_id, r.session_id): r.blocked_session_count for r in blocked_session_count(df).collect()}
+    want = {i: 8 - i for i in range(1, 9)} | {21: 3, 22: 3, 23: 3, 24: 0}
+    assert counts == {(k, i): n for k in ("a", None) for i, n in want.items()}
+    tree = {(r.instance_id, r.session_id): r.level for r in blocking_tree(df).collect()}
+    assert tree == {(k, i): i - 1 for k in ("a", None) for i in range(1, 9)}
