@@ -54,7 +54,7 @@ BANDS, ROWS = 16, 4
 PARAGRAPHS = "id bigint, start int, words int, line boolean, digest bigint, keys array<bigint>"
 #: Keeps written paragraphs apart from runs.
 LINE = np.uint64(0x94D049BB133111EB)
-BESIDE = "id bigint, start int, component bigint, after boolean, keys array<bigint>"
+BESIDE = "id bigint, start int, component bigint, after boolean, asked boolean, own boolean, keys array<bigint>"
 #: Words that are hashed together.
 PART = 200_000
 
@@ -171,7 +171,7 @@ def sets_at(docs: DataFrame) -> DataFrame:
 
 
 def _beside(docs: DataFrame) -> DataFrame:
-    """The hashes of the nearest 1, 2, ... words before or after runs, of rows (id, text, places) with places as structs of start, component and after."""
+    """The hashes of the nearest 1, 2, ... words before or after runs, of rows (id, text, places) with places as structs of start, component, after, asked and own."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,14 +183,14 @@ def _beside(docs: DataFrame) -> DataFrame:
                     # rows that share an id may differ in length
                     words = h[start + WORDS:start + WORDS + REACH] if after else h[max(0, start - REACH):start][::-1]
                     if start + WORDS <= len(h) and len(words):
-                        rows.append((i, start, place["component"], after))
+                        rows.append((i, start, place["component"], after, place["asked"], place["own"]))
                         weights = mixed(np.arange(1, len(words) + 1, dtype=np.uint64)) | np.uint64(1)
                         keys.append(mixed(np.cumsum(mixed(words) * weights)))
             if rows:
-                ids, starts, components_, sides = zip(*rows)
+                ids, starts, components_, sides, asked, own = zip(*rows)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(components_, pa.int64()), pa.array(sides),
-                    lists(np.concatenate(keys), np.array([len(x) for x in keys]))], names=["id", "start", "component", "after", "keys"])
+                    pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(components_, pa.int64()), pa.array(sides), pa.array(asked), pa.array(own),
+                    lists(np.concatenate(keys), np.array([len(x) for x in keys]))], names=["id", "start", "component", "after", "asked", "own", "keys"])
 
     return docs.mapInArrow(hashed, BESIDE)
 
@@ -212,13 +212,19 @@ def passages(rows: DataFrame, texts: DataFrame) -> DataFrame:
     before = F.when(F.col("start") - REACH < F.col("from"), False)
     after = F.when(F.col("end") + REACH > F.col("to"), True)
     edges = settled(runs.select("id", "start", "component", "own", F.explode(F.array_compact(F.array(before, after))).alias("after")), "passage-edges")
-    members = ends.where("NOT line").select("id", "start", "component").join(edges.select("component", "after").distinct(), "component")
-    places = members.groupBy("id").agg(F.collect_set(F.struct("start", "component", "after")).alias("places"))
-    beside = settled(_beside(texts.join(places, "id").select("id", "text", "places")), "passage-beside")
-
-    each = beside.select("id", "start", "component", "after", F.posexplode("keys").alias("place", "beside"))
-    shared = each.groupBy("component", "after", "place", "beside").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
-    asked = each.join(edges, ["id", "start", "component", "after"])
+    members = ends.where("NOT line").select("id", "start", "component", "own").join(edges.select("component", "after").distinct(), "component")
+    members = members.join(edges.select("id", "start", "component", "after", F.lit(True).alias("asked")), ["id", "start", "component", "after"], "left")
+    place = F.struct("start", "component", "after", F.coalesce("asked", F.lit(False)).alias("asked"), "own")
+    places = members.groupBy("id").agg(F.collect_set(place).alias("places"))
+    beside = settled(_beside(texts.join(places, "id").select("id", "text", "places")), "passage-beside").withColumn("lead", F.get("keys", F.lit(0)))
+
+    # what shares not even the nearest word with another document goes no further, and copies go on as one
+    leads = beside.groupBy("component", "after", "lead").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("component", "after", "lead")
+    near = beside.join(leads, ["component", "after", "lead"])
+    alike = near.groupBy("component", "after", F.element_at("keys", -1).alias("whole"), F.size("keys").alias("n")).agg(F.min("id").alias("first"), F.max("id").alias("last"), F.first("keys").alias("keys"))
+    each = alike.select("component", "after", "first", "last", F.posexplode("keys").alias("place", "beside"))
+    shared = each.groupBy("component", "after", "place", "beside").agg(F.min("first").alias("first"), F.max("last").alias("last")).where("first < last")
+    asked = near.where("asked").select("id", "start", "component", "after", "own", F.posexplode("keys").alias("place", "beside"))
     met = asked.join(shared, ["component", "after", "place", "beside"]).where("first < id OR own AND last > id")
     more = lambda side: F.coalesce(F.max(F.when(F.col("after") == side, F.col("place") + 1)), F.lit(0))
     reach = met.groupBy("id", "start", "component").agg(more(False).alias("more_before"), more(True).alias("more_after"))
