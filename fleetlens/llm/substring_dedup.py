@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from fleetlens.llm.components import components
 from fleetlens.llm.near_dedup import SETS, confirmed, in_open_buckets, lists, prefix_pairs
 from fleetlens.llm.shingles import WIDTH, MinMax, mixed, windows, word_hashes
-from fleetlens.llm.storage import settled
+from fleetlens.llm.storage import discard, settled
 
 WORDS = 27
 WINDOW = 25
@@ -270,6 +270,7 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     # what begins inside the kept paragraph, in its own document, is part of it and no removal
     own = (F.col("id") == F.col("first.id")) & (F.col("start") < F.col("first.start") + F.col("first.words"))
     rows = settled(rows.join(first.select("component", "first"), "component").withColumn("own", own), "passage-rows")
+    discard(cut, classes, held, sets, links)
     kept = (F.col("id") == F.col("first.id")) & (F.col("start") == F.col("first.start"))
     out = passages(rows, texts).where(kept | ~F.col("own"))
     return out.select(F.col("id").alias(key), "start", "words", F.col("first.id").alias("component_id"), F.col("first.start").alias("component_start"), kept.alias("kept"),
