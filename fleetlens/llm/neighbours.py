@@ -1,16 +1,15 @@
 """Approximate nearest neighbours by NN-descent and greedy graph search.
 
 The index is a graph with the `degree` nearest vectors found so far of every vector. It starts from blocks: vectors are
-sorted by the nearest of a few pivots (a bounded sample) and a hash, and each looks at the 255 others of its block, for
+sorted by the nearest of a few pivots (a bounded sample) and a hash, and each looks at the 1,023 others of its block, for
 two sets of pivots. Every iteration then lets the neighbours of a vector meet: an edge goes to both its ends, and at
 each end all members compare with each other if one of the two is new there; what beats the worst neighbour of either is
-handed to it. A vector that very many have as neighbour takes a hash sample of them, about as many as it has itself,
+handed to it. Iterations end when at most a share `changed` of all edges is new. A vector that very many have as neighbour takes a hash sample of them, about as many as it has itself,
 so no vector gathers an unbounded group; the others still meet it through their own lists.
 
 Graph and search compare the vectors as they are given (floats or doubles, not codes of them), so near copies keep their
-order and a few long vectors change nothing for the others. A query starts from its own neighbours in the graph (or, if
-it is no row of the index, from the pivots) and expands the nearest vectors not expanded yet, `beam` at a time, for
-`rounds` joins with the graph.
+order and a few long vectors change nothing for the others. A query is a row itself; it starts from its own neighbours in the graph and expands what is not expanded yet among the `beam` nearest vectors it has
+seen, by joins with the graph, until all of these are expanded.
 
 Equal vectors are one node; the answer names up to `k` of their smallest ids.
 
@@ -28,14 +27,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.llm.storage import settled
+from fleetlens.llm.storage import discard, settled
 
 PIVOTS = 64
-BLOCK = 256
+BLOCK = 1024
 #: Of the squared lengths; more than the rounding of a distance by products.
 ROUNDING = 1e-12
 #: Pairs whose differences are formed at once.
 PART = 20_000
+#: Distances that a task holds before it hands lists on.
+HELD = 2_000_000
 NEAR = "id bigint, near array<struct<d: double, id: bigint>>"
 
 
@@ -118,52 +119,81 @@ def _merged(lists: DataFrame, degree: int) -> DataFrame:
 
 
 def _meet(graph: DataFrame, codes: DataFrame, degree: int, number: int) -> DataFrame:
-    """What the neighbours of every vector find among each other: lists by id."""
-    nodes = graph.join(codes, "id").select("id", "code", F.when(F.size("near") < degree, F.lit(float("inf"))).otherwise(F.element_at("near", -1)["d"]).alias("worst"))
+    """What the neighbours of every vector find among each other: lists by id.
+
+    Who meets is settled by ids alone; only members of a center that has a fresh one get their vectors, once each.
+    """
     edges = graph.select("id", F.explode(F.transform("near", lambda x: F.struct(x["id"].alias("to"), F.array_contains("fresh", x).alias("fresh")))).alias("e")).select("id", "e.*")
-    loved = edges.groupBy(F.col("to").alias("id")).agg(F.count(F.lit(1)).alias("lovers"))
-    ends = nodes.join(loved, "id", "left").select(F.col("id").alias("to"), F.col("code").alias("code_to"), F.col("worst").alias("worst_to"), F.coalesce("lovers", F.lit(0)).alias("lovers"))
-    both = edges.join(nodes, "id").join(ends, "to")
+    loved = edges.groupBy("to").agg(F.count(F.lit(1)).alias("lovers"))
     chance = F.pmod(F.xxhash64("id", "to", F.lit(number)), F.lit(1_000_003)) * F.col("lovers") < 1_000_003 * degree
-    member = lambda center, m, code, worst: F.struct(F.col(center).alias("center"), F.col(m).alias("id"), F.col(code).alias("code"), F.col(worst).alias("worst"), F.col("fresh"))
-    met = both.select(F.explode(F.array(member("id", "to", "code_to", "worst_to"), F.when(chance, member("to", "id", "code", "worst")))).alias("m")).where("m IS NOT NULL").select("m.*")
-    groups = met.groupBy("center").agg(F.collect_list(F.struct("id", "code", "worst", "fresh")).alias("members"), F.max("fresh").alias("any")).where("any").select("members")
+    member = lambda center, m: F.struct(F.col(center).alias("center"), F.col(m).alias("id"), F.col("fresh"))
+    met = edges.join(loved, "to").select(F.explode(F.array(member("id", "to"), F.when(chance, member("to", "id")))).alias("m")).where("m IS NOT NULL").select("m.*")
+    groups = met.groupBy("center").agg(F.collect_set(F.struct("id", "fresh")).alias("members"), F.max("fresh").alias("any")).where("any")
+    nodes = graph.join(codes, "id").select("id", "code", F.when(F.size("near") < degree, F.lit(float("inf"))).otherwise(F.element_at("near", -1)["d"]).alias("worst"))
+    seated = groups.select("center", F.explode("members").alias("m")).select("center", "m.*").join(nodes, "id").select("center", "id", "worst", "fresh", "code")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owner, dist, other, size = [], [], [], 0
+
+        def nearest_of(rows: pa.RecordBatch) -> int:
+            centers, ids, worst = (rows.column(x).to_numpy() for x in range(3))
+            fresh, x = rows.column(3).to_numpy(zero_copy_only=False), _flat(rows.column(4))
+            ends = np.concatenate([[0], np.flatnonzero(np.diff(centers)) + 1, [len(centers)]])
+            count = 0
+            for lo, hi in zip(ends[:-1], ends[1:]):
+                (near, off), i, w, f = _products(x[lo:hi], x[lo:hi]), ids[lo:hi], worst[lo:hi], fresh[lo:hi]
+                a, b = np.nonzero((f[:, None] | f[None, :]) & (near - off < w[:, None]) & (i[:, None] != i[None, :]))
+                d = _distances(x[lo:hi][a], x[lo:hi][b])
+                nearer = d < w[a]
+                owner.append(i[a][nearer])
+                dist.append(d[nearer])
+                other.append(i[b][nearer])
+                count += int(nearer.sum())
+            return count
+
+        def lists() -> pa.RecordBatch:
+            names, sizes, best, others = _best(np.concatenate(owner), np.concatenate(dist), np.concatenate(other), degree)
+            for x in (owner, dist, other):
+                x.clear()
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), _lists(sizes, best, others)], names=["id", "near"])
+
+        rest = None
         for batch in batches:
-            for at in range(0, len(batch), 1024):
-                lists = batch.column(0).slice(at, 1024)
-                values, ends_ = lists.flatten(), np.append(0, np.cumsum(lists.value_lengths().to_numpy()))
-                ids, worst = values.field("id").to_numpy(), values.field("worst").to_numpy()
-                fresh, x = values.field("fresh").to_numpy(zero_copy_only=False), _flat(values.field("code"))
-                owner, dist, other = [], [], []
-                for lo, hi in zip(ends_[:-1], ends_[1:]):
-                    (near, off), i, w, f = _products(x[lo:hi], x[lo:hi]), ids[lo:hi], worst[lo:hi], fresh[lo:hi]
-                    a, b = np.nonzero((f[:, None] | f[None, :]) & (near - off < w[:, None]) & (i[:, None] != i[None, :]))
-                    d = _distances(x[lo:hi][a], x[lo:hi][b])
-                    nearer = d < w[a]
-                    owner.append(i[a][nearer])
-                    dist.append(d[nearer])
-                    other.append(i[b][nearer])
-                if owner:
-                    names, sizes, best, others = _best(np.concatenate(owner), np.concatenate(dist), np.concatenate(other), degree)
-                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), _lists(sizes, best, others)], names=["id", "near"])
-
-    return groups.mapInArrow(compare, NEAR)
-
-
-def neighbour_graph(codes: DataFrame, pivots: np.ndarray, degree: int, iterations: int) -> DataFrame:
+            batch = pa.concat_batches([rest, batch]) if rest is not None and len(rest) else batch
+            centers = batch.column(0).to_numpy()
+            # the last center may go on in the next batch
+            whole = int(np.searchsorted(centers, centers[-1])) if len(batch) else 0
+            if whole:
+                size += nearest_of(batch.slice(0, whole))
+            rest = batch.slice(whole)
+            if size > HELD:
+                yield lists()
+                size = 0
+        if rest is not None and len(rest):
+            size += nearest_of(rest)
+        if size:
+            yield lists()
+
+    return seated.repartition("center").sortWithinPartitions("center").mapInArrow(compare, NEAR)
+
+
+def neighbour_graph(codes: DataFrame, pivots: np.ndarray, degree: int, changed: float, iterations: int | None = None) -> DataFrame:
     """`near`: the nearest found of every vector, as structs of distance and id, nearest first."""
     half = max(1, len(pivots) // 2)
     starts = [_start(codes, p, degree, k) for k, p in enumerate((pivots[:half], pivots[half:])) if len(p)]
     lists = starts[0] if len(starts) == 1 else starts[0].unionAll(starts[1])
     nothing = F.array().cast("array<struct<d: double, id: bigint>>")
-    graph = settled(_merged(lists, degree).withColumn("fresh", F.col("near")), "graph")
-    for number in range(iterations):
+    graph, number = settled(_merged(lists, degree).withColumn("fresh", F.col("near")), "graph"), 0
+    while True:
+        # distances only fall, so at some time nothing is fresh
+        edges = graph.agg(F.sum(F.size("fresh")).alias("fresh"), F.sum(F.size("near")).alias("every")).first()
+        if number == iterations or not edges["fresh"] or edges["fresh"] <= changed * edges["every"]:
+            return graph.select("id", "near")
         found = _merged(graph.select("id", "near").unionAll(_meet(graph, codes, degree, number)), degree)
         before = graph.select("id", F.col("near").alias("old"))
-        graph = settled(found.join(before, "id", "left").select("id", "near", F.array_except("near", F.coalesce("old", nothing)).alias("fresh")), "graph")
-    return graph.select("id", "near")
+        next_ = settled(found.join(before, "id", "left").select("id", "near", F.array_except("near", F.coalesce("old", nothing)).alias("fresh")), "graph")
+        discard(graph)
+        graph, number = next_, number + 1
 
 
 def _links(graph: DataFrame, degree: int) -> DataFrame:
@@ -185,29 +215,29 @@ def _reached(pairs: DataFrame, codes: DataFrame, queries: DataFrame) -> DataFram
     return pairs.join(codes, "id").join(queries, "q").select("q", "id", "code", "code_q").mapInArrow(measure, "q bigint, id bigint, d double")
 
 
-def graph_search(graph: DataFrame, codes: DataFrame, queries: DataFrame, degree: int, beam: int, rounds: int, most: int) -> DataFrame:
+def graph_search(graph: DataFrame, codes: DataFrame, queries: DataFrame, degree: int, beam: int, most: int, rounds: int | None = None) -> DataFrame:
     """The `most` nearest nodes (q, id) that each query (q, code_q) reaches; `q` is a node of the graph."""
     links = settled(_links(graph, degree), "graph-links")
     first = queries.join(links, queries["q"] == links["id"]).select("q", F.explode("links").alias("id"))
     seen = settled(_reached(first, codes, queries), "graph-reached")
-    done = None
-    for _ in range(rounds):
-        near = F.row_number().over(Window.partitionBy("q").orderBy("d", "id"))
-        ahead = seen if done is None else seen.join(done, ["q", "id"], "left_anti")
-        ahead = settled(ahead.withColumn("place", near).where(F.col("place") <= beam).select("q", "id"), "graph-ahead")
+    place = F.row_number().over(Window.partitionBy("q").orderBy("d", "id"))
+    done, number = None, 0
+    while True:
+        best = seen.withColumn("place", place).where(F.col("place") <= beam).select("q", "id")
+        ahead = settled(best if done is None else best.join(done, ["q", "id"], "left_anti"), "graph-ahead")
+        if number == rounds or ahead.isEmpty():
+            return seen.withColumn("place", place).where(F.col("place") <= most).select("q", "id")
         done = ahead if done is None else done.unionAll(ahead)
         next_ = ahead.join(links, "id").select("q", F.explode("links").alias("id")).where("q <> id").distinct().join(seen.select("q", "id"), ["q", "id"], "left_anti")
-        new = settled(_reached(next_, codes, queries), "graph-reached")
-        if new.isEmpty():
-            break
-        seen = seen.unionAll(new)
-    place = F.row_number().over(Window.partitionBy("q").orderBy("d", "id"))
-    return seen.withColumn("place", place).where(F.col("place") <= most).select("q", "id")
+        seen, number = seen.unionAll(settled(_reached(next_, codes, queries), "graph-reached")), number + 1
+
 
+def nearest(rows: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = 10, degree: int = 20, changed: float = 0.05,
+            beam: int = 384, iterations: int | None = None, rounds: int | None = None) -> DataFrame:
+    """For every row that `is_query` says, its `k` nearest other rows: `query_id`, `rank` (from 1), key and `score` (the distance).
 
-def nearest(rows: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = 10, degree: int = 32, iterations: int = 5,
-            beam: int = 64, rounds: int = 8) -> DataFrame:
-    """For every row that `is_query` says, its `k` nearest other rows: `query_id`, `rank` (from 1), key and `score` (the distance)."""
+    `iterations` and `rounds` are limits for trials; without them graph and search go on until they have settled.
+    """
     kept = rows.select(F.col(key).cast("bigint").alias("id"), F.transform(F.col(vector), lambda x: x.cast("double")).alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     kept = kept.where(F.col("id").isNotNull() & usable(F.col("vector")))
     kept = settled(kept.groupBy("id", "vector").agg(F.bool_or("asks").alias("asks")), "vectors")
@@ -222,9 +252,9 @@ def nearest(rows: DataFrame, is_query: Column, key: str = "vec_id", vector: str
     codes = settled(nodes.select("id", F.col("vector").cast(f"array<{kind}>").alias("code")), "vector-codes")
     # a bounded sample, whatever the rows
     pivots = np.array([r["code"] for r in codes.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).toLocalIterator()])
-    graph = neighbour_graph(codes, pivots, degree, iterations)
-    asking = codes.join(nodes.where("asks").select("id"), "id").select(F.col("id").alias("q"), F.col("code").alias("code_q"))
-    found = graph_search(graph, codes, asking, degree, beam, rounds, 5 * k)
+    graph = neighbour_graph(codes, pivots, degree, changed, iterations)
+    asking = settled(codes.join(nodes.where("asks").select("id"), "id").select(F.col("id").alias("q"), F.col("code").alias("code_q")), "vector-queries")
+    found = graph_search(graph, codes, asking, degree, beam, 5 * k, rounds)
 
     # a node answers with its own copies too; each node names its k + 1 smallest ids
     own = nodes.where("asks").select(F.col("id").alias("q"), "id")
