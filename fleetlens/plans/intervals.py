@@ -72,7 +72,8 @@ def _joined(long: DataFrame, short: DataFrame, keys: list[str], levels: list[int
     higher = F.filter(F.array(*[F.lit(x) for x in levels]).cast("array<int>"), lambda x: x >= F.col("level") if same_level else x > F.col("level"))
     spread = short.withColumn("to", F.explode(higher))
     probe = _in_bins(spread, F.col("to")).select(*keys, "at", "slot", F.col("row").alias("probe"), F.col("begin").alias("s_begin"), F.col("stop").alias("s_stop"))
-    met = join_null_safe(post, probe, [*keys, "at", "slot"])
+    # the rows of a bin are exploded ones, which the optimiser does not count
+    met = join_null_safe(post, probe, [*keys, "at", "slot"], grown=True)
     return met.where("l_begin <= s_stop AND s_begin <= l_stop AND slot = shiftright(greatest(l_begin, s_begin), at)").select(*keys, "post", "probe")
 
 
