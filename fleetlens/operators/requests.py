@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fleetlens.functions.columns import (as_time, c, clock_text, day_clock_text, fleet_keys, int_div, int_div0, minute_boundaries,
                                          one_line, ratio, seconds_between, spoken_duration, statement_text, wide_sum)
 from fleetlens.operators.waits import session_top_waits
+from fleetlens.plans.joins import join_few
 from fleetlens.plans.ordering import add_rank, first_per, reuse, top_n, top_percent
 from fleetlens.plans.totals import with_totals
 
@@ -42,11 +43,12 @@ def top_queries(query_stats: DataFrame, texts: DataFrame, by: str = "worker_time
     The leaders are chosen first; only they are joined to texts and plans.
     """
     keys = fleet_keys(query_stats, texts)
-    best = top_n(query_stats.withColumn("_by", _order(by)), keys, ["-_by", "plan_handle"], n).drop("_by")
-    out = best.join(texts.select(*keys, "plan_handle", one_line("text", 255).alias("short_query_text")), [*keys, "plan_handle"], "left")
+    best = reuse(top_n(query_stats.withColumn("_by", _order(by)), keys, ["-_by", "plan_handle"], n).drop("_by"))
+    out = join_few(best, texts.select(*keys, "plan_handle", one_line("text", 255).alias("short_query_text")), [*keys, "plan_handle"])
     flag = []
     if plans is not None:
-        out = out.join(plans.select(*keys, "plan_handle", "query_plan"), [*keys, "plan_handle"], "left")
+        asked = join_few(best.select(*keys, "plan_handle"), plans.select(*keys, "plan_handle", "query_plan"), [*keys, "plan_handle"])
+        out = out.join(asked, [*keys, "plan_handle"], "left")
         flag = [_has_missing_index()]
     return out.select(*keys, "plan_handle", "database_id", "short_query_text", "execution_count", *_measures(query_stats.columns), *flag, "creation_time")
 
@@ -81,7 +83,7 @@ def top_procedures(proc_stats: DataFrame, procedures: DataFrame, by: str, as_of:
             flag = ["has_missing_index"]
     best = top_n(joined.withColumn("_by", _order(by)), keys, ["-_by", "object_id"], n)
     if flag:
-        best = best.join(pl, [*keys, "plan_handle"], "left")
+        best = join_few(reuse(best), pl, [*keys, "plan_handle"])
     return best.select(
         *keys, "object_id", "procedure_name", "execution_count", int_div0("execution_count", "_minutes").alias("calls_per_minute"),
         *_measures(proc_stats.columns), *flag,
@@ -116,8 +118,8 @@ def top_io_statements(query_stats: DataFrame, texts: DataFrame, n: int = 50) ->
     """The statements with the most reads and writes per execution."""
     keys = fleet_keys(query_stats, texts)
     per = query_stats.withColumn("avg_io", int_div(F.col("total_logical_reads") + F.col("total_logical_writes"), "execution_count"))
-    best = top_n(per, keys, ["-avg_io", "plan_handle"], n)
-    out = best.join(texts, [*keys, "plan_handle"], "left")
+    best = reuse(top_n(per, keys, ["-avg_io", "plan_handle"], n))
+    out = join_few(best, texts, [*keys, "plan_handle"])
     text = statement_text("text", "statement_start_offset", "statement_end_offset") if "statement_start_offset" in out.columns else F.col("text")
     return out.select(*keys, "plan_handle", "avg_io", "execution_count", text.alias("query_text"))
 
@@ -218,8 +220,8 @@ def query_store_top_duration(runtime: DataFrame, plans: DataFrame, as_of: Column
     # one row per (query, plan) first: the distinct count then combines on the map side
     per_plan = recent.groupBy(*keys, "query_id", "plan_id").agg(F.sum(F.col("count_executions") * F.col("avg_duration")).alias("d"))
     per = per_plan.groupBy(*keys, "query_id").agg(F.sum("d").alias("total_duration"), F.count(F.lit(1)).alias("plan_count"))
-    best = top_n(per, keys, ["-total_duration", "query_id"], n, "duration_rank")
-    return best.join(plans, [*keys, "query_id"])
+    best = reuse(top_n(per, keys, ["-total_duration", "query_id"], n, "duration_rank"))
+    return join_few(best, plans, [*keys, "query_id"], "inner")
 
 
 def queries_using_index(query_stats: DataFrame, plans: DataFrame, index_name: str) -> DataFrame:

@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from fleetlens.operators import requests as q
 from fleetlens.plans.intervals import state_by_intervals
 
 
@@ -31,3 +32,15 @@ def test_exploded_intervals_are_not_broadcast(spark):
     got = state_by_intervals(samples, changes, ["k"], "t", ["state"], F.to_date("t"))
     assert not [x for x in broadcasts(got) if "Generate" in x]
     assert got.count() == 2000
+
+
+def test_only_the_leaders_travel_to_their_documents(spark):
+    stats = spark.range(500).selectExpr("id AS plan_handle", "0 AS database_id", "1L AS execution_count", "id AS total_worker_time", "current_timestamp() AS creation_time")
+    texts = spark.range(500).selectExpr("id AS plan_handle", "concat('text ', id) AS text")
+    plans = spark.range(500).selectExpr("id AS plan_handle", "concat('<MissingIndexes>', id) AS query_plan")
+    got = q.top_queries(stats, texts, "worker_time", 5, plans)
+    # a side with documents is first cut down to the leaders
+    sides = [x for x in broadcasts(got) if "text " in x or "MissingIndexes" in x]
+    assert all("LeftSemi" in x for x in sides), sides
+    rows = sorted((r.plan_handle, r.short_query_text, r.has_missing_index) for r in got.collect())
+    assert rows == [(i, f"text {i}", 1) for i in range(495, 500)]
