@@ -125,8 +125,8 @@ def top_n(df: DataFrame, scope: Sequence[str], keys: SortKey, n: int, rank: str
     return out.withColumn(rank, F.col("_rank").cast("bigint")).drop("_rank") if rank else out.drop("_rank")
 
 
-#: How far around the cut the bracket reaches, as a share of the rows, and the sketch's accuracy.
-BRACKET, ACCURACY = 0.01, 2000
+#: How far around the cut the bracket reaches, as a share of the rows (three standard errors of a sample), and the sketch's accuracy.
+BRACKET, ACCURACY = 0.05, 2000
 
 
 def top_percent(df: DataFrame, scope: Sequence[str], keys: SortKey, percent: int) -> DataFrame:
@@ -135,6 +135,9 @@ def top_percent(df: DataFrame, scope: Sequence[str], keys: SortKey, percent: int
     A sketch of the first sort key names a bracket around the cut, and one pass counts the rows before, in and behind
     it. Only the part that the cut falls into, by these counts, is ranked; what lies before it is taken whole. That is the
     bracket unless the sketch missed, and the result is exact in either case.
+
+    The passes must agree on the bracket, but a sketch depends on the order in which tasks hand in their parts. So it is
+    taken of the `SAMPLE` rows with the smallest hash of their sort key, which are the same ones in every pass.
     """
     kinds = dict(df.dtypes)
     name, down = keys[0].lstrip("-"), keys[0].startswith("-")
@@ -149,8 +152,7 @@ def top_percent(df: DataFrame, scope: Sequence[str], keys: SortKey, percent: int
     scope = list(scope)
     valued = df.withColumn("_v", value)
     at = 1 - percent / 100 if down else percent / 100
-    ends = F.array(F.lit(max(at - BRACKET, 0.0)), F.lit(min(at + BRACKET, 1.0)))
-    sketch = F.percentile_approx("_v", ends, F.lit(ACCURACY)).alias("_ends")
+    ends = _bracket(valued, scope, keys, [max(at - BRACKET, 0.0), min(at + BRACKET, 1.0)])
     low, high = F.get("_ends", F.lit(0)), F.get("_ends", F.lit(1))
     # 0 before the bracket, 1 in it, 2 behind it; null sorts last downwards and first upwards
     inside = (F.col("_v") >= low) & (F.col("_v") <= high)
@@ -160,10 +162,10 @@ def top_percent(df: DataFrame, scope: Sequence[str], keys: SortKey, percent: int
         part = F.when(F.col("_v").isNull(), 0).when(inside, 1).when(F.col("_v") < low, 0).otherwise(2)
     counts = [F.count(F.lit(1)).alias("_all"), F.count_if(F.col("_part") == 0).alias("_n0"), F.count_if(F.col("_part") == 1).alias("_n1")]
     if scope:
-        parted = join_null_safe(valued, valued.groupBy(*scope).agg(sketch), scope, "left").withColumn("_part", part)
+        parted = join_null_safe(valued, ends, scope, "left").withColumn("_part", part)
         counted = join_null_safe(parted, parted.groupBy(*scope).agg(*counts), scope)
     else:
-        parted = valued.withColumn("_ends", valued.agg(sketch).scalar()).withColumn("_part", part)
+        parted = valued.withColumn("_ends", ends.scalar()).withColumn("_part", part)
         counted = parted.withColumn("_c", parted.agg(F.struct(*counts).alias("_c")).scalar()).select("*", "_c.*").drop("_c")
     wanted = F.floor((F.col("_all") * percent + 99) / 100)
     cut = F.when(F.col("_n0") >= wanted, 0).when(F.col("_n0") + F.col("_n1") >= wanted, 1).otherwise(2)
@@ -174,6 +176,16 @@ def top_percent(df: DataFrame, scope: Sequence[str], keys: SortKey, percent: int
     return whole.unionByName(ranked.where(F.col("_rank") <= F.col("_left")).select(*df.columns))
 
 
+def _bracket(valued: DataFrame, scope: list[str], keys: SortKey, ends: list[float]) -> DataFrame:
+    """Per scope the values `_v` at two shares of the rows, from a sample that is a function of the rows alone."""
+    sketch = F.percentile_approx("_v", F.array(*[F.lit(x) for x in ends]), F.lit(ACCURACY)).alias("_ends")
+    diced = valued.withColumn("_key", _ascending(valued, keys)).withColumn("_dice", F.xxhash64("_key"))
+    if not scope:
+        return diced.orderBy("_dice", "_key").limit(SAMPLE).agg(sketch)
+    w = Window.partitionBy(*scope).orderBy("_dice", "_key")
+    return diced.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= SAMPLE).groupBy(*scope).agg(sketch)
+
+
 def _top_percent_ranked(df: DataFrame, scope: Sequence[str], keys: SortKey, percent: int) -> DataFrame:
     """By a full ranking: for a first sort key that no sketch orders (a text)."""
     from fleetlens.plans.totals import with_totals

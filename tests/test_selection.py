@@ -1,9 +1,11 @@
 """The first percent of rows by selection against a sorted list."""
 
+import functools
 import math
 import random
 
 import pytest
+from pyspark.sql import DataFrame
 
 from fleetlens.plans import ordering
 from fleetlens.plans.ordering import top_percent
@@ -54,3 +56,12 @@ def test_texts_and_empty_frames(spark):
     df = spark.createDataFrame([("x", str(i), i) for i in range(10)], "k string, v string, id long")
     assert sorted(r.v for r in top_percent(df, ["k"], ["v", "id"], 30).collect()) == ["0", "1", "2"]
     assert top_percent(df.limit(0).selectExpr("k", "id AS v", "id"), ["k"], ["-v", "id"], 30).count() == 0
+
+
+def test_the_bracket_does_not_depend_on_the_order_of_the_parts(spark):
+    """Tasks hand in their sketches in any order, and each pass takes its own: all must see the same bracket."""
+    rows = spark.range(120_000).selectExpr("'x' AS k", "pmod(xxhash64(id), 1000003) AS v", "id")
+    chunks = [rows.where(f"id % 12 = {i}") for i in range(12)]
+    ends = lambda parts, scope: ordering._bracket(functools.reduce(DataFrame.unionByName, parts).withColumn("_v", ordering.F.col("v").cast("double")), scope, ["-v", "id"], [0.1, 0.9]).collect()
+    for scope in ([], ["k"]):
+        assert ends(chunks, scope) == ends(chunks[::-1], scope) == ends(chunks[5:] + chunks[:5], scope)
