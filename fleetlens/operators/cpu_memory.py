@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.columns import as_time, fleet_keys, int_div, minute_boundaries, ratio, wide, wide_sum
 from fleetlens.plans.checkpoints import cut
+from fleetlens.plans.joins import join_grown
 from fleetlens.plans.ordering import add_rank, reuse, top_n
 from fleetlens.plans.sequences import with_previous
 from fleetlens.plans.totals import with_totals
@@ -184,7 +185,7 @@ def memory_tree(nodes: DataFrame, scale: int = 1) -> DataFrame:
     while not level.isEmpty():
         depth += 1
         above = level.select(*keys, F.col("id").alias("parent_id"), F.col("_a").alias("_up"), "_root").distinct()
-        level = cut(base.where(F.col("parent_id").isNotNull()).join(above, [*keys, "parent_id"]).select(
+        level = cut(join_grown(base.where(F.col("parent_id").isNotNull()), above, [*keys, "parent_id"]).select(
             *keys, "id", "parent_id", "name", "amount", F.lit(depth).alias("level"),
             F.concat(F.lit(" " * 6 * (depth - 1) + "|···"), F.col("name")).alias("label"), F.coalesce(ratio("_a", "_up", 4), F.lit(0.0)).alias("share_of_parent"),
             F.when(F.lit(depth) >= 2, F.coalesce(ratio("_a", "_root", 4), F.lit(0.0))).alias("share_of_root"), "_a", "_root"))

@@ -51,3 +51,13 @@ def test_only_the_leaders_travel_to_their_documents(spark):
 def test_messages_of_a_larger_table_as_in_the_sql(spark):
     got = {r.message_id for r in entry_points.queries()["h7_ha_message_catalog"](spark, "/root/testdata/sf0.1").collect()}
     assert got == {r[0] for r in duck("sf0.1").sql(entry_points.oracle_sql()["h7_ha_message_catalog"]).fetchall()}
+
+
+def test_a_tree_sends_no_level_through_the_driver(spark, monkeypatch):
+    from fleetlens.operators import cpu_memory as m
+
+    seen, cut = [], m.cut
+    monkeypatch.setattr(m, "cut", lambda df: (seen.extend(broadcasts(df)), cut(df))[1])
+    nodes = spark.range(1, 64).selectExpr("id", "CASE WHEN id > 1 THEN id div 2 END AS parent_id", "concat('n', id) AS name", "id * 10 AS amount")
+    assert sorted(r.level for r in m.memory_tree(nodes).collect()) == sorted(i.bit_length() - 1 for i in range(1, 64))
+    assert seen == []
