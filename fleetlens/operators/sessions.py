@@ -129,7 +129,8 @@ def locks_document(locks: DataFrame) -> DataFrame:
 def select_output_columns(df: DataFrame, patterns: str, sort: str | None = None, descending: bool = False) -> DataFrame:
     """Columns chosen by a list such as `[session_id][%delta][%]`: the order of
     the list counts, each column is taken once. `sort` is one column, or a
-    bracket list of columns each followed by an optional ASC or DESC."""
+    bracket list of columns each followed by an optional ASC or DESC; ties go
+    by the ids of the rows, so that one frequent value is not one task's work."""
     chosen: list[str] = []
     for token in re.findall(r"\[([^\]]*)\]", patterns):
         shape = re.compile("".join(".*" if x == "%" else "." if x == "_" and "%" not in token and token not in df.columns else re.escape(x) for x in token), re.IGNORECASE)
@@ -142,7 +143,10 @@ def select_output_columns(df: DataFrame, patterns: str, sort: str | None = None,
         unknown = [t for t, _ in terms if t not in chosen]
         if unknown:
             raise ValueError(f"cannot sort by {unknown}")
-        out = out.orderBy(*order_columns([("-" if d.upper() == "DESC" else "") + t for t, d in terms]))
+        sorted_by = [t for t, _ in terms]
+        ids = [x for x in df.columns if x.endswith("_id") and x not in sorted_by]
+        wide = df.select(*chosen, *[x for x in ids if x not in chosen])
+        out = wide.orderBy(*order_columns([("-" if d.upper() == "DESC" else "") + t for t, d in terms] + ids)).select(*chosen)
     return out
 
 

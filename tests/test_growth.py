@@ -61,3 +61,17 @@ def test_a_tree_sends_no_level_through_the_driver(spark, monkeypatch):
     nodes = spark.range(1, 64).selectExpr("id", "CASE WHEN id > 1 THEN id div 2 END AS parent_id", "concat('n', id) AS name", "id * 10 AS amount")
     assert sorted(r.level for r in m.memory_tree(nodes).collect()) == sorted(i.bit_length() - 1 for i in range(1, 64))
     assert seen == []
+
+
+def test_a_frequent_sort_value_is_spread_over_tasks(spark):
+    from fleetlens.operators.sessions import select_output_columns
+
+    rows = spark.range(20_000).selectExpr("id AS session_id", "id % 3 AS request_id", "IF(id = 7, 5L, NULL) AS tempdb_current", "'x' AS text")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = select_output_columns(rows, "[text][tempdb_current]", "[tempdb_current] DESC")
+        parts = out.groupBy(F.spark_partition_id()).count().collect()
+        assert out.columns == ["text", "tempdb_current"] and out.first().tempdb_current == 5
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert max(r["count"] for r in parts) < 10_000
