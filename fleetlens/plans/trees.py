@@ -77,4 +77,5 @@ def below(above: DataFrame, inner: DataFrame, keys: Sequence[str], upper: str, l
     a = a.select(*[F.col(k).alias(f"_a_{k}") for k in keys], *[c for c in a.columns if c not in keys])
     on = same + ([F.col(f"{lower}_level") - levels == F.col(f"{upper}_level")] if levels is not None else [])
     starts = F.col(f"{lower}_entry") >= F.col(f"{upper}_entry") if itself else F.col(f"{lower}_entry") > F.col(f"{upper}_entry")
-    return a.join(b, on + [starts, F.col(f"{lower}_entry") <= F.col(f"{upper}_leave")]).drop(*[f"_a_{k}" for k in keys])
+    # nodes are exploded rows, which the optimiser does not count: they meet by a shuffle
+    return a.join(b.hint("merge"), on + [starts, F.col(f"{lower}_entry") <= F.col(f"{upper}_leave")]).drop(*[f"_a_{k}" for k in keys])

@@ -75,3 +75,15 @@ def test_a_frequent_sort_value_is_spread_over_tasks(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert max(r["count"] for r in parts) < 10_000
+
+
+def test_nodes_of_documents_are_not_broadcast(spark):
+    from fleetlens.plans.trees import below, nodes
+
+    docs = spark.range(30).selectExpr("id", "concat('<a><b n=\"', id, '\"/></a>') AS doc")
+    # the plan after the run: adaptive execution must not choose a broadcast either
+    found = nodes(docs, ["id"], "doc", ["a", "b"])
+    got = below(found.where("name = 'a'"), found.where("name = 'b'"), ["id", "_text"], "outer", "inner")
+    assert got.count() == 30
+    got.collect()
+    assert not broadcasts(got)
