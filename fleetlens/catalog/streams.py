@@ -142,8 +142,8 @@ def _(t):
     """Job runs that overlap blocking episodes of their instance, some of them very long."""
     events = t.events.withColumn("instance_id", F.col("user_id") % 40)
     watched = F.col("event_type").isin("click", "view")
-    episodes = (events.where(watched).groupBy("instance_id", F.session_window(to_instant("ts"), "5 minutes").alias("w")).agg(F.count(F.lit(1)).alias("samples"))
-                .select("instance_id", from_instant("w.start").alias("blocked_from"), from_instant("w.end").alias("blocked_until"), "samples"))
+    episodes = (st.episodes(events.where(watched).withColumn("ts", to_instant("ts")), "ts", ["instance_id"], "5 minutes", [F.count(F.lit(1)).alias("samples")])
+                .withColumnsRenamed({"window_start": "blocked_from", "window_end": "blocked_until"}))
     seconds = _gauge() * F.when(F.col("event_id") % 50 == 0, 400).otherwise(1)
     runs = events.where(~watched).select("instance_id", F.col("event_id").alias("run_id"), F.col("ts").alias("started_at"), F.timestamp_add("SECOND", seconds, "ts").alias("ended_at"))
     met = overlap_join(runs, episodes, ["instance_id"], ("started_at", "ended_at"), ("blocked_from", "blocked_until"), prefix="")

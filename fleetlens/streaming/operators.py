@@ -93,9 +93,21 @@ def utilisation_sliding(samples: DataFrame, time: str, value: str, keys: Sequenc
     return _window(samples, [F.count(F.lit(1)).alias("samples"), ratio(F.sum(value), F.count(value), 2).alias("avg_value")], F.window(time, width, slide), keys)
 
 
+def episodes(samples: DataFrame, time: str, keys: Sequence[str], gap: str, aggs: Sequence[Column]) -> DataFrame:
+    """Samples of a key less than `gap` after one another as one episode, from `window_start` to a gap after the last sample.
+
+    A sample a whole gap after the last one starts the next episode. Spark's session windows still take it in, so they
+    are a microsecond shorter here.
+    """
+    per = samples.groupBy(*keys, F.session_window(time, f"{gap} -1 microseconds").alias("w")).agg(*aggs)
+    names = [x for x in per.columns if x not in (*keys, "w")]
+    end = F.timestamp_add("MICROSECOND", F.lit(1), F.col("w.end"))
+    return per.select(*keys, from_instant("w.start").alias("window_start"), from_instant(end).alias("window_end"), *names)
+
+
 def blocking_episodes(pairs: DataFrame, time: str, keys: Sequence[str], wait: str = "wait_ms", gap: str = "5 minutes") -> DataFrame:
     """Consecutive samples of the same waiter and blocker as one episode with its longest wait."""
-    return _window(pairs, [F.count(F.lit(1)).alias("samples"), F.max(wait).alias("max_wait_ms")], F.session_window(time, gap), keys)
+    return episodes(pairs, time, keys, gap, [F.count(F.lit(1)).alias("samples"), F.max(wait).alias("max_wait_ms")])
 
 
 def login_failure_alerts(errorlog: DataFrame, time: str = "log_date", width: str = "360 minutes", n: int = 10) -> DataFrame:
