@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.llm.text import plus_columns, unused
+from fleetlens.llm.worker_memory import kept
 
 UNKNOWN = "und"
 RESULT = "lang_pred string, score double, bits_per_letter double"
@@ -117,7 +118,7 @@ class CrossParser:
         self.roots, tables, base = [], [], 0
         for _, sample in samples:
             edges = suffix_automaton(self.symbol[_codes(sample)].tolist())
-            start = np.full(self.width, base, np.int64)
+            start = np.full(self.width, base, np.int32)
             for c, to in edges[0].items():
                 start[c] = base + to
             table = np.repeat(~start[None, :], len(edges), axis=0)
@@ -125,7 +126,7 @@ class CrossParser:
             symbols = np.fromiter((c for x in edges for c in x), np.int64, len(states))
             table[states, symbols] = base + np.fromiter((t for x in edges for t in x.values()), np.int64, len(states))
             self.roots.append(base)
-            tables.append(table.astype(np.int32).ravel())
+            tables.append(table.ravel())
             base += len(edges)
         self.steps = np.concatenate(tables) if tables else np.zeros(0, np.int32)
         self.bits = np.array([math.log2(len(sample) + 1) for _, sample in samples])
@@ -186,9 +187,8 @@ class CrossParser:
         return lang, score, cost
 
 
-@functools.lru_cache(maxsize=2)
 def _parser(samples: tuple[tuple[str, str], ...]) -> CrossParser:
-    return CrossParser(samples)
+    return kept(("language_id", samples), lambda: CrossParser(samples))
 
 
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = 48, sample_chars: int = 32_000) -> tuple[tuple[str, str], ...]:

@@ -30,7 +30,6 @@ one whose name a result column has is replaced by it.
 
 from __future__ import annotations
 
-import functools
 import math
 from collections.abc import Iterator
 
@@ -40,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from fleetlens.llm.text import plus_columns
+from fleetlens.llm.worker_memory import kept
 
 MARK = "▁"
 RESULT = ("token_ids", "n_tokens", "decoded")
@@ -313,10 +313,12 @@ def _spelled(data: bytes) -> str:
         return data[:e.start].decode() + "�" + _spelled(data[e.start + 1:])
 
 
-@functools.lru_cache(maxsize=2)
 def compiled(path: str) -> Transducer:
-    with open(path, "rb") as f:
-        return Transducer(Model(f.read()))
+    def build() -> Transducer:
+        with open(path, "rb") as f:
+            return Transducer(Model(f.read()))
+
+    return kept(("sentencepiece", path), build)
 
 
 def encode_decode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from fleetlens.llm.worker_memory import kept
+
 WIDTH = 5
 REMEMBERED = 200_000
 
@@ -21,9 +23,6 @@ class _Words(dict):
         return h
 
 
-_KNOWN = _Words()
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit mix in which every bit depends on every bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -34,7 +33,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def word_hashes(text: str | None) -> np.ndarray:
     """One hash a word, A to Z lower-cased; words lie between blanks, tabs, line feeds, vertical tabs, form feeds and carriage returns."""
     words = text.encode().lower().split() if text else []
-    return np.fromiter(map(_KNOWN.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(kept("words", _Words).__getitem__, words), np.uint64, len(words))
 
 
 def windows(h: np.ndarray) -> np.ndarray:
