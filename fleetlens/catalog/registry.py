@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations")
 
+#: The largest join of the frames, and the keys that both sides of it are dealt by.
+_LINES_MEET_ORDERS = "ON l_orderkey = o_orderkey"
+_ORDER_KEYS = {"orders": "o_orderkey", "lineitem": "l_orderkey"}
+
 FRAMES: dict[str, str] = {}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -55,8 +59,14 @@ class Tables:
 
     def sql(self, text: str) -> DataFrame:
         text = _zone_free(with_frames(text))
+        lines_meet_orders = _LINES_MEET_ORDERS in text
         for name in _words(text) & set(TABLES):
-            self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+            table = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            if lines_meet_orders and name in _ORDER_KEYS:
+                # all partitions of the session: joined again after a shuffle, their rows are too many for one task of
+                # those that adaptive execution puts together by their size on the wire
+                table = table.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), _ORDER_KEYS[name])
+            table.createOrReplaceTempView(name)
         return self.spark.sql(text)
 
     def __getattr__(self, name: str) -> DataFrame:
