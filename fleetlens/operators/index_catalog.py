@@ -109,13 +109,15 @@ def _candidates(lists: DataFrame, parents: Column, children: Column, use_filter:
     # a unique index only takes in indexes with equal keys
     prefixes = F.when(F.col("is_unique"), F.array("key_columns")).otherwise(every_prefix) if unique_rule else every_prefix
 
-    def side(df: DataFrame, name: str) -> DataFrame:
-        cols = [x for x in df.columns if x not in match]
+    # a filter that is equal on both sides and the keys of a child, which are the prefix, travel once
+    carried = [x for x in rows.columns if x not in (*table, "_filter")]
+
+    def side(df: DataFrame, name: str, cols: list[str]) -> DataFrame:
         return df.select(*match, F.struct(*cols).alias(name))
 
-    big = side(rows.where(parents & (F.size("key_columns") > 0)).withColumn("_prefix", F.explode(prefixes)), "p")
-    small = side(rows.where(children & (F.size("key_columns") > 0)).withColumn("_prefix", F.col("key_columns")), "c")
-    pairs = big.join(small, match).where(F.col("p.index_id") != F.col("c.index_id"))
+    big = side(rows.where(parents & (F.size("key_columns") > 0)).withColumn("_prefix", F.explode(prefixes)), "p", carried)
+    small = side(rows.where(children & (F.size("key_columns") > 0)).withColumn("_prefix", F.col("key_columns")), "c", [x for x in carried if x != "key_columns"])
+    pairs = big.join(small, match).withColumn("c", F.col("c").withField("key_columns", F.col("_prefix"))).where(F.col("p.index_id") != F.col("c.index_id"))
     if unique_rule:
         pairs = pairs.where(F.col("p.is_unique") | ~F.col("c.is_unique"))
     return pairs
@@ -138,7 +140,9 @@ def _shapes(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
     flags = [x for x in ("is_primary_key", "is_unique_constraint") if x in lists.columns]
     shape = [*fleet_keys(lists), "object_id", "filter_definition", "type", "is_unique", *flags, "key_columns", "include_columns", "all_columns"]
     parts = [F.col(x).cast("string") for x in ("type", "is_unique", *flags)] + [as_text(x) for x in ("key_columns", "include_columns", "all_columns")] + [_filter()]
-    rows = reuse(lists.select("index_id", *shape, F.sha2(F.concat_ws("|", *parts), 256).alias("_shape")))
+    # half of a SHA-256 as bytes: every prefix of a shape travels with it, and digits of a digest do not compress
+    digest = F.unhex(F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 32))
+    rows = reuse(lists.select("index_id", *shape, digest.alias("_shape")))
     shapes = rows.select(*shape, F.col("_shape").alias("index_id")).distinct()
     return shapes, rows.select(*fleet_keys(lists), "object_id", "_shape", "index_id")
 
