@@ -150,3 +150,21 @@ def test_windows_that_are_open_at_the_end_are_written_when_the_stream_is_closed(
     drain(plan, out)
     twin = st.utilisation_tumbling(spark.read.schema(SCHEMA).parquet(src).where("instance_id <> 'b'").withColumn("collected_at", F.col("collected_at").cast("timestamp")), "collected_at", "value", ["instance_id"], "6 hours")
     assert before < result(spark, out).count() and rows(result(spark, out)) == rows(twin)
+
+
+def test_many_keys_wait_in_groups(spark, tmp_path):
+    """Calls to the state, such as timers, do not grow with the keys; keys of a group do not mix."""
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "instance_id BIGINT, part ARRAY<STRING>, collected_at TIMESTAMP_NTZ, value BIGINT"
+    at = F.timestamp_add("MINUTE", (F.col("id") % 4).cast("int") * 7, F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+    key = F.floor(F.col("id") / 4)
+    frame = spark.range(16_000).select(F.when(key % 1000 != 0, key).alias("instance_id"), F.array(F.when(key % 3 > 0, (key % 7).cast("string"))).alias("part"), at.alias("collected_at"), (F.col("id") * 7 % 11).alias("value"))
+    frame = frame.groupBy("instance_id", "part", "collected_at").agg(F.max("value").alias("value"))
+    frame.coalesce(1).write.parquet(src)
+    for until in (None, "2024-02-01 00:00:00"):
+        run = st.stream_counter_delta(landed(spark, src, schema), out, ["instance_id", "part"], ["collected_at"], ["value"], keep="20 minutes", lateness="5 minutes", until=until, state_partitions=3)
+        query = run if until is None else query
+    timers = [op.customMetrics["numRegisteredTimers"] for p in query.recentProgress for op in p.stateOperators if "numRegisteredTimers" in op.customMetrics]
+    assert timers and max(timers) <= 2 * 1024
+    twin = counter_delta(spark.read.schema(schema).parquet(src), ["instance_id", "part"], ["collected_at"], ["value"], F.to_date("collected_at")).drop("prev_value")
+    assert rows(result(spark, out).select(*twin.columns)) == rows(twin)
