@@ -32,3 +32,8 @@ def discard(*frames: DataFrame) -> None:
     for df in frames:
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.settled_at)
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of steps that are settled: Spark removes them once the driver has collected its garbage."""
+    spark.sparkContext._jvm.System.gc()

@@ -20,7 +20,8 @@ paragraphs have bands, and copies, however many, cost one aggregate.
 A passage begins before its first run and ends behind its last one, by at most 24 words (else there were one more run).
 So runs at the edge of what repeats are extended word by word, as far as an earlier document with a paragraph of the
 same cluster has the same words there (for a kept paragraph, a later one): prefixes of the words on that side are hashed
-and meet by equality, so no text is compared with another. What overlaps in a document is one passage then, removals
+and meet by equality, so no text is compared with another. Copies, whose words on that side are all the same, are settled
+as a whole; prefixes are taken apart only where a run finds no such copy, and beside it other words that begin alike. What overlaps in a document is one passage then, removals
 and kept ones for themselves.
 
 Tuning: 16 bands of four values. Equal paragraphs always meet; those of similarity 0.75 share a bucket with a probability
@@ -43,7 +44,7 @@ from pyspark.sql import functions as F
 from fleetlens.llm.components import components
 from fleetlens.llm.near_dedup import SETS, confirmed, in_open_buckets, lists, prefix_pairs
 from fleetlens.llm.shingles import WIDTH, MinMax, mixed, windows, word_hashes
-from fleetlens.llm.storage import discard, settled
+from fleetlens.llm.storage import discard, release, settled
 
 WORDS = 27
 WINDOW = 25
@@ -54,9 +55,32 @@ BANDS, ROWS = 16, 4
 PARAGRAPHS = "id bigint, start int, words int, line boolean, digest bigint, keys array<bigint>"
 #: Keeps written paragraphs apart from runs.
 LINE = np.uint64(0x94D049BB133111EB)
-BESIDE = "id bigint, start int, component bigint, after boolean, asked boolean, own boolean, keys array<bigint>"
+BESIDE = "id bigint, start int, component bigint, after boolean, asked boolean, own boolean, n int, lead bigint, whole bigint, keys array<bigint>"
 #: Words that are hashed together.
-PART = 200_000
+PART = 32_000
+
+
+def _over_rows(x: np.ndarray, pick: np.ufunc) -> np.ndarray:
+    """`pick` over every WINDOW neighbours, from rows of doubled length."""
+    n = 1
+    while n < WINDOW:
+        step = min(n, WINDOW - n)
+        x = pick(x[:-step], x[step:])
+        n += step
+    return x
+
+
+def _smallest_in_rows(w: np.ndarray) -> np.ndarray:
+    """The places that are the first smallest of a row of WINDOW neighbours, in order."""
+    least = _over_rows(w, np.minimum)
+    beyond = np.zeros(WINDOW - 1, w.dtype)
+    # a place is a smallest one if the largest minimum among the rows over it is its own
+    found = np.flatnonzero(w == _over_rows(np.concatenate([beyond, least, beyond]), np.maximum))
+    if ((np.diff(found) < WINDOW) & (w[found[1:]] == w[found[:-1]])).any():
+        # equal ones in one row: the first counts there
+        rows = np.lib.stride_tricks.sliding_window_view(w, WINDOW)
+        found = np.unique(np.argmin(rows, axis=1) + np.arange(len(rows)))
+    return found
 
 
 def starts_of(h: np.ndarray) -> np.ndarray:
@@ -68,8 +92,7 @@ def starts_of(h: np.ndarray) -> np.ndarray:
     if len(w) < WINDOW:
         # shorter than a row of windows: the smallest that has all its words
         return np.array([int(np.argmin(w[:last + 1]))])
-    rows = np.lib.stride_tricks.sliding_window_view(w, WINDOW)
-    smallest = np.unique(np.argmin(rows, axis=1) + np.arange(len(rows)))
+    smallest = _smallest_in_rows(w)
     found = smallest[smallest <= last]
     return found if len(found) else np.array([last])
 
@@ -174,23 +197,37 @@ def _beside(docs: DataFrame) -> DataFrame:
     """The hashes of the nearest 1, 2, ... words before or after runs, of rows (id, text, places) with places as structs of start, component, after, asked and own."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        far = np.arange(REACH)
+        weights = mixed(np.arange(1, REACH + 1, dtype=np.uint64)) | np.uint64(1)
+
+        def out(parts):
+            *columns, counts, lead, whole, keys = [np.concatenate(x) for x in zip(*parts)]
+            ends = [pa.array(counts, pa.int32()), pa.array(lead.view(np.int64)), pa.array(whole.view(np.int64)), lists(keys, counts)]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns] + ends, names=["id", "start", "component", "after", "asked", "own", "n", "lead", "whole", "keys"])
+
         for batch in batches:
-            rows, keys = [], []
-            for i, t, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            offsets, places = batch.column(2).offsets.to_numpy(), batch.column(2).values
+            fields = [places.field(x).to_numpy(zero_copy_only=False) for x in ("start", "component", "after", "asked", "own")]
+            parts, size = [], 0
+            for i, t, lo, hi in zip(batch.column(0).to_pylist(), batch.column(1), offsets[:-1], offsets[1:]):
                 h = word_hashes(t.as_py())
-                for place in places.as_py():
-                    start, after = place["start"], place["after"]
-                    # rows that share an id may differ in length
-                    words = h[start + WORDS:start + WORDS + REACH] if after else h[max(0, start - REACH):start][::-1]
-                    if start + WORDS <= len(h) and len(words):
-                        rows.append((i, start, place["component"], after, place["asked"], place["own"]))
-                        weights = mixed(np.arange(1, len(words) + 1, dtype=np.uint64)) | np.uint64(1)
-                        keys.append(mixed(np.cumsum(mixed(words) * weights)))
-            if rows:
-                ids, starts, components_, sides, asked, own = zip(*rows)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(components_, pa.int64()), pa.array(sides), pa.array(asked), pa.array(own),
-                    lists(np.concatenate(keys), np.array([len(x) for x in keys]))], names=["id", "start", "component", "after", "asked", "own", "keys"])
+                start, component, after, asked, own = [x[lo:hi] for x in fields]
+                counts = np.minimum(REACH, np.where(after, len(h) - start - WORDS, start))
+                # rows that share an id may differ in length
+                there = (start + WORDS <= len(h)) & (counts > 0)
+                if not there.any():
+                    continue
+                start, component, after, asked, own, counts = [x[there] for x in (start, component, after, asked, own, counts)]
+                at = np.where(after[:, None], start[:, None] + WORDS + far, start[:, None] - 1 - far)
+                keys = mixed(np.cumsum(mixed(h)[np.clip(at, 0, len(h) - 1)] * weights, axis=1, dtype=np.uint64))
+                whole = keys[np.arange(len(counts)), counts - 1]
+                parts.append((np.full(len(start), i, np.int64), start, component, after, asked, own, counts, keys[:, 0], whole, keys[far < counts[:, None]]))
+                size += int(counts.sum())
+                if size > PART:
+                    yield out(parts)
+                    parts, size = [], 0
+            if parts:
+                yield out(parts)
 
     return docs.mapInArrow(hashed, BESIDE)
 
@@ -216,17 +253,30 @@ def passages(rows: DataFrame, texts: DataFrame) -> DataFrame:
     members = members.join(edges.select("id", "start", "component", "after", F.lit(True).alias("asked")), ["id", "start", "component", "after"], "left")
     place = F.struct("start", "component", "after", F.coalesce("asked", F.lit(False)).alias("asked"), "own")
     places = members.groupBy("id").agg(F.collect_set(place).alias("places"))
-    beside = settled(_beside(texts.join(places, "id").select("id", "text", "places")), "passage-beside").withColumn("lead", F.get("keys", F.lit(0)))
-
-    # what shares not even the nearest word with another document goes no further, and copies go on as one
-    leads = beside.groupBy("component", "after", "lead").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("component", "after", "lead")
-    near = beside.join(leads, ["component", "after", "lead"])
-    alike = near.groupBy("component", "after", F.element_at("keys", -1).alias("whole"), F.size("keys").alias("n")).agg(F.min("id").alias("first"), F.max("id").alias("last"), F.first("keys").alias("keys"))
-    each = alike.select("component", "after", "first", "last", F.posexplode("keys").alias("place", "beside"))
+    beside = settled(_beside(texts.join(places, "id").select("id", "text", "places")), "passage-beside")
+    release(rows.sparkSession)
+
+    # copies go on as one; a run that has one in an earlier (kept: later) document reaches as far as there are words
+    group = ["component", "after", "lead"]
+    same = [*group, "whole", "n"]
+    sharers = [F.min("id").alias("first"), F.max("id").alias("last")]
+    alike = settled(beside.groupBy(*same).agg(*sharers), "passage-alike")
+    asked = settled(beside.where("asked").select("id", "start", "own", *same).join(alike, same), "passage-asked")
+    there = "first < id OR own AND last > id"
+    full = asked.where(there).select("id", "start", "component", "after", F.col("n").alias("more"))
+    # the others share a part with other words that begin alike, if there are any in such a document
+    others = alike.groupBy(*group).agg(F.count(F.lit(1)).alias("kinds"), F.min("first").alias("first"), F.max("last").alias("last")).where("kinds > 1")
+    rest = settled(asked.where(f"NOT ({there})").drop("first", "last").join(others, group).where(there).select("id", "start", "own", *same), "passage-rest")
+    kinds = beside.join(rest.select(*group).distinct(), group, "left_semi").groupBy(*same).agg(*sharers, F.first("keys").alias("keys"))
+    kinds = settled(kinds, "passage-kinds")
+    release(rows.sparkSession)
+    discard(edges, beside, alike)
+    each = kinds.select("component", "after", "first", "last", F.posexplode("keys").alias("place", "beside"))
     shared = each.groupBy("component", "after", "place", "beside").agg(F.min("first").alias("first"), F.max("last").alias("last")).where("first < last")
-    asked = near.where("asked").select("id", "start", "component", "after", "own", F.posexplode("keys").alias("place", "beside"))
-    met = asked.join(shared, ["component", "after", "place", "beside"]).where("first < id OR own AND last > id")
-    more = lambda side: F.coalesce(F.max(F.when(F.col("after") == side, F.col("place") + 1)), F.lit(0))
+    apart = rest.join(kinds.select(*same, "keys"), same).select("id", "start", "component", "after", "own", F.posexplode("keys").alias("place", "beside"))
+    met = apart.join(shared, ["component", "after", "place", "beside"]).where(there)
+    met = full.unionAll(met.select("id", "start", "component", "after", (F.col("place") + 1).alias("more")))
+    more = lambda side: F.coalesce(F.max(F.when(F.col("after") == side, F.col("more"))), F.lit(0))
     reach = met.groupBy("id", "start", "component").agg(more(False).alias("more_before"), more(True).alias("more_after"))
     wide = ends.join(reach, ["id", "start", "component"], "left")
     wide = wide.withColumn("lo", F.col("start") - F.coalesce("more_before", F.lit(0))).withColumn("hi", F.col("end") + F.coalesce("more_after", F.lit(0)))
@@ -245,12 +295,14 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     every = cut.select("id", "start", "words", "line", "digest")
     classes = every.groupBy("digest").agg(F.min(F.struct("id", "start", "words")).alias("at"), F.max("id").alias("last"))
     classes = settled(classes, "passage-classes")
+    release(docs.sparkSession)
 
     keyed = cut.where("line").groupBy("digest").agg(F.first("keys").alias("keys")).select(F.col("digest").alias("id"), F.explode("keys").alias("bucket"))
     # one pass over a bucket in order says which class is its first and whether there is another one
     bucket = Window.partitionBy("bucket").orderBy("id")
     held = keyed.withColumns({"first": F.first("id").over(bucket), "after": F.lead("id").over(bucket)})
     held = settled(held.where("id <> first OR after <> id").select("bucket", "id", "first"), "passage-buckets")
+    release(docs.sparkSession)
     pairs = held.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
 
     # one place of each class whose words are needed
@@ -258,9 +310,12 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     places = needed.groupBy(F.col("at.id").alias("id")).agg(F.collect_list(F.struct(F.col("at.start").alias("start"), F.col("at.words").alias("words"), "digest")).alias("places"))
     sets = sets_at(texts.join(places, "id").select("id", "text", "places")).dropDuplicates(["id"])
     sets = settled(sets, "passage-sets")
+    release(docs.sparkSession)
     links = settled(confirmed(pairs, sets, percent), "passage-links")
+    release(docs.sparkSession)
     members = in_open_buckets(held, components(links, label="passages"))
     links = settled(links.unionAll(confirmed(prefix_pairs(sets.join(members, "id"), percent), sets, percent)), "passage-links")
+    release(docs.sparkSession)
 
     place = components(links, label="passages")
     clustered = classes.join(place, F.col("digest") == F.col("node"), "left").where("component IS NOT NULL OR at.id < last")
@@ -271,6 +326,7 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     own = (F.col("id") == F.col("first.id")) & (F.col("start") < F.col("first.start") + F.col("first.words"))
     rows = settled(rows.join(first.select("component", "first"), "component").withColumn("own", own), "passage-rows")
     discard(cut, classes, held, sets, links)
+    release(docs.sparkSession)
     kept = (F.col("id") == F.col("first.id")) & (F.col("start") == F.col("first.start"))
     out = passages(rows, texts).where(kept | ~F.col("own"))
     return out.select(F.col("id").alias(key), "start", "words", F.col("first.id").alias("component_id"), F.col("first.start").alias("component_start"), kept.alias("kept"),

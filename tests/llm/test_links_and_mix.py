@@ -15,6 +15,7 @@ from fleetlens.llm.mixing import mix, targets
 from fleetlens.llm.near_dedup import near_duplicates, prefix_pairs
 from fleetlens.llm.neighbours import nearest
 from fleetlens.llm.shingles import MinMax, shingle_set
+from fleetlens.llm import substring_dedup
 from fleetlens.llm.substring_dedup import repeated_passages
 
 DOCS = "doc_id long, text string"
@@ -323,3 +324,35 @@ def test_pipeline(spark):
         out = stage(spark, empty, None)
         assert out.collect() == []
         empty = spark.createDataFrame([], out.schema)
+
+
+def test_copies_of_passages_are_settled_as_a_whole(spark, monkeypatch):
+    """Prefixes are taken apart where words differ, not for each copy."""
+    dice = random.Random(3)
+    text = lambda n: [f"t{dice.randrange(50000)}" for _ in range(n)]
+    sizes, write = {}, substring_dedup.settled
+
+    def noted(df, label):
+        out = write(df, label)
+        sizes[label] = out.count()
+        return out
+
+    monkeypatch.setattr(substring_dedup, "settled", noted)
+    body, tail = text(200), text(10)
+    docs = [(i, " ".join(body)) for i in range(40)]
+    repeated_passages(spark.createDataFrame(docs, DOCS)).collect()
+    assert sizes["passage-beside"] > 40 and sizes["passage-kinds"] == 0
+    # behind the last run the documents agree for a few words yet
+    docs = [(i, " ".join(body + tail + text(120))) for i in range(3)]
+    got = repeated_passages(spark.createDataFrame(docs, DOCS)).collect()
+    assert {(r["passage_start"], r["passage_words"]) for r in got if not r["kept"]} == {(0, 210)}
+    assert sizes["passage-kinds"] > 0
+
+
+def test_first_smallest_of_rows_with_equal_windows():
+    dice = np.random.RandomState(1)
+    for few in (3, 40, 2**40):
+        for n in (25, 26, 49, 300):
+            w = dice.randint(0, few, n).astype(np.uint64)
+            rows = np.lib.stride_tricks.sliding_window_view(w, 25)
+            assert (substring_dedup._smallest_in_rows(w) == np.unique(np.argmin(rows, axis=1) + np.arange(len(rows)))).all()
