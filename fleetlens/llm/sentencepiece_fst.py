@@ -31,7 +31,7 @@ one whose name a result column has is replaced by it.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +44,10 @@ from fleetlens.llm.worker_memory import kept
 MARK = "▁"
 RESULT = ("token_ids", "n_tokens", "decoded")
 
-#: Entries of each kind that a worker remembers before it starts anew; some 250 bytes each.
-REMEMBERED_PARTS, REMEMBERED_INNER, REMEMBERED_PAIRS = 400_000, 500_000, 800_000
+#: Paths that a worker remembers, at some 250 bytes each; and pairs, at some 80, before it starts anew.
+REMEMBERED_PARTS, REMEMBERED_PAIRS = 300_000, 250_000
+#: The characters of a part that is remembered at most.
+SHORT = 64
 
 #: Fixed values of the model format: kinds of pieces and of models.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -110,6 +112,24 @@ class Model:
             raise ValueError("only unigram and BPE models with an identity normaliser are supported")
 
 
+class _Recent(dict):
+    """Paths by string. Once half of `most` are there they become the old half, and what is still old by the next time is let go."""
+
+    def __init__(self, path: Callable[[str], bytes], most: int):
+        self.path, self.half, self.old = path, most // 2, {}
+
+    def __missing__(self, part: str) -> bytes:
+        path = self.old.pop(part, None)
+        if path is None:
+            path = self.path(part)
+        if len(part) <= SHORT:
+            if len(self) >= self.half:
+                self.old = self.copy()
+                self.clear()
+            self[part] = path
+        return path
+
+
 class Transducer:
     def __init__(self, model: Model):
         self.model = model
@@ -132,8 +152,7 @@ class Transducer:
         usual = [s for s, k in zip(self.scores, self.kinds) if k == NORMAL]
         self.worst = min(usual, default=0.0) - 10.0  # the weight of an unknown character in a unigram model
         self.beside: dict[int, bool] = {}
-        self.paths: dict[str, bytes] = {}
-        self.inner_paths: dict[str, bytes] = {}
+        self.paths = _Recent(self._path_of_part, REMEMBERED_PARTS)
 
     # normaliser
 
@@ -240,45 +259,28 @@ class Transducer:
         if not x:
             return b""
         if not self.marks_begin:
-            return self._known(x)
+            return self.paths[x]
         # every blank mark begins a part, but a run of marks stays together with what follows it
         parts = x.split(MARK)
         paths, out, run = self.paths, [], ""
         if parts[0]:
-            out.append(self._known(parts[0]))
+            out.append(paths[parts[0]])
         for part in parts[1:]:
             run += MARK
             if part:
-                part = run + part
-                path = paths.get(part)
-                out.append(self._known(part) if path is None else path)
+                out.append(paths[run + part])
                 run = ""
         if run:
-            out.append(self._known(run))
+            out.append(paths[run])
         return b"".join(out)
 
-    def _known(self, part: str) -> bytes:
-        path = self.paths.get(part)
-        if path is None:
-            at = [0, *[i for i in range(1, len(part)) if part[i - 1:i + 1] not in self.inside], len(part)]
-            if not self.model.byte_fallback:
-                at = [0, len(part)]  # neighbouring unknown characters make one piece
-            path = b"".join([self._inner(part[i:j]) for i, j in zip(at, at[1:])])
-            if len(part) <= 64:
-                if len(self.paths) >= REMEMBERED_PARTS:
-                    self.paths.clear()
-                self.paths[part] = path
-        return path
-
-    def _inner(self, part: str) -> bytes:
-        path = self.inner_paths.get(part)
-        if path is None:
-            path = self._path(part)
-            if len(part) <= 64:
-                if len(self.inner_paths) >= REMEMBERED_INNER:
-                    self.inner_paths.clear()
-                self.inner_paths[part] = path
-        return path
+    def _path_of_part(self, part: str) -> bytes:
+        at = [0, *[i for i in range(1, len(part)) if part[i - 1:i + 1] not in self.inside], len(part)]
+        if not self.model.byte_fallback:
+            at = [0, len(part)]  # neighbouring unknown characters make one piece
+        if len(at) == 2:
+            return self._path(part)
+        return b"".join([self.paths[part[i:j]] for i, j in zip(at, at[1:])])
 
     # decoding
 

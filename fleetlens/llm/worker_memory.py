@@ -7,9 +7,12 @@ the operator at work needs, and the next operator's first request lets that go.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Hashable
 from typing import Any
 
+import pyarrow as pa
+
 _KEPT: dict[Hashable, Any] = {}
 
 
@@ -19,5 +22,7 @@ def kept(key: Hashable, build: Callable[[], Any]) -> Any:
         return _KEPT[key]
     except KeyError:
         _KEPT.clear()
+        gc.collect()  # tables may refer to what made them
+        pa.default_memory_pool().release_unused()
         made = _KEPT[key] = build()
         return made
