@@ -1,10 +1,11 @@
 """Connected components of links between nodes, by contraction.
 
-Every round, each node hooks to the neighbour (or itself) that comes first in a random order of the round, nodes that
+Every round, each node hooks to the neighbour (or itself) that comes first in an order of the round, nodes that
 hooked together become one, and links inside them vanish. Only minima and distinct pairs are computed, with map-side
-combine, so a node with very many links is no large group anywhere. A constant share of the nodes goes in every
-round, whatever their numbers, so the rounds are logarithmic; each leaves its tables in the shared folder, and the
-tables shrink with the rounds.
+combine, so a node with very many links is no large group anywhere. Rounds take turns: the first order is that of the
+nodes themselves, which ends a star around its smallest node at once (a random one halves it), the next one is random.
+A constant share of the nodes goes in every random round, whatever their numbers, so the rounds are logarithmic; each
+leaves its tables in the shared folder, and the tables shrink with the rounds.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b", label: str = "compo
     left = settled(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{label}-links")
     rounds, number = [], 0
     while not left.isEmpty():
-        order = lambda node: F.struct(F.xxhash64(node, F.lit(number)).alias("dice"), F.col(node).alias("node"))
+        dice = lambda node: F.xxhash64(node, F.lit(number)) if number % 2 else F.lit(0).cast("bigint")  # noqa: E731, B023
+        order = lambda node: F.struct(dice(node).alias("dice"), F.col(node).alias("node"))
         both = left.unionAll(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hook = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min(order("b")), F.min(order("a")))["node"].alias("to"))
         hook = settled(hook, f"{label}-hooks")

@@ -96,13 +96,14 @@ def sets_of(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(full, SETS)
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of which the shared shingles are at least `percent` of all."""
-    sized = pairs
-    for x in ("a", "b"):
-        sized = sized.join(sets.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}")), x)
-    # what the sizes rule out never meets its sets
-    likely = sized.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent).select("a", "b")
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, sized: bool = False) -> DataFrame:
+    """The pairs (a, b) of which the shared shingles are at least `percent` of all; `sized` says that their sizes allow it, as those of `prefix_pairs` do."""
+    likely = pairs
+    if not sized:
+        for x in ("a", "b"):
+            likely = likely.join(sets.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}")), x)
+        # what the sizes rule out never meets its sets
+        likely = likely.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent).select("a", "b")
     for x in ("a", "b"):
         likely = likely.join(sets.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("shingles").alias(f"set_{x}")), x)
     both = F.size(F.array_intersect("set_a", "set_b"))
@@ -110,7 +111,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def prefix_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that may reach `percent`, of rows (id, n, shingles, component).
+    """Pairs (a, b) of different components that may reach `percent`, of rows (id, n, shingles, component); with both components (x, y) and the `shared` prefix shingles.
 
     A set of n shingles that reaches it with another shares at least ceil(n * percent / 100) of them, so it has one
     of the shared ones among its first n - that + 1, in whatever order both follow.
@@ -132,7 +133,8 @@ def prefix_pairs(members: DataFrame, percent: int) -> DataFrame:
     needed = F.ceil((F.col("n_p") + F.col("n_q")) * percent / (100 + percent))
     enough = 1 + F.least(F.col("n_p") - F.col("rank_p"), F.col("n_q") - F.col("rank_q")) >= needed
     met = left.alias("l").join(right.alias("r"), (F.col("l.s") == F.col("r.s")) & (F.col("component_p") != F.col("component_q")) & enough)
-    return met.select(F.least("id_p", "id_q").alias("a"), F.greatest("id_p", "id_q").alias("b")).distinct()
+    ends = [F.least("id_p", "id_q").alias("a"), F.greatest("id_p", "id_q").alias("b"), F.least("component_p", "component_q").alias("x"), F.greatest("component_p", "component_q").alias("y")]
+    return met.groupBy(*ends).agg(F.count(F.lit(1)).alias("shared"))
 
 
 def in_open_buckets(met: DataFrame, place: DataFrame) -> DataFrame:

@@ -3,7 +3,8 @@
 Paragraphs are what a text shows as such: its lines, and where blank lines part them, the blocks of lines between, of at
 least 27 words. Each distinct one has a banded MinHash signature over its five-word shingles; those that share a band key
 are candidates. In a bucket each meets the first one alone; where a bucket still holds two components afterwards, an
-exact prefix join finds the rest, so a bucket of any size never gives all its pairs. Pairs are confirmed by the exact
+exact prefix join finds the rest, so a bucket of any size never gives all its pairs. Of the pairs between the same two
+components the one that shares most is confirmed first, the others only where the two are not connected by then. Pairs are confirmed by the exact
 Jaccard similarity of their shingle sets, for which the texts in question are read again. Components of the confirmed
 links are the clusters; the first paragraph of each, by document and position, is kept, and the others are removals.
 
@@ -314,10 +315,20 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     links = settled(confirmed(pairs, sets, percent), "passage-links")
     release(docs.sparkSession)
     members = in_open_buckets(held, components(links, label="passages"))
-    links = settled(links.unionAll(confirmed(prefix_pairs(sets.join(members, "id"), percent), sets, percent)), "passage-links")
+    met = settled(prefix_pairs(sets.join(members, "id"), percent), "passage-met")
+    likeliest = met.groupBy("x", "y").agg(F.max_by(F.struct("a", "b"), F.struct("shared", "a", "b")).alias("pair")).select("pair.*")
+    links = settled(links.unionAll(confirmed(likeliest, sets, percent, sized=True)), "passage-links")
     release(docs.sparkSession)
-
     place = components(links, label="passages")
+    apart = met.select("x", "y").distinct()
+    for x in ("x", "y"):
+        apart = apart.join(place.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}")), x, "left").withColumn(f"of_{x}", F.coalesce(f"of_{x}", x))
+    rest = met.join(apart.where("of_x <> of_y").select("x", "y"), ["x", "y"], "left_semi").select("a", "b")
+    more = settled(confirmed(rest, sets, percent, sized=True), "passage-links")
+    release(docs.sparkSession)
+    if not more.isEmpty():
+        place = components(links.unionAll(more), label="passages")
+
     clustered = classes.join(place, F.col("digest") == F.col("node"), "left").where("component IS NOT NULL OR at.id < last")
     rows = every.join(clustered.select("digest", F.coalesce("component", "digest").alias("component")), "digest")
     rows = rows.select("id", "start", "words", "line", "component").distinct()
@@ -325,7 +336,7 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     # what begins inside the kept paragraph, in its own document, is part of it and no removal
     own = (F.col("id") == F.col("first.id")) & (F.col("start") < F.col("first.start") + F.col("first.words"))
     rows = settled(rows.join(first.select("component", "first"), "component").withColumn("own", own), "passage-rows")
-    discard(cut, classes, held, sets, links)
+    discard(cut, classes, held, sets, met, links, more)
     release(docs.sparkSession)
     kept = (F.col("id") == F.col("first.id")) & (F.col("start") == F.col("first.start"))
     out = passages(rows, texts).where(kept | ~F.col("own"))

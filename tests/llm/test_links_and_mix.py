@@ -356,3 +356,13 @@ def test_first_smallest_of_rows_with_equal_windows():
             w = dice.randint(0, few, n).astype(np.uint64)
             rows = np.lib.stride_tricks.sliding_window_view(w, 25)
             assert (substring_dedup._smallest_in_rows(w) == np.unique(np.argmin(rows, axis=1) + np.arange(len(rows)))).all()
+
+
+def test_a_star_around_its_smallest_node_ends_in_one_round(spark, monkeypatch):
+    from fleetlens.llm import components as module
+
+    labels, settle = [], module.settled
+    monkeypatch.setattr(module, "settled", lambda df, label: (labels.append(label), settle(df, label))[1])
+    got = module.components(spark.range(1, 65).selectExpr("0L AS a", "id AS b")).collect()
+    assert {(r["node"], r["component"]) for r in got} == {(i, 0) for i in range(65)}
+    assert labels.count("component-hooks") == 1
